@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.neighbours import nearest
 from mnemora.llm.percentiles import digit_histogram, histogram_percentiles, merge_histograms, percentiles
 from mnemora.plans.general import agent_key
 from mnemora.sources import read_table
@@ -52,3 +53,23 @@ SQL = {
 SELECT agent, tool, pct FROM q WHERE n >= 20 AND (pct = 50 AND v >= 800 OR pct = 95 AND v >= 5000 OR pct = 99 AND v >= 20000)""",
     "p4_percentiles": _CALLS + " SELECT agent, tool, pct, CAST(v AS DOUBLE) AS value, n FROM q",
 }
+
+
+# 1: most similar vectors
+
+DIM = 384
+
+
+def _nearest(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, table), F.col("id"), F.col("embedding"), DIM, k=5, least=0.70)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = [
+        _nearest(spark, sf_dir, name).select(F.lit(name).alias("collection"), F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"))
+        for name in ("memories", "entities")
+    ]
+    return out[0].unionAll(out[1]).distinct()
+
+
+QUERIES["p1_found"] = p1_found
