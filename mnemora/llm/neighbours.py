@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemora.llm.grouped import groups
 from mnemora.sources import cut
 
 _I64 = pa.int64()
@@ -35,7 +36,7 @@ class Probing:
     probes: int = 3
     slots: int = 8
     sketch: int = 128
-    slack: float = 3.0
+    slack: float = 1.5
     block: int = 4096
     seed: int = 7
 
@@ -108,31 +109,11 @@ def _hasher(dim: int, p: Probing):  # noqa: ANN202
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Batches sorted by their first ``keys`` columns, cut anew so that no group of equal keys is divided."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy() for i in range(keys)]
-        turn = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
-        if held and any(held[-1].column(i)[-1] != b.column(i)[0] for i in range(keys)):
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(turn):
-            yield pa.Table.from_batches([*held, b.slice(0, turn[-1] + 1)])
-            held = [b.slice(turn[-1] + 1)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _bucket_pairs(most: int, block: int):  # noqa: ANN202
     """From rows (key, far, id, s1, s2) sorted by key and far to pairs (a, b), or (id, null, key) of a hot bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 1):
+        for table in groups(batches, 1):
             key, far, ids, s1, s2 = (table.column(i).to_numpy() for i in range(5))
             s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of a signed number would be those of its absolute value
             first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
@@ -161,23 +142,47 @@ def _bucket_pairs(most: int, block: int):  # noqa: ANN202
     return run
 
 
+def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of floats: whether all are whole multiples (-127 to 127) of one step, the step, the multiples."""
+    with np.errstate(all="ignore"):
+        gaps = np.diff(np.sort(x.astype(np.float64), axis=1), axis=1)
+        least = np.where(gaps > 0, gaps, np.inf).min(axis=1)
+        top = np.abs(x).max(axis=1)
+        first = (top / np.maximum(1, np.rint(top / least))).astype(np.float32)
+        exact, step, codes = np.zeros(len(x), bool), first.copy(), np.zeros(x.shape, np.int8)
+        for ulps in (0, 1, -1, 2, -2, 3, -3, 4, -4):
+            s = (first.view(np.int32) + np.int32(ulps)).view(np.float32)[:, None]
+            q = np.rint(x / s)
+            fits = ~exact & (np.abs(q).max(axis=1) <= 127) & (q * s == x).all(axis=1)
+            exact |= fits
+            step[fits], codes[fits] = s[fits, 0], q[fits].astype(np.int8)
+    return exact, step, codes
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as compressed bytes, which halves what the shuffles move."""
+    """Vectors as bytes without loss: steps of a quantised store as such, others as floats, both compressed."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(b.num_rows, -1)
-        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)) if len(x) else x
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(r.tobytes()) for r in planes], pa.binary())], ["id", "v"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            b = batch.slice(at, 4096)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(b.num_rows, -1)
+            exact, step, codes = _steps(x)
+            packed = [z.compress(b"\1" + s.tobytes() + c.tobytes() if e else b"\0" + r.tobytes()) for e, s, c, r in zip(exact, step, codes, x)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "v"])
 
 
-def _unpack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def _unpack(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors from packed ones."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    planes = np.frombuffer(b"".join(z.decompress(v.as_py(), max_output_size=dim * 4) for v in column), np.uint8).reshape(-1, 4, dim)
-    x = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32).reshape(-1, dim).astype(np.float64)
+    x = np.empty((len(column), dim), np.float32)
+    for i, v in enumerate(column):
+        raw = z.decompress(v.as_py(), max_output_size=1 + dim * 4)
+        x[i] = np.frombuffer(raw, np.int8, dim, 5) * np.frombuffer(raw, np.float32, 1, 1) if raw[0] else np.frombuffer(raw, np.float32, dim, 1)
+    x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -185,7 +190,7 @@ def _verified(dim: int, least: float):  # noqa: ANN202
     """From rows (home, salt, kind, a, b, v), vectors before pairs in each group, to (a, b, similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 2):
+        for table in groups(batches, 2):
             kind, a, b = (table.column(i).to_numpy() for i in (2, 3, 4))
             is_v = kind == 0
             if is_v.all():
@@ -205,7 +210,7 @@ def _hot_blocks(dim: int, k: int, least: float):  # noqa: ANN202
     """From rows (tile, side, id, v) sorted by tile to the k best of the other side for each row, as (a, b, similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 1):
+        for table in groups(batches, 1):
             tile, side, ids = (table.column(i).to_numpy() for i in range(3))
             vectors = table.column(3).combine_chunks()
             for t in np.unique(tile):

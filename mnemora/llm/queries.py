@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.near_duplicates import near_duplicate_classes, similar_texts
 from mnemora.llm.neighbours import nearest
 from mnemora.llm.percentiles import digit_histogram, histogram_percentiles, merge_histograms, percentiles
 from mnemora.plans.general import agent_key
-from mnemora.sources import read_table
+from mnemora.sources import cut, read_table
 
 #: Lowest percentile that is a case of p4, in milliseconds.
 SLOW_MS = {50: 800, 95: 5000, 99: 20000}
@@ -73,3 +74,44 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p1_found"] = p1_found
+
+
+# 5: near-duplicate notes
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that are not deleted."""
+    notes = read_table(spark, sf_dir, "memories").where("relation IS NULL AND status <> 'deleted'")
+    return notes.select("id", "content", "raw_text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = _notes(spark, sf_dir)
+    sides = notes.select(F.explode(F.array(
+        F.struct(F.struct("id", F.lit("content").alias("field")).alias("row"), F.col("content").alias("text")),
+        F.struct(F.struct("id", F.lit("raw_text").alias("field")).alias("row"), F.col("raw_text").alias("text")))).alias("e")).select("e.row", "e.text")
+    links, members = similar_texts(sides, F.col("row"), F.col("text"), length=2, threshold=0.5)
+    m = cut(members.where("shingles > 0").select(F.col("id.id").alias("memory"), F.col("id.field").alias("field"), "text_id"))
+    left, right = m.select(F.col("memory").alias("x"), "field", F.col("text_id").alias("a")), m.select(F.col("memory").alias("y"), "field", F.col("text_id").alias("b"))
+    linked = links.select("a", "b").join(left, "a").join(right, ["b", "field"])
+    same = left.join(right.withColumnRenamed("b", "a"), ["a", "field"]).where("x < y")
+    pairs = linked.where("x <> y").select("x", "y").unionAll(same.select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("memory_a"), F.greatest("x", "y").alias("memory_b")).distinct()
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every note by its content, with five-word shingles at 0.8, and its number of links."""
+    return near_duplicate_classes(_notes(spark, sf_dir), F.col("id"), F.col("content")).select(F.col("id").alias("memory_id"), "class_id", "links")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_classes": p5_classes}
+
+SQL["p5_found"] = """
+WITH t AS (SELECT id, 'c' AS f, content AS t FROM memories WHERE relation IS NULL AND status <> 'deleted'
+           UNION ALL SELECT id, 'r', raw_text FROM memories WHERE relation IS NULL AND status <> 'deleted'),
+w AS (SELECT id, f, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM t WHERE t IS NOT NULL),
+s AS (SELECT DISTINCT id, f, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w),
+n AS (SELECT id, f, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.id AS a, b.id AS b, a.f, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.f = b.f AND a.id < b.id GROUP BY ALL)
+SELECT DISTINCT a AS memory_a, b AS memory_b FROM p JOIN n x ON x.id = a AND x.f = p.f JOIN n y ON y.id = b AND y.f = p.f
+WHERE c >= 0.5 * (x.n + y.n - c)"""
