@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.contamination import leaked_passages
+from mnemora.llm.mixture import mix_to_targets, plain_source, token_count
 from mnemora.llm.near_duplicates import near_duplicate_classes, similar_texts
+from mnemora.llm.names import link_names
 from mnemora.llm.neighbours import nearest
 from mnemora.llm.percentiles import digit_histogram, histogram_percentiles, merge_histograms, percentiles
+from mnemora.llm.pii import find_pii, redact
 from mnemora.plans.general import agent_key
 from mnemora.sources import cut, read_table
 
@@ -115,3 +119,104 @@ n AS (SELECT id, f, count(*) AS n FROM s GROUP BY ALL),
 p AS (SELECT a.id AS a, b.id AS b, a.f, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.f = b.f AND a.id < b.id GROUP BY ALL)
 SELECT DISTINCT a AS memory_a, b AS memory_b FROM p JOIN n x ON x.id = a AND x.f = p.f JOIN n y ON y.id = b AND y.f = p.f
 WHERE c >= 0.5 * (x.n + y.n - c)"""
+
+
+# 7: evaluation passages in the corpus
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+    return leaked_passages(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), window=12, max_edits=1)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("edits = 0").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document and item the number of passages, with and without an edit, and where the first begins."""
+    return _leaks(spark, sf_dir).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.countDistinct("doc_pos").alias("n_windows"), F.min("edits").alias("edits"), F.min("doc_pos").alias("first_word"))
+
+
+QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks}
+
+SQL["p7_found"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS p FROM d),
+iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS p FROM i)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (p)"""
+
+
+# 8: mixing sources to target weights
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    import public_tokenizers
+
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in read_table(spark, sf_dir, "mix_targets").collect()]
+    tokens = token_count(F.col("text"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return mix_to_targets(read_table(spark, sf_dir, "documents"), F.col("doc_id"), plain_source(F.col("source")), tokens, targets)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and the copies each is used in."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares by source."""
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES |= {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
+
+
+# 6: variant spellings of names
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that may name a person or an organisation: of such a kind, or without a known kind and not named like a machine or project."""
+    kind = F.lower(F.trim(F.col("kind")))
+    machine = F.lower(F.col("name")).rlike(r"^(host|svc)-|^project |^\S*[a-z][0-9]+$")
+    return read_table(spark, sf_dir, "entities").where(
+        F.when(kind.isin("host", "service", "tool", "project"), False).otherwise(kind.startswith("person") | kind.startswith("org") | ~F.coalesce(machine, F.lit(False))))
+
+
+def _same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names(_entities(spark, sf_dir), F.col("id"), F.col("name"), F.col("aliases"), F.col("kind"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cut(_same_names(spark, sf_dir))
+    a, b = c.withColumnRenamed("id", "entity_a"), c.withColumnRenamed("id", "entity_b")
+    return a.join(b, "class_id").where("entity_a < entity_b").select("entity_a", "entity_b")
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every row that may name a person or an organisation."""
+    return _same_names(spark, sf_dir).withColumnRenamed("id", "entity_id")
+
+
+QUERIES |= {"p6_found": p6_found, "p6_classes": p6_classes}
+
+
+# 9: personal information
+
+
+def _members(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """The members of the house, a table of fixed size: their mention is no personal information."""
+    return [(r["given_name"], r["surname"]) for r in read_table(spark, sf_dir, "members").select("given_name", "surname").collect()]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), _members(spark, sf_dir))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return redact(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), _members(spark, sf_dir))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_redacted": p9_redacted}
