@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.near_duplicates import words
+from mnemora.sources import cut
 
 #: Bits of the bitmap of item keys by which corpus windows are screened; its size does not depend on the data.
 SCREEN = 22
+#: Bytes up to which the items' windows are sent to every executor; more of them are joined by a shuffle.
+MOST_SENT = 48_000_000
 
 
 def _keys(flat: np.ndarray, starts: np.ndarray, window: int, tables: int, sampled: int, seed: int) -> np.ndarray:
@@ -119,11 +122,12 @@ def leaked_passages(
     hashed = lambda df, i, t: df.select(i.alias("id"), F.transform(words(t), lambda w: F.xxhash64(w)).alias("w")).where(F.col("id").isNotNull() & (F.size("w") >= window))
     d, q = hashed(docs, doc_id, text), hashed(items, item_id, item_text)
     schema = lambda df: f"id {df.schema['id'].dataType.simpleString()}, pos int, keys array<long>, win array<long>"
-    iw = q.mapInArrow(_windows(window, tables, sampled, seed, None), schema(q)).select(F.explode("keys").alias("key"), F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("win").alias("item_win"))
+    iw = cut(q.mapInArrow(_windows(window, tables, sampled, seed, None), schema(q)).select(F.explode("keys").alias("key"), F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("win").alias("item_win")))
     marks = iw.select(F.shiftrightunsigned("key", 64 - SCREEN).alias("m")).distinct().toArrow()["m"].to_numpy()
     bits = np.zeros(1 << SCREEN, bool)
     bits[marks] = True
     dw = d.mapInArrow(_windows(window, tables, sampled, seed, np.packbits(bits).tobytes()), schema(d)).select(F.explode("keys").alias("key"), F.col("id").alias("doc"), F.col("pos").alias("doc_pos"), "win")
-    met = dw.join(iw, "key").drop("key").distinct()
+    small = iw.count() * (8 * window + 40) <= MOST_SENT
+    met = dw.join(F.broadcast(iw) if small else iw.hint("merge"), "key").drop("key")
     types = f"doc {d.schema['id'].dataType.simpleString()}, item {q.schema['id'].dataType.simpleString()}, doc_pos int, item_pos int, edits int"
-    return met.mapInArrow(_verify(window, max_edits), types)
+    return met.mapInArrow(_verify(window, max_edits), types).distinct()

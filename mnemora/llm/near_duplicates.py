@@ -167,13 +167,15 @@ def _verify(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
 def _texts(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, text) as members (id, text_id) and distinct texts (id, set)."""
-    tokens = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", words(F.col("text")).alias("w"))
-    sets = tokens.select("id", F.xxhash64("w").alias("text_id"), shingles(F.col("w"), length).alias("set"))
-    return sets.select("id", "text_id", F.size("set").alias("shingles")), sets.groupBy("text_id").agg(F.any_value("set").alias("set")).withColumnRenamed("text_id", "id")
+    # exploded, as the optimizer would else put the expression for the words wherever they are used
+    tokens = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.explode(F.array(words(F.col("text")))).alias("w"))
+    sets = tokens.select("id", F.xxhash64("w").alias("text_id"), F.greatest(F.lit(0), F.size("w") - (length - 1)).alias("shingles"), shingles(F.col("w"), length).alias("set"))
+    return sets.select("id", "text_id", "shingles"), sets.groupBy("text_id").agg(F.any_value("set").alias("set")).withColumnRenamed("text_id", "id")
 
 
 def similar_texts(rows: DataFrame, row_id: Column, text: Column, length: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The links between different texts (a, b, similarity), and which row has which text (id, text_id, shingles).
+    """The links between different texts (a, b, similarity), and which row has which text (id, text_id, and shingles, the
+    number of its runs of words).
 
     Texts are compared as sets of ``length`` adjacent words; texts of the same words in the same order are one text,
     whatever their case, blanks and punctuation. Links have a Jaccard similarity of at least ``threshold``. Null
