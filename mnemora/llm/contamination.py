@@ -13,7 +13,9 @@ from mnemora.llm.near_duplicates import words
 from mnemora.sources import cut
 
 #: Bits of the bitmap of item keys by which corpus windows are screened; its size does not depend on the data.
-SCREEN = 22
+SCREEN = 25
+#: Tables that share a walk.
+PER_WALK = 2
 #: Bytes up to which the items' windows are sent to every executor; more of them are joined by a shuffle.
 MOST_SENT = 48_000_000
 
@@ -21,26 +23,28 @@ MOST_SENT = 48_000_000
 def _keys(flat: np.ndarray, starts: np.ndarray, window: int, tables: int, sampled: int, seed: int) -> np.ndarray:
     """LSH keys (windows x tables) of the windows of ``flat`` that begin at ``starts``.
 
-    The walk reads a window's words for 3 * window steps; whether it moves on after a step is a random bit of the
-    step and the word just read, the same for all windows. So an edit shifts the walks of two windows apart only
-    until they meet again, and edit distance becomes Hamming distance. Each table samples some of the steps.
+    A walk reads a window's words for 3 * window steps; whether it moves on after a step is a random bit of the step
+    and the word just read, the same for all windows. So an edit shifts the walks of two windows apart only until they
+    meet again, and edit distance becomes Hamming distance. Each table samples some of the steps of one walk; every
+    ``PER_WALK`` tables have a walk of their own.
     """
     rng = np.random.default_rng(seed)
     steps = 3 * window
-    moves = rng.integers(0, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    odd = rng.integers(0, 2**63, (tables, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    chosen = np.zeros((tables, steps), bool)
-    for t in range(tables):
-        chosen[t, rng.choice(steps, min(sampled, steps), replace=False)] = True
     ended = rng.integers(1, 2**63, dtype=np.uint64)
     words_ = flat.view(np.uint64)
-    at = np.zeros(len(starts), np.int64)
     keys = np.zeros((len(starts), tables), np.uint64)
-    for j in range(steps):
-        word = np.where(at < window, words_[np.minimum(starts + at, len(words_) - 1)], ended)
-        for t in np.flatnonzero(chosen[:, j]):
-            keys[:, t] += (word ^ (word >> np.uint64(29))) * odd[t, j]
-        at += ((word * moves[j]) >> np.uint64(63)).astype(np.int64)
+    for first in range(0, tables, PER_WALK):
+        moves = rng.integers(0, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        sample: dict[int, list[tuple[int, np.uint64]]] = {}
+        for t in range(first, min(first + PER_WALK, tables)):
+            for j in rng.choice(steps, min(sampled, steps), replace=False):
+                sample.setdefault(int(j), []).append((t, rng.integers(0, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+        at = np.zeros(len(starts), np.int64)
+        for j in range(max(sample) + 1):
+            word = np.where(at < window, words_[np.minimum(starts + at, len(words_) - 1)], ended)
+            for t, odd in sample.get(j, ()):
+                keys[:, t] += (word ^ (word >> np.uint64(29))) * odd
+            at += ((word * moves[j]) >> np.uint64(63)).astype(np.int64)
     keys ^= keys >> np.uint64(31)
     return (keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64)).view(np.int64)
 
@@ -106,7 +110,7 @@ def _verify(window: int, most: int):  # noqa: ANN202
 
 def leaked_passages(
     docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column,
-    window: int = 12, max_edits: int = 1, tables: int = 6, sampled: int = 10, seed: int = 3,
+    window: int = 12, max_edits: int = 1, tables: int = 8, sampled: int = 6, seed: int = 3,
 ) -> DataFrame:
     """Passages of items that stand in documents: doc, item, doc_pos, item_pos, edits (0 to ``max_edits``).
 

@@ -15,6 +15,7 @@ from mnemora.sources import cut
 
 #: Bits of a radix digit: a group has at most 2**DIGIT histogram rows for each prefix followed.
 DIGIT = 16
+_NAN = int(np.array([np.nan]).view(np.int64)[0]) - 2**63
 
 
 @F.pandas_udf(T.LongType())
@@ -27,9 +28,14 @@ def ordered_bits(value: pd.Series) -> pd.Series:
     return pd.Series(np.where(raw < 0, ~raw, raw ^ np.int64(-(2**63))))
 
 
-@F.pandas_udf(T.DoubleType())
-def bits_value(bits: pd.Series) -> pd.Series:
+def bits_value(bits: str | Column) -> Column:
     """Inverse of ``ordered_bits``."""
+    b = F.col(bits) if isinstance(bits, str) else bits
+    return F.when(b == F.lit(_NAN), F.lit(float("nan"))).otherwise(_finite(b))  # Arrow would make a null of NaN
+
+
+@F.pandas_udf(T.DoubleType())
+def _finite(bits: pd.Series) -> pd.Series:
     u = bits.to_numpy(np.int64)
     return pd.Series(np.where(u < 0, u ^ np.int64(-(2**63)), ~u).astype(np.int64).view(np.float64))
 
