@@ -38,7 +38,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, stay: float =
     reset = cut(known.join(total, "query").select("query", "node", (F.col("weight") / F.col("total")).alias("r")))
     mass = reset.withColumnRenamed("r", "mass")
     for i in range(rounds):
-        moved = mass.join(step, F.col("node") == F.col("src")).groupBy("query", F.col("dst").alias("node")).agg((F.sum(F.col("mass") * F.col("p")) * (1 - stay)).alias("x"))
+        moved = mass.join(step, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), (F.col("mass") * F.col("p") * (1 - stay)).alias("x"))
         mass = moved.unionAll(reset.select("query", "node", (F.col("r") * stay).alias("x"))).groupBy("query", "node").agg(F.sum("x").alias("mass"))
         if i % every == every - 1:
             mass = cut(mass)

@@ -12,6 +12,7 @@ from mnemora.functions.text import query_tokens
 from mnemora.operators import analytics, entities, graph, search, views
 from mnemora.plans.memory import SQL_NORM, SQL_TOKENS
 from mnemora.plans.registry import NOW, Plan, Tables
+from mnemora.sources import cut
 
 plan = Plan()
 QUERIES, SQL = plan.queries, plan.sql
@@ -90,7 +91,7 @@ def vector_topk(t: Tables) -> DataFrame:
 
 def _index(t: Tables) -> DataFrame:
     words = query_tokens(F.concat_ws(" ", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
-    return search.postings(t.memories.where("content IS NOT NULL"), words)
+    return cut(search.postings(t.memories.where("content IS NOT NULL"), words))
 
 
 def _terms(t: Tables) -> DataFrame:
@@ -139,7 +140,9 @@ def graph_channel(t: Tables) -> DataFrame:
 
 
 def _fused(t: Tables) -> DataFrame:
-    text = bm25_topk(t).join(adaptive_weight(t), "query", "left").withColumn("weight", F.coalesce("w_text", F.lit(1.0)))
+    index, asked = _index(t), _terms(t)
+    best = search.bm25_topk(asked.select("query", "term"), index, search.POOL, allowed=_current(t))
+    text = best.join(search.adaptive_weight(asked, index, t.memories.count()), "query", "left").withColumn("weight", F.coalesce("w_text", F.lit(1.0)))
     return search.fuse({
         "vector": vector_topk(t).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t).withColumn("weight", F.lit(W_GRAPH))})
 
@@ -156,13 +159,14 @@ def recency_prior(t: Tables) -> DataFrame:
 
 def _ordered(t: Tables) -> DataFrame:
     p = search.prior(_fused(t), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
-    return search.ranked(p, "query", [F.desc("score"), F.col("id")], 10 * search.POOL).withColumnRenamed("rank", "fused_rank")
+    # read twice by the reranking queries
+    return cut(search.ranked(p, "query", [F.desc("score"), F.col("id")], 10 * search.POOL).withColumnRenamed("rank", "fused_rank"))
 
 
-def _reranked(t: Tables) -> DataFrame:
+def _reranked(t: Tables, ordered: DataFrame | None = None) -> DataFrame:
     asked = _queries(t).select(F.col("id").alias("query"), query_tokens(F.col("content")).alias("q"))
     read = t.memories.select("id", query_tokens(F.substring("content", 1, 320)).alias("w"))
-    pool = _ordered(t).where("fused_rank <= 8").join(read, "id").join(asked, "query")
+    pool = (_ordered(t) if ordered is None else ordered).where("fused_rank <= 8").join(read, "id").join(asked, "query")
     return search.blend(pool.select("query", "id", "fused_rank", search.token_overlap(F.col("q"), F.col("w")).alias("rerank")))
 
 
@@ -178,8 +182,9 @@ def hybrid_search(t: Tables) -> DataFrame:
 
 @plan.add(_ALL + f", {_RR} SELECT query, id, rb.rank, r_vector, r_text, r_graph, fused, prior, rerank FROM rb JOIN od USING (query, id) WHERE rb.rank <= 5")
 def search_explain(t: Tables) -> DataFrame:
-    o = _ordered(t).select("query", "id", "r_vector", "r_text", "r_graph", "fused", "prior")
-    return _reranked(t).where("rank <= 5").join(o, ["query", "id"]).select("query", "id", "rank", "r_vector", "r_text", "r_graph", "fused", "prior", "rerank")
+    ordered = _ordered(t)
+    o = ordered.select("query", "id", "r_vector", "r_text", "r_graph", "fused", "prior")
+    return _reranked(t, ordered).where("rank <= 5").join(o, ["query", "id"]).select("query", "id", "rank", "r_vector", "r_text", "r_graph", "fused", "prior", "rerank")
 
 
 @plan.add(_ALL + f""", {_RR}, rg AS (SELECT rb.query, rb.id, rb.rank, rerank FROM rb JOIN memories m ON m.id = rb.id JOIN memories q ON q.id = rb.query
