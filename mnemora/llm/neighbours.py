@@ -30,10 +30,10 @@ class Probing:
     bucket is compared exactly in blocks of this size.
     """
 
-    tables: int = 8
+    tables: int = 10
     functions: int = 12
     width: float = 2.2
-    probes: int = 3
+    probes: int = 4
     slots: int = 8
     sketch: int = 128
     slack: float = 1.5
@@ -44,7 +44,7 @@ class Probing:
     def for_rows(n: int) -> Probing:
         """More functions and tables as rows grow, so that candidates per vector grow with the root of n only."""
         grown = max(1.0, n / 250_000)
-        return Probing(tables=math.ceil(8 * grown**0.25), functions=12 + round(math.log(grown) / (2 * math.log(1 / 0.7))))
+        return Probing(tables=math.ceil(10 * grown**0.25), functions=12 + round(math.log(grown) / (2 * math.log(1 / 0.7))))
 
 
 def perturbations(functions: int, probes: int, slots: int) -> np.ndarray:
