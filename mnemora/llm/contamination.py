@@ -108,9 +108,49 @@ def _verify(window: int, most: int):  # noqa: ANN202
     return run
 
 
+def _matches(window: int, tables: int, sampled: int, seed: int, most: int, items: pa.Table, chunk: int = 1 << 16):  # noqa: ANN202
+    """From (id, list of word hashes) to verified rows, with all windows of the items at hand."""
+    item_keys = items["keys"].combine_chunks().flatten().to_numpy()
+    order = np.argsort(item_keys, kind="stable")
+    sorted_keys, owner = item_keys[order], (order // tables).astype(np.int64)
+    item_win = items["win"].combine_chunks().flatten().to_numpy().reshape(-1, window)
+    item_id, item_pos = items["id"].combine_chunks(), items["pos"].combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(1)
+            flat, offsets = col.flatten().to_numpy(), col.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0] if len(offsets) else offsets
+            n = np.maximum(0, np.diff(offsets) - window + 1)
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            for s in range(0, len(row), chunk):
+                r, p = row[s : s + chunk], pos[s : s + chunk]
+                keys = _keys(flat, offsets[r] + p, window, tables, sampled, seed).ravel()
+                at = np.searchsorted(sorted_keys, keys)
+                hit = np.flatnonzero(sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys)
+                if not len(hit):
+                    continue
+                at = at[hit]
+                size = np.searchsorted(sorted_keys, keys[hit], side="right") - at
+                each = np.repeat(np.arange(len(hit)), size)
+                inside = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+                pairs = np.unique((hit[each] // tables) * len(item_win) + owner[at[each] + inside])
+                for t in range(0, len(pairs), chunk):
+                    w, i = np.divmod(pairs[t : t + chunk], len(item_win))
+                    d = edit_distances(flat[(offsets[r[w]] + p[w])[:, None] + np.arange(window)], item_win[i])
+                    ok = d <= most
+                    w, i = w[ok], i[ok]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(r[w])), item_id.take(pa.array(i)), pa.array(p[w].astype(np.int32)), item_pos.take(pa.array(i)), pa.array(d[ok].astype(np.int32))],
+                        ["doc", "item", "doc_pos", "item_pos", "edits"])
+
+    return run
+
+
 def leaked_passages(
     docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column,
-    window: int = 12, max_edits: int = 1, tables: int = 8, sampled: int = 6, seed: int = 3,
+    window: int = 12, max_edits: int = 1, tables: int = 8, sampled: int = 6, seed: int = 3, most_sent: int = MOST_SENT,
 ) -> DataFrame:
     """Passages of items that stand in documents: doc, item, doc_pos, item_pos, edits (0 to ``max_edits``).
 
@@ -120,18 +160,24 @@ def leaked_passages(
     Null texts and ids and texts shorter than a window give no rows. Words are maximal runs of letters and digits in
     lower case. Input columns are reached only through the given expressions.
 
-    All windows of all documents are embedded and hashed on the executors. A bitmap of fixed size of the items' keys
-    is sent there, so only windows that may have a partner leave the scan; the join on the keys then decides.
+    All windows of all documents are embedded and hashed on the executors. Items whose windows fit ``most_sent`` bytes
+    are sent there, and candidates are verified where they are found. Beyond that, a bitmap of fixed size of the items'
+    keys is sent, so only windows that may have a partner leave the scan, and the keys are joined by a shuffle.
     """
     hashed = lambda df, i, t: df.select(i.alias("id"), F.transform(words(t), lambda w: F.xxhash64(w)).alias("w")).where(F.col("id").isNotNull() & (F.size("w") >= window))
     d, q = hashed(docs, doc_id, text), hashed(items, item_id, item_text)
     schema = lambda df: f"id {df.schema['id'].dataType.simpleString()}, pos int, keys array<long>, win array<long>"
-    iw = cut(q.mapInArrow(_windows(window, tables, sampled, seed, None), schema(q)).select(F.explode("keys").alias("key"), F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("win").alias("item_win")))
+    types = f"doc {d.schema['id'].dataType.simpleString()}, item {q.schema['id'].dataType.simpleString()}, doc_pos int, item_pos int, edits int"
+    windows = q.mapInArrow(_windows(window, tables, sampled, seed, None), schema(q))
+    n = q.agg(F.sum(F.size("w") - (window - 1))).first()[0] or 0
+    if n * (8 * window + 12 * tables) <= most_sent:
+        if not n:
+            return d.sparkSession.createDataFrame([], types)
+        return d.mapInArrow(_matches(window, tables, sampled, seed, max_edits, windows.toArrow()), types).distinct()
+    iw = cut(windows.select(F.explode("keys").alias("key"), F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("win").alias("item_win")))
     marks = iw.select(F.shiftrightunsigned("key", 64 - SCREEN).alias("m")).distinct().toArrow()["m"].to_numpy()
     bits = np.zeros(1 << SCREEN, bool)
     bits[marks] = True
     dw = d.mapInArrow(_windows(window, tables, sampled, seed, np.packbits(bits).tobytes()), schema(d)).select(F.explode("keys").alias("key"), F.col("id").alias("doc"), F.col("pos").alias("doc_pos"), "win")
-    small = iw.count() * (8 * window + 40) <= MOST_SENT
-    met = dw.join(F.broadcast(iw) if small else iw.hint("merge"), "key").drop("key")
-    types = f"doc {d.schema['id'].dataType.simpleString()}, item {q.schema['id'].dataType.simpleString()}, doc_pos int, item_pos int, edits int"
+    met = dw.join(iw.hint("merge"), "key").drop("key")
     return met.mapInArrow(_verify(window, max_edits), types).distinct()

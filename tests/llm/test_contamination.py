@@ -40,6 +40,8 @@ def test_exact_passages_are_all_found_and_edited_ones_mostly(spark):
     got = run(spark, docs, items)
     assert {(x.doc, x.item) for x in got if x.edits == 0} == exact
     assert len(edited & {(x.doc, x.item) for x in got}) >= 0.9 * len(edited)
+    # the same from the way that joins by a shuffle
+    assert sorted(map(tuple, run(spark, docs, items, most_sent=0))) == sorted(map(tuple, got))
 
 
 def test_null_short_and_empty(spark):
