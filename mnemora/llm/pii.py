@@ -37,6 +37,7 @@ _EN = rf"(?:(?:Flat|Unit|Apartment|Apt\.?|Suite)\s+\w+,\s+)?\d+[a-z]?\s+{_CAP}\s
 _FR = rf"\d+[a-z]?(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|impasse|boulevard|place|chemin|allée|quai)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?{_CAP}{_TOWN_BEFORE}"
 _DE = rf"\p{{Lu}}[\p{{L}}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer)\s+\d+[a-z]?\b{_TOWN_BEFORE}"
 _ES = rf"(?:calle|C/|avenida|avda\.|plaza|paseo)\s+(?:de\s+la\s+|del\s+|de\s+)?{_CAP},?\s+\d+[a-z]?\b{_TOWN_BEFORE}"
+_STREET_SIGNS = r"Street|St\.|St\b|Road|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Crescent|Drive|Court|Place|Square|Gardens|Way|rue|avenue|impasse|boulevard|place|chemin|allée|quai|stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|ufer|calle|C/|avenida|avda|plaza|paseo"
 _DOT = r"(?:\.|\s*[\(\[]\s*dot\s*[\)\]]\s*|\s+dot\s+)"
 _EMAIL = rf"[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._%+\-]*(?:@|\s*[\(\[]\s*at\s*[\)\]]\s*|\s+at\s+(?=[\w\-]+\s+dot\s))[\p{{L}}\p{{Nd}}\-]+(?:{_DOT}[\p{{L}}\p{{Nd}}\-]+)+"
 _NUMBER = r"(?<![\p{L}\p{Nd},.\-/])(?:\p{Lu}{2}[\s\-]?(?=\d[\d\s.\-]{5})|\p{Ll}{2}(?=\d{4}))?(?:\+\s?|\()?\d+(?:(?:\s*\(\d+\)\s*|\)\s*|\s+|[.\-/])\d+)*(?:\s?\p{Lu}(?![\p{L}\p{Nd}]))?(?![\p{L}\p{Nd}])"
@@ -69,10 +70,27 @@ class PublicPeople:
         self.near = lru_cache(100_000)(self._near)
         given = "|".join(map(regex.escape, sorted(self.given))) or r"\p{Lu}\p{Ll}+"
         first = rf"(?:{given})"
-        self.pattern = regex.compile("|".join((
-            rf"(?P<e>{_EMAIL})", rf"(?P<a>(?<![\p{{L}}\p{{Nd}}])(?:{_EN}|{_FR}|{_DE}|{_ES}))",
-            rf"(?P<p>(?<![\p{{L}}\p{{Nd}}])(?:{first}\s+(?:{_INITIAL}\s+)?{_SUR}|{_SUR},\s+(?:{first}(?!\s+(?:{_INITIAL}\s+)?\p{{Lu}})(?![\p{{L}}\p{{Nd}}])|(?:{_INITIAL})(?!\s+\p{{Lu}}))|(?<=(?<![\p{{L}}\p{{Nd}}]){_TITLE}\s+){_SUR}|(?!M\.){_INITIAL}\s+(?:{_INITIAL}\s+)?{_SUR}))",
-            rf"(?P<n>{_NUMBER})")))
+        begin = r"(?<![\p{L}\p{Nd}])"
+        # each kind has its own pattern, tried only where a cheap sign of it stands in the text
+        self.patterns = (
+            ("e", regex.compile(r"@|[(\[]\s*at\s*[)\]]|\sdot\s"), regex.compile(_EMAIL)),
+            ("a", regex.compile(rf"(?:{_STREET_SIGNS})"), regex.compile(rf"{begin}(?:{_EN}|{_FR}|{_DE}|{_ES})")),
+            ("p", None, regex.compile(
+                rf"{begin}(?:{_TITLE}\s+(?!{first}\s)(?P<own>{_SUR})|(?P<own>{first}\s+(?:{_INITIAL}\s+)?{_SUR}|{_SUR},\s+(?:{first}(?!\s+(?:{_INITIAL}\s+)?\p{{Lu}})(?![\p{{L}}\p{{Nd}}])|(?:{_INITIAL})(?!\s+\p{{Lu}}))|(?!M\.){_INITIAL}\s+(?:{_INITIAL}\s+)?{_SUR}))")),
+            ("n", None, regex.compile(_NUMBER)))
+
+    def candidates(self, text: str) -> list[tuple[str, int, int]]:
+        """Proposed segments (kind, start, end) in order; where two overlap the earlier one stands, then the kind's order."""
+        found = []
+        for rank, (kind, sign, pattern) in enumerate(self.patterns):
+            if sign is None or sign.search(text):
+                found += [(m.span("own") if kind == "p" else m.span(), rank, kind) for m in pattern.finditer(text)]
+        out, last = [], -1
+        for (start, end), _, kind in sorted(found):
+            if start >= last and (kind != "n" or sum(c.isdigit() for c in text[start:end]) >= 6):
+                out.append((kind, start, end))
+                last = end
+        return out
 
     def _near(self, surname: str) -> str:
         """'same', 'edit' or 'far': how near a surname is to a public one."""
@@ -96,12 +114,8 @@ _hashed = lru_cache(1 << 18)(_hash)
 def segments(text: str, public: PublicPeople) -> list[Segment]:
     """The candidate segments of a text, in order, with their features."""
     out = []
-    for m in public.pattern.finditer(text):
-        kind = m.lastgroup
-        start, end = m.span()
-        s = m[0]
-        if kind == "n" and sum(c.isdigit() for c in s) < 6:
-            continue
+    for kind, start, end in public.candidates(text):
+        s = text[start:end]
         seg = Segment(kind, start, end)
         before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])][-4:]
         after = [w.lower() for w in _WORD.findall(text[end : end + 40])][:3]
