@@ -31,8 +31,13 @@ def _keys(flat: np.ndarray, starts: np.ndarray, window: int, tables: int, sample
     rng = np.random.default_rng(seed)
     steps = 3 * window
     ended = rng.integers(1, 2**63, dtype=np.uint64)
-    words_ = flat.view(np.uint64)
     keys = np.zeros((len(starts), tables), np.uint64)
+    if not len(starts):
+        return keys.view(np.int64)
+    low = int(starts.min())
+    words_ = flat.view(np.uint64)[low : int(starts.max()) + window]
+    starts, last = starts - low, len(words_) - 1
+    spread = words_ ^ (words_ >> np.uint64(29))
     for first in range(0, tables, PER_WALK):
         moves = rng.integers(0, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         sample: dict[int, list[tuple[int, np.uint64]]] = {}
@@ -41,10 +46,12 @@ def _keys(flat: np.ndarray, starts: np.ndarray, window: int, tables: int, sample
                 sample.setdefault(int(j), []).append((t, rng.integers(0, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
         at = np.zeros(len(starts), np.int64)
         for j in range(max(sample) + 1):
-            word = np.where(at < window, words_[np.minimum(starts + at, len(words_) - 1)], ended)
-            for t, odd in sample.get(j, ()):
-                keys[:, t] += (word ^ (word >> np.uint64(29))) * odd
-            at += ((word * moves[j]) >> np.uint64(63)).astype(np.int64)
+            where = np.minimum(starts + at, last)
+            if j in sample:
+                word = np.where(at < window, spread[where], ended)
+                for t, odd in sample[j]:
+                    keys[:, t] += word * odd
+            at += ((words_ * moves[j]) >> np.uint64(63)).astype(np.int64)[where]  # beyond its window a walk may move on, unread
     keys ^= keys >> np.uint64(31)
     return (keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64)).view(np.int64)
 

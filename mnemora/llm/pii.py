@@ -39,7 +39,7 @@ _DE = rf"\p{{Lu}}[\p{{L}}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|u
 _ES = rf"(?:calle|C/|avenida|avda\.|plaza|paseo)\s+(?:de\s+la\s+|del\s+|de\s+)?{_CAP},?\s+\d+[a-z]?\b{_TOWN_BEFORE}"
 _STREET_SIGNS = r"Street|St\.|St\b|Road|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Crescent|Drive|Court|Place|Square|Gardens|Way|rue|avenue|impasse|boulevard|place|chemin|allée|quai|stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|ufer|calle|C/|avenida|avda|plaza|paseo"
 _DOT = r"(?:\.|\s*[\(\[]\s*dot\s*[\)\]]\s*|\s+dot\s+)"
-_EMAIL = rf"[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._%+\-]*(?:@|\s*[\(\[]\s*at\s*[\)\]]\s*|\s+at\s+(?=[\w\-]+\s+dot\s))[\p{{L}}\p{{Nd}}\-]+(?:{_DOT}[\p{{L}}\p{{Nd}}\-]+)+"
+_EMAIL = rf"(?<![\p{{L}}\p{{Nd}}._%+\-])[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._%+\-]*(?:@|\s*[\(\[]\s*at\s*[\)\]]\s*|\s+at\s+(?=[\w\-]+\s+dot\s))[\p{{L}}\p{{Nd}}\-]+(?:{_DOT}[\p{{L}}\p{{Nd}}\-]+)+"
 _NUMBER = r"(?<![\p{L}\p{Nd},.\-/])(?:\p{Lu}{2}[\s\-]?(?=\d[\d\s.\-]{5})|\p{Ll}{2}(?=\d{4}))?(?:\+\s?|\()?\d+(?:(?:\s*\(\d+\)\s*|\)\s*|\s+|[.\-/])\d+)*(?:\s?\p{Lu}(?![\p{L}\p{Nd}]))?(?![\p{L}\p{Nd}])"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+|[^\s\p{L}\p{M}\p{Nd}]")
 

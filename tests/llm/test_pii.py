@@ -33,3 +33,5 @@ def test_null_empty_long_and_repeated(spark):
     _, got = run(spark, [None, "", long, long])
     assert got == [(2, "phone", "07700 900 543"), (3, "phone", "07700 900 543")]
     assert run(spark, [])[1] == []
+    # a run of letters without end beside an address sign
+    assert run(spark, ["a" * 300_000 + " @ " + "B" * 300_000])[1] == []
