@@ -31,4 +31,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components did not settle within {rounds} rounds")
     return nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemora.functions.text import norm_name
+from mnemora.sources import cut
 
 KEY = ["domain", "subject_id", "relation"]
 
@@ -53,7 +54,7 @@ def fold(said: DataFrame) -> DataFrame:
     keyed = said.withColumn("key", F.to_json(F.struct(*KEY)))
     n = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.select("key", "seq", "value", "text", "obs").repartition(n, "key").sortWithinPartitions("key", "seq")
-    told = ordered.mapInPandas(_decide, "key string, seq long, text string, obs long, outcome string")
+    told = cut(ordered.mapInPandas(_decide, "key string, seq long, text string, obs long, outcome string"))
     kept, dropped = told.where("outcome <> 'restate'"), told.where("outcome = 'restate'")
     by_time = Window.partitionBy("key").orderBy("obs")
     after = F.min(F.struct("obs", "seq")).over(by_time.rangeBetween(1, Window.unboundedFollowing))
