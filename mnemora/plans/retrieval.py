@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.functions.stemming import stemmed_tokens
 from mnemora.functions.text import query_tokens
 from mnemora.operators import analytics, entities, graph, search, views
 from mnemora.plans.memory import SQL_NORM, SQL_TOKENS
@@ -108,6 +109,15 @@ def bm25_topk(t: Tables) -> DataFrame:
     return search.bm25_topk(_terms(t).select("query", "term"), _index(t), search.POOL, allowed=_current(t))
 
 
+@plan.add()
+def bm25_stemmed(t: Tables) -> DataFrame:
+    """BM25 as a stemming full-text index ranks: English stems, no accents, content and tags."""
+    whole = F.concat_ws(" ", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
+    index = cut(search.postings(t.memories.where("content IS NOT NULL"), stemmed_tokens(whole)))
+    terms = _queries(t).select(F.col("id").alias("query"), F.explode(stemmed_tokens(F.array_join(query_tokens(F.col("content")), " "))).alias("term"))
+    return search.bm25_topk(terms, index, search.POOL, allowed=_current(t))
+
+
 @plan.add(f"WITH {_TEXT}, {_AW} SELECT query, w_text FROM aw")
 def adaptive_weight(t: Tables) -> DataFrame:
     return search.adaptive_weight(_terms(t), _index(t), t.memories.count())
