@@ -102,6 +102,19 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return last[:, -1]
 
 
+def may_be_within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """False where more than ``most`` symbols of ``a`` stand nowhere near in ``b``, so that more edits are needed.
+
+    With at most k edits a kept symbol moves by at most k places, and at most k symbols aren't kept.
+    """
+    w = a.shape[1]
+    kept = np.zeros(a.shape, bool)
+    for shift in range(-most, most + 1):
+        i, j = max(0, -shift), max(0, shift)
+        kept[:, i : w - j] |= a[:, i : w - j] == b[:, i + shift : w - j + shift]
+    return w - kept.sum(axis=1) <= most
+
+
 def _verify(window: int, most: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,6 +137,8 @@ def _matches(window: int, tables: int, sampled: int, seed: int, most: int, items
     item_id, item_pos = items["id"].combine_chunks(), items["pos"].combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = np.zeros(1 << 22, bool)
+        screen[sorted_keys.view(np.uint64) >> np.uint64(64 - 22)] = True
         for b in batches:
             col = b.column(1)
             flat, offsets = col.flatten().to_numpy(), col.offsets.to_numpy().astype(np.int64)
@@ -134,18 +149,22 @@ def _matches(window: int, tables: int, sampled: int, seed: int, most: int, items
             for s in range(0, len(row), chunk):
                 r, p = row[s : s + chunk], pos[s : s + chunk]
                 keys = _keys(flat, offsets[r] + p, window, tables, sampled, seed).ravel()
-                at = np.searchsorted(sorted_keys, keys)
-                hit = np.flatnonzero(sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys)
+                maybe = np.flatnonzero(screen[keys.view(np.uint64) >> np.uint64(64 - 22)])
+                at = np.searchsorted(sorted_keys, keys[maybe])
+                same = sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys[maybe]
+                hit, at = maybe[same], at[same]
                 if not len(hit):
                     continue
-                at = at[hit]
                 size = np.searchsorted(sorted_keys, keys[hit], side="right") - at
                 each = np.repeat(np.arange(len(hit)), size)
                 inside = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
                 pairs = np.unique((hit[each] // tables) * len(item_win) + owner[at[each] + inside])
                 for t in range(0, len(pairs), chunk):
                     w, i = np.divmod(pairs[t : t + chunk], len(item_win))
-                    d = edit_distances(flat[(offsets[r[w]] + p[w])[:, None] + np.arange(window)], item_win[i])
+                    win = flat[(offsets[r[w]] + p[w])[:, None] + np.arange(window)]
+                    near = may_be_within(win, item_win[i], most)
+                    w, i, win = w[near], i[near], win[near]
+                    d = edit_distances(win, item_win[i])
                     ok = d <= most
                     w, i = w[ok], i[ok]
                     yield pa.RecordBatch.from_arrays(

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from mnemora.llm.contamination import edit_distances, leaked_passages
+from mnemora.llm.contamination import edit_distances, leaked_passages, may_be_within
 
 D, I = "doc_id long, text string, item string, edits string", "item_id long, text string, doc string"
 
@@ -19,6 +19,13 @@ def test_edit_distance():
     assert edit_distances(a, b).tolist() == [0, 2, 2]
 
 
+def test_the_bound_loses_nothing():
+    r = np.random.default_rng(0)
+    a, b = r.integers(0, 3, (4000, 8)), r.integers(0, 3, (4000, 8))
+    for k in range(4):
+        assert may_be_within(a, b, k)[edit_distances(a, b) <= k].all()
+
+
 def test_exact_passages_are_all_found_and_edited_ones_mostly(spark):
     r = random.Random(0)
     word = lambda: f"w{r.randrange(3000)}"
