@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemora.functions.text import norm_name
+from mnemora.functions.text import norm_name, query_tokens
+from mnemora.operators import search
+from mnemora.sources import cut
 
 
 def active_links(links: DataFrame, memories: DataFrame) -> DataFrame:
@@ -76,6 +78,16 @@ def named_in(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return runs.join(names, "key").select("id", "entity_id", F.lit(1.0).alias("weight")).distinct()
 
 
+def seeds(queries: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
+    """Entities to start from: those named in a query (weight 1), or where it names none the ``k`` best by BM25 over names and aliases (0.5): id, entity_id, weight."""
+    named = cut(named_in(queries, entities))
+    words = query_tokens(F.concat_ws(" ", "name", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ")))
+    index = cut(search.postings(entities, words))
+    rest = queries.join(named.select("id").distinct(), "id", "left_anti")
+    best = search.bm25_topk(rest.select(F.col("id").alias("query"), F.explode(query_tokens(F.col("content"))).alias("term")), index, k)
+    return named.unionAll(best.select(F.col("query").alias("id"), F.col("id").alias("entity_id"), F.lit(0.5).alias("weight")))
+
+
 def insert_or_ignore(table: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The table and the first new row, in ``order``, of each key that it doesn't have."""
     first = new.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").select(*table.columns)

@@ -5,6 +5,8 @@ Queries are the memories whose id is divisible by 100, each searched against all
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,15 @@ def _ppr(seeds: str) -> str:
 
 _SEEDS = f"""nm AS (SELECT id AS entity_id, {SQL_NORM.format('name')} AS n FROM entities UNION SELECT id, {SQL_NORM.format('a')} FROM (SELECT id, unnest(aliases) AS a FROM entities) WHERE a IS NOT NULL),
 seeds AS MATERIALIZED (SELECT DISTINCT query, entity_id FROM (SELECT id AS query, ' ' || {SQL_NORM.format('content')} || ' ' AS q FROM memories WHERE id % 100 = 0) JOIN nm ON n <> '' AND contains(q, ' ' || n || ' '))"""
+#: Beside _SEEDS for queries that name no entity: the three best by BM25 over names and aliases.
+_SEEDS_OR_BEST = f"""{_SEEDS.replace('seeds AS', 'named AS')}, et AS (SELECT id, {SQL_TOKENS.format("concat_ws(' ', name, array_to_string(aliases, ' '))")} AS w FROM entities),
+ep AS MATERIALIZED (SELECT id, term, len, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM et) GROUP BY ALL),
+el AS MATERIALIZED (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT id, max(len) AS len FROM ep GROUP BY id)),
+ed AS (SELECT term, count(DISTINCT id) AS df FROM ep GROUP BY term), ei AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM ed, el),
+eq AS (SELECT DISTINCT query, term FROM (SELECT id AS query, unnest({SQL_TOKENS.format('content')}) AS term FROM memories WHERE id % 100 = 0) WHERE query NOT IN (SELECT query FROM named)),
+es AS (SELECT query, id AS entity_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM eq JOIN ep USING (term) JOIN ei USING (term), el GROUP BY query, id),
+seeds AS MATERIALIZED (SELECT query, entity_id, 1.0::DOUBLE AS weight FROM named UNION ALL SELECT query, entity_id, 0.5::DOUBLE
+ FROM (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, entity_id) <= 3))"""
 _GR = f"""{_ADJ}, {_SEEDS}, {_ppr("SELECT query, 'e' || entity_id AS node, 1.0::DOUBLE AS weight FROM seeds")},
 gm AS (SELECT query, CAST(substr(node, 2) AS BIGINT) AS id, round(mass, 9) AS mass FROM r20 WHERE node[1] = 'm'),
 g90 AS (SELECT * FROM gm QUALIFY row_number() OVER (PARTITION BY query ORDER BY mass DESC, id) <= 90),
@@ -77,6 +88,10 @@ _TEXT = f"{_CUR}, {_POST}, {_BM}"
 _ALL = f"WITH {_CUR}, {_VEC}, {_POST}, {_BM}, {_AW}, {_GR}, {_FUSE}, {_PRIOR}, {_ORDER}"
 
 
+#: Entities to start the graph channel from, of queries and entities.
+Seeds = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 def _queries(t: Tables) -> DataFrame:
     return t.memories.where("id % 100 = 0").select("id", "content", F.col("embedding").alias("v"))
 
@@ -134,10 +149,9 @@ def ppr(t: Tables) -> DataFrame:
     return graph.pagerank(graph.adjacency(t.memories, t.links), seeds).withColumn("mass", F.round("mass", 9))
 
 
-def _graph(t: Tables) -> DataFrame:
-    named = entities.named_in(_queries(t), t.entities)
-    seeds = named.select(F.col("id").alias("query"), F.concat(F.lit("e"), "entity_id").alias("node"), "weight")
-    mass = graph.pagerank(graph.adjacency(t.memories, t.links), seeds).where("node LIKE 'm%'")
+def _graph(t: Tables, seeds: Seeds) -> DataFrame:
+    nodes = seeds(_queries(t), t.entities).select(F.col("id").alias("query"), F.concat(F.lit("e"), "entity_id").alias("node"), "weight")
+    mass = graph.pagerank(graph.adjacency(t.memories, t.links), nodes).where("node LIKE 'm%'")
     mass = mass.select("query", F.expr("cast(substr(node, 2) as bigint)").alias("id"), F.round("mass", 9).alias("mass"))
     # more than asked for are ranked first and filtered then, as rank is held against the unfiltered mass
     wide = search.ranked(mass, "query", [F.desc("mass"), F.col("id")], 3 * search.POOL).drop("rank")
@@ -145,54 +159,54 @@ def _graph(t: Tables) -> DataFrame:
 
 
 @plan.add(f"WITH {_CUR}, {_GR} SELECT query, id, mass, rank FROM gr")
-def graph_channel(t: Tables) -> DataFrame:
-    return _graph(t).select("query", "id", "mass", "rank")
+def graph_channel(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
+    return _graph(t, seeds).select("query", "id", "mass", "rank")
 
 
-def _fused(t: Tables) -> DataFrame:
+def _fused(t: Tables, seeds: Seeds) -> DataFrame:
     index, asked = _index(t), _terms(t)
     best = search.bm25_topk(asked.select("query", "term"), index, search.POOL, allowed=_current(t))
     text = best.join(search.adaptive_weight(asked, index, t.memories.count()), "query", "left").withColumn("weight", F.coalesce("w_text", F.lit(1.0)))
     return search.fuse({
-        "vector": vector_topk(t).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t).withColumn("weight", F.lit(W_GRAPH))})
+        "vector": vector_topk(t).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t, seeds).withColumn("weight", F.lit(W_GRAPH))})
 
 
 @plan.add(f"WITH {_CUR}, {_VEC}, {_POST}, {_BM}, {_AW}, {_GR}, {_FUSE} SELECT query, id, fused, r_vector, r_text, r_graph FROM fu")
-def rrf_fusion(t: Tables) -> DataFrame:
-    return _fused(t)
+def rrf_fusion(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
+    return _fused(t, seeds)
 
 
 @plan.add(_ALL + " SELECT query, id, fused, prior FROM pr")
-def recency_prior(t: Tables) -> DataFrame:
-    return search.prior(_fused(t), t.memories, NOW).select("query", "id", "fused", "prior")
+def recency_prior(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
+    return search.prior(_fused(t, seeds), t.memories, NOW).select("query", "id", "fused", "prior")
 
 
-def _ordered(t: Tables) -> DataFrame:
-    p = search.prior(_fused(t), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
+def _ordered(t: Tables, seeds: Seeds) -> DataFrame:
+    p = search.prior(_fused(t, seeds), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
     # read twice by the reranking queries
     return cut(search.ranked(p, "query", [F.desc("score"), F.col("id")], 10 * search.POOL).withColumnRenamed("rank", "fused_rank"))
 
 
-def _reranked(t: Tables, ordered: DataFrame | None = None) -> DataFrame:
+def _reranked(t: Tables, ordered: DataFrame) -> DataFrame:
     asked = _queries(t).select(F.col("id").alias("query"), query_tokens(F.col("content")).alias("q"))
     read = t.memories.select("id", query_tokens(F.substring("content", 1, 320)).alias("w"))
-    pool = (_ordered(t) if ordered is None else ordered).where("fused_rank <= 8").join(read, "id").join(asked, "query")
+    pool = ordered.where("fused_rank <= 8").join(read, "id").join(asked, "query")
     return search.blend(pool.select("query", "id", "fused_rank", search.token_overlap(F.col("q"), F.col("w")).alias("rerank")))
 
 
 @plan.add(_ALL + f", {_RR} SELECT query, id, fused_rank, rerank, rerank_rank, blended, rank FROM rb")
-def rerank_blend(t: Tables) -> DataFrame:
-    return _reranked(t)
+def rerank_blend(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
+    return _reranked(t, _ordered(t, seeds))
 
 
 @plan.add(_ALL + f", {_RR} SELECT query, id, rank, rerank AS score FROM rb WHERE rank <= 5")
-def hybrid_search(t: Tables) -> DataFrame:
-    return _reranked(t).where("rank <= 5").select("query", "id", "rank", F.col("rerank").alias("score"))
+def hybrid_search(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
+    return _reranked(t, _ordered(t, seeds)).where("rank <= 5").select("query", "id", "rank", F.col("rerank").alias("score"))
 
 
 @plan.add(_ALL + f", {_RR} SELECT query, id, rb.rank, r_vector, r_text, r_graph, fused, prior, rerank FROM rb JOIN od USING (query, id) WHERE rb.rank <= 5")
-def search_explain(t: Tables) -> DataFrame:
-    ordered = _ordered(t)
+def search_explain(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
+    ordered = _ordered(t, seeds)
     o = ordered.select("query", "id", "r_vector", "r_text", "r_graph", "fused", "prior")
     return _reranked(t, ordered).where("rank <= 5").join(o, ["query", "id"]).select("query", "id", "rank", "r_vector", "r_text", "r_graph", "fused", "prior", "rerank")
 
@@ -200,14 +214,30 @@ def search_explain(t: Tables) -> DataFrame:
 @plan.add(_ALL + f""", {_RR}, rg AS (SELECT rb.query, rb.id, rb.rank, rerank FROM rb JOIN memories m ON m.id = rb.id JOIN memories q ON q.id = rb.query
  WHERE rb.rank <= 6 AND rerank >= 0.2 AND NOT (m.status = 'active' AND m.importance >= 0.7 AND (m.relation IS NOT NULL OR m.domain = 'identity')) AND len(regexp_extract_all(q.content, '\\S+')) >= 3)
 SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY rank) AS INTEGER) AS pos FROM rg QUALIFY pos <= 3""")
-def recall_gate(t: Tables) -> DataFrame:
+def recall_gate(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
     """At most three hits for each prompt of three words or more: of sufficient score, and not in the profile anyway."""
     shown = t.memories.where("status = 'active' AND importance >= 0.7 AND (relation IS NOT NULL OR domain = 'identity')").select("id")
     long_enough = _queries(t).where(F.size(F.regexp_extract_all("content", F.lit(r"\S+"), F.lit(0))) >= 3).select(F.col("id").alias("query"))
-    hits = _reranked(t).where("rank <= 6 AND rerank >= 0.2").join(shown, "id", "left_anti").join(long_enough, "query", "left_semi").select("query", "id", F.col("rank").alias("at"))
+    hits = _reranked(t, _ordered(t, seeds)).where("rank <= 6 AND rerank >= 0.2").join(shown, "id", "left_anti").join(long_enough, "query", "left_semi").select("query", "id", F.col("rank").alias("at"))
     return search.ranked(hits, "query", [F.col("at")], 3).select("query", "id", F.col("rank").alias("pos"))
 
 
+@plan.add(f"WITH {_SEEDS_OR_BEST} SELECT query AS id, entity_id, weight FROM seeds")
+def entity_seeds_or_best(t: Tables) -> DataFrame:
+    """Seeds with the second step: queries that name no entity start from the best by BM25 over names."""
+    return entities.seeds(_queries(t), t.entities)
+
+
+def _or_best(f: Callable[[Tables, Seeds], DataFrame]) -> None:
+    """Enter a query once more, with the seeds of ``entity_seeds_or_best``."""
+    QUERIES[f"{f.__name__}_or_best"] = lambda spark, sf_dir: f(Tables(spark, sf_dir), entities.seeds)
+    SQL[f"{f.__name__}_or_best"] = SQL[f.__name__].replace(_SEEDS, _SEEDS_OR_BEST)
+
+
+for _f in (graph_channel, rrf_fusion, recency_prior, rerank_blend, hybrid_search, search_explain, recall_gate):
+    _or_best(_f)
+
+
 @plan.add(f"""WITH {_CUR}, q AS MATERIALIZED (SELECT id AS query, embedding::DOUBLE[] AS v, list_distinct({SQL_TOKENS.format('content')}) AS t FROM memories WHERE id % 100 = 0 AND relation IS NULL AND {_USABLE}),
 r AS MATERIALIZED (SELECT id, embedding::DOUBLE[] AS v, {SQL_TOKENS.format('content')} AS t FROM memories WHERE status = 'active' AND {_USABLE}),
 s AS (SELECT query, id, round(list_cosine_similarity(q.v, r.v), 6) AS similarity, round(len(list_intersect(q.t, r.t)) / greatest(1, len(q.t)), 6) AS p FROM q JOIN r ON query <> id),
