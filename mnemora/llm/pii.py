@@ -41,9 +41,34 @@ _STREET_SIGNS = r"Street|St\.|St\b|Road|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Cres
 _DOT = r"(?:\.|\s*[\(\[]\s*dot\s*[\)\]]\s*|\s+dot\s+)"
 _EMAIL = rf"(?<![\p{{L}}\p{{Nd}}._%+\-])[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._%+\-]*(?:@|\s*[\(\[]\s*at\s*[\)\]]\s*|\s+at\s+(?=[\w\-]+\s+dot\s))[\p{{L}}\p{{Nd}}\-]+(?:{_DOT}[\p{{L}}\p{{Nd}}\-]+)+"
 _NUMBER = r"(?<![\p{L}\p{Nd},.\-/])(?:\p{Lu}{2}[\s\-]?(?=\d[\d\s.\-]{5})|\p{Ll}{2}(?=\d{4}))?(?:\+\s?|\()?\d+(?:(?:\s*\(\d+\)\s*|\)\s*|\s+|[.\-/])\d+)*(?:\s?\p{Lu}(?![\p{L}\p{Nd}]))?(?![\p{L}\p{Nd}])"
+#: Words that begin a sentence or stand before a name and are no part of it.
+_NO_NAME = frozenset("""the a an and or but if when while as after before since although because though so then thus now today yesterday tomorrow here there this that these those it he she we you they i
+his her its our your their my who what which where why how not no yes in on at by of to for from with without is are was were has have had do does did also only even both each every some many
+mr mrs ms miss dr prof sir dame madam madame president commissioner minister witness nurse constituent zeuge zeugin pfleger pflegerin brief herr herrn frau mme mlle señor señora señorita sr sra don doña
+le la les un une des du de et ou mais si quand lorsque comme après avant il elle nous vous ils elles je ce cette ces son sa ses notre votre leur qui que où non oui dans sur par pour avec sans est sont
+der die das den dem ein eine einen und oder aber wenn als nach vor seit weil heute gestern hier da dies diese dieser er sie wir ihr es ich sein unser wer was wo nicht nein ja in auf bei von zu für mit ohne ist sind
+el los las una unos y o pero cuando como después antes ella nosotros ellos yo este esta estos su sus nuestro quien donde no sí en con sin es son hoy ayer""".split())
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+|[^\s\p{L}\p{M}\p{Nd}]")
 
 
+_NAME_WORD = regex.compile(rf"(?<![\p{{L}}\p{{Nd}}\-]){_SUR}(?![\p{{L}}\p{{Nd}}])")
+
+
+def name_parts(s: str, given: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Given names and surnames of a name: by the listed given names if it has one, else by place."""
+    tokens = regex.findall(_CAP, s)
+    givens = tuple(t for t in tokens if t in given)
+    if givens:
+        return givens, tuple(t for t in tokens if t not in given) or tuple(tokens)
+    turned = s.split(",")
+    words = regex.findall(_SUR, s)
+    if len(words) < 2:
+        return (), tuple(tokens)
+    own = turned[0] if len(turned) > 1 else words[-1]
+    surnames = tuple(regex.findall(_CAP, own))
+    return tuple(t for t in tokens if t not in surnames), surnames
+
+
 class Segment:
     """A candidate: kind proposed (e, n number, a address, p person), place in the text, features, name tokens."""
 
@@ -78,6 +103,10 @@ class PublicPeople:
             ("p", None, regex.compile(
                 rf"{begin}(?:{_TITLE}\s+(?!{first}\s)(?P<own>{_SUR})|(?P<own>{first}\s+(?:{_INITIAL}\s+)?{_SUR}|{_SUR},\s+(?:{first}(?!\s+(?:{_INITIAL}\s+)?\p{{Lu}})(?![\p{{L}}\p{{Nd}}])|(?:{_INITIAL})(?!\s+\p{{Lu}}))|(?!M\.){_INITIAL}\s+(?:{_INITIAL}\s+)?{_SUR}))")),
             ("n", None, regex.compile(_NUMBER)))
+        # full names by their form alone, whatever the given name
+        link = r"(?:(?:van|von|der|den|de|la|del|di|da|dos|du|le|ten|ter|zu)\s+)*"
+        self.run = regex.compile(rf"{begin}{_SUR}(?:\s+(?:{_INITIAL}\s+)*{link}{_SUR})+(?![\p{{L}}\p{{Nd}}])")
+        self.turned = regex.compile(rf"{begin}{_SUR},\s+{_SUR}(?!\s+(?:{_INITIAL}\s+)?\p{{Lu}})(?![\p{{L}}\p{{Nd}}])")
 
     def candidates(self, text: str) -> list[tuple[str, int, int]]:
         """Proposed segments (kind, start, end) in order; where two overlap the earlier one stands, then the kind's order."""
@@ -90,7 +119,56 @@ class PublicPeople:
             if start >= last and (kind != "n" or sum(c.isdigit() for c in text[start:end]) >= 6):
                 out.append((kind, start, end))
                 last = end
-        return out
+        return self._open(text, out)
+
+    def _open(self, text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """The segments found and, where none of them stands, names of unlisted given names and bare repeats of a surname of the text."""
+        taken = bytearray(len(text))
+        for _, start, end in found:
+            taken[start:end] = b"1" * (end - start)
+        out = {start: (kind, start, end) for kind, start, end in found}
+
+        def place(start: int, end: int) -> None:
+            if not any(taken[start:end]):
+                out[start] = ("p", start, end)
+                taken[start:end] = b"1" * (end - start)
+
+        for m in self.run.finditer(text):
+            words = list(_NAME_WORD.finditer(text, *m.span()))
+            while len(words) > 1 and words[0][0].lower() in _NO_NAME:
+                words = words[1:]
+            # "Brief von Anna Berg": a full name follows
+            if len(words) > 2 and regex.search(r"\s(?:von|van)\s", text[words[0].end() : words[1].start() + 1]):
+                words = words[1:]
+            if len(words) < 2:
+                continue
+            start, end = words[0].start(), m.end()
+            inner = next((o for o in out.values() if o[0] == "p" and start < o[1] and o[2] == end and regex.match(_INITIAL, text[o[1] : end])), None)
+            if inner and len(words) == 2:
+                del out[inner[1]]
+                taken[inner[1] : end] = bytes(end - inner[1])
+            titled = out.get(start)
+            # a title before an unlisted given name took it for the surname
+            if titled and titled[0] == "p" and titled[2] < end and not any(w in self.given for w in _NAME_WORD.findall(text, start, titled[2])):
+                taken[start : titled[2]] = bytes(titled[2] - start)
+                if any(taken[start:end]):
+                    taken[start : titled[2]] = b"1" * (titled[2] - start)
+                    continue
+                del out[start]
+            place(start, end)
+        turned = [m.span() for m in self.turned.finditer(text) if _NAME_WORD.match(text, m.start())[0].lower() not in _NO_NAME]
+        # surnames known from other forms tell a turned name from two words beside a comma, and turned names add theirs
+        for last in (False, True):
+            surnames = {s for kind, start, end in out.values() if kind == "p" for s in name_parts(text[start:end], self.given)[1][-1:]}
+            for start, end in turned:
+                if last or name_parts(text[start:end], self.given)[1][-1] in surnames:
+                    place(start, end)
+            if last:
+                surnames = {s for kind, start, end in out.values() if kind == "p" for s in name_parts(text[start:end], self.given)[1][-1:]}
+            for m in _NAME_WORD.finditer(text) if surnames else ():
+                if m[0] in surnames:
+                    place(*m.span())
+        return sorted(out.values(), key=lambda x: x[1])
 
     def _near(self, surname: str) -> str:
         """'same', 'edit' or 'far': how near a surname is to a public one."""
@@ -128,9 +206,8 @@ def segments(text: str, public: PublicPeople) -> list[Segment]:
             f += [f"s:{shape}", f"d:{digits}", f"s4:{shape[:4]}", f"s6:{shape[:6]}", f"e:{shape[-3:]}", f"lead:{s[:2]}", f"sep:{''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', s))))}", f"letters:{any(c.isalpha() for c in s)}"]
             seg.tokens = (re.sub(r"\W", "", s).lower(),)
         elif kind == "p":
-            tokens = [t for t in regex.findall(rf"{_CAP}", s)]
-            givens = [t for t in tokens if t in public.given]
-            surnames = [t for t in tokens if t not in public.given] or tokens
+            tokens = regex.findall(_CAP, s)
+            givens, surnames = name_parts(s, public.given)
             nears = [public.near(t) for t in surnames]
             near = "far" if "far" in nears else "edit" if "edit" in nears else "same"
             known = {g for t in surnames for g in public.by_surname.get(t.lower(), ())}
@@ -158,17 +235,25 @@ _MASKS = {k: _mask(k) for k in _ALLOWED}
 def edges(segs: list[Segment]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges between neighbours, and skip edges: each repeated or similar token's mentions, one to the next.
 
-    Mentions that share a token are linked in order of place, so a token with n mentions gives n - 1 edges.
+    Mentions that share a token, or name tokens one edit apart, are linked in order of place to the last mention before.
     """
     chain = [(i, i + 1) for i in range(len(segs) - 1)]
     last: dict[tuple[str, str], int] = {}
+    near: dict[str, dict[str, int]] = {}
     skip = set()
     for i, s in enumerate(segs):
         for t in s.tokens:
             key = (s.kind, t)
-            if key in last:
+            if key in last and last[key] != i:
                 skip.add((last[key], i))
             last[key] = i
+            if s.kind == "p" and len(t) >= 4:
+                cut = deletes(t)
+                like = [j for d in cut for x, j in near.get(d, {}).items() if x != t and j != i and within_one(t, x)]
+                if like:
+                    skip.add((max(like), i))
+                for d in cut:
+                    near.setdefault(d, {})[t] = i
     return chain, sorted(skip)
 
 
