@@ -77,6 +77,11 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether two tokens may be spellings of one: one edit apart, but of tokens of 3 letters only where letters are swapped or one is added; shorter ones must be equal."""
+    return a == b or (min(len(a), len(b)) >= 3 and (max(len(a), len(b)) >= 4 or sorted(a) == sorted(b)) and within_one(a, b))
+
+
 def parse_name(raw: str | None, hint: str | None) -> tuple[str, list[str]] | None:
     """Form (p person, o organisation, m single word) and plain tokens of a name; persons with given names first.
 
@@ -199,8 +204,8 @@ def _deletes(token: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.BooleanType())
-def _within_one(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one(x, y) for x, y in zip(a, b)], dtype=bool)
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -211,7 +216,7 @@ def _keys(form: pd.Series, rest: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def _fit(form: pd.Series, anchor_a: pd.Series, rest_a: pd.Series, anchor_b: pd.Series, rest_b: pd.Series) -> pd.Series:
     return pd.Series([
-        align(f, list(x), list(y)) if within_one(p, q) else None for f, p, x, q, y in zip(form, anchor_a, rest_a, anchor_b, rest_b)], dtype=object)
+        align(f, list(x), list(y)) if alike(p, q) else None for f, p, x, q, y in zip(form, anchor_a, rest_a, anchor_b, rest_b)], dtype=object)
 
 
 def link_names(rows: DataFrame, row_id: Column, name: Column, aliases: Column, kind: Column) -> DataFrame:
@@ -220,7 +225,7 @@ def link_names(rows: DataFrame, row_id: Column, name: Column, aliases: Column, k
     Names of a row are its name and its aliases; null, blank and repeated ones don't matter, null ids are left out,
     rows without a usable name are entities of their own. Names are taken apart into plain tokens (case, accents,
     titles and punctuation don't matter). A symmetric-delete index over the distinct tokens finds those one edit
-    apart; each name is blocked by its rarest token (by the names of the table, so a handful of rows may mislead it) and
+    apart; each name is blocked by its rarest token, persons by their first and last token too, and
     by keys of the rest, so no common token makes a block. Tokens
     of candidates are aligned at the least cost. Names that fit in full are joined; one that has only an initial or an
     acronym is joined where exactly one entity fits. Links are transitive.
@@ -233,31 +238,34 @@ def link_names(rows: DataFrame, row_id: Column, name: Column, aliases: Column, k
 
     # classes of tokens one edit apart, over distinct tokens only
     vocabulary = cut(names.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
-    index = vocabulary.where(F.length("token") >= 4).select("token", F.explode(_deletes("token")).alias("key"))
+    index = vocabulary.where(F.length("token") >= 3).select("token", F.explode(_deletes("token")).alias("key"))
     x, y = index.withColumnRenamed("token", "a"), index.withColumnRenamed("token", "b")
-    near = x.join(y, "key").where("a < b").select("a", "b").distinct().where(_within_one("a", "b"))
+    near = x.join(y, "key").where("a < b").select("a", "b").distinct().where(_alike("a", "b"))
     classes = connected_components(near).select(F.col("node").alias("token"), F.col("component").alias("class"))
     tokens = vocabulary.join(classes, "token", "left").withColumn("class", F.coalesce("class", "token"))
     weight = tokens.groupBy("class").agg(F.sum("df").alias("class_df"))
     tokens = cut(tokens.join(weight, "class").select("token", "class", "class_df"))
 
-    at = names.select("name", F.posexplode("tokens").alias("pos", "token")).where(F.length("token") >= 3)
-    # a known given name or a short form is no anchor where there is another token, however rare its spelling
-    given = F.col("token").isin(sorted(_roots())) | (F.length("token") < 5)
-    rarest = at.join(tokens, "token").groupBy("name").agg(F.min(F.struct(given.alias("given"), "class_df", F.negative(F.length("token")).alias("l"), "token", "pos", "class")).alias("r"))
-    blocked = names.join(rarest.select("name", "r.pos", "r.token", "r.class"), "name").select(
-        "name", "form", F.col("token").alias("anchor"), "class", F.filter("tokens", lambda t, i: i != F.col("pos")).alias("rest"))
+    n = F.size("tokens")
+    at = names.select("name", "form", n.alias("n"), F.posexplode("tokens").alias("pos", "token")).where("form <> 'p' OR length(token) > 1").join(tokens, "token")
+    # a known given name or a short form is the main anchor only where there is no other token, however rare its spelling
+    order = F.struct((F.length("token") < 3).alias("tiny"), (F.col("token").isin(sorted(_roots())) | (F.length("token") < 5)).alias("given"), "class_df", F.negative(F.length("token")).alias("l"), "token", "pos")
+    main = at.groupBy("name").agg(F.min(order)["pos"].alias("main"))
+    # persons are blocked by their first and last token too, as either may be the surname
+    anchors = at.join(main, "name").where("pos = main OR (form = 'p' AND (pos = 0 OR pos = n - 1))").select("name", "pos", "token", "class", F.expr("pos = n - 1").alias("last"), F.expr("pos <> main AND pos < n - 1").alias("extra"))
+    blocked = names.join(anchors, "name").select("name", "form", "tokens", F.col("token").alias("anchor"), "class", "last", "extra", F.filter("tokens", lambda t, i: i != F.col("pos")).alias("rest"))
     blocked = cut(blocked.withColumn("keys", _keys("form", "rest")))
-    weak = blocked.where("(form = 'p' AND length(rest[0]) = 1) OR (form = 'o' AND size(rest) = 1 AND length(rest[0]) <= 3)").select("name").withColumn("weak", F.lit(True))
+    initials = F.size(F.filter("tokens", lambda t: F.length(t) == 1))
+    weak = blocked.where(((F.col("form") == "p") & ((F.length(F.col("tokens")[0]) == 1) | (initials == n - 1))) | F.expr("form = 'o' AND size(rest) = 1 AND length(rest[0]) <= 3"))
+    weak = weak.select("name").distinct().withColumn("weak", F.lit(True))
     blocked = cut(blocked.join(weak, "name", "left").withColumn("weak", F.coalesce("weak", F.lit(False))))
 
-    keyed = blocked.select("form", "class", F.explode("keys").alias("key"), "name", "weak")
+    keyed = blocked.select("form", "class", F.explode("keys").alias("key"), "name", "anchor", "rest", "weak", "last", "extra")
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, ["form", "class", "key"]).where(
-        "a.name < b.name AND NOT (a.weak AND b.weak) AND (substr(key, 1, 1) <> 'n' OR a.weak OR b.weak)").select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
-    info = blocked.select("name", "form", "anchor", "rest", "weak")
-    fits = pairs.join(info.toDF("a", "form", "anchor_a", "rest_a", "weak_a"), "a").join(info.drop("form").toDF("b", "anchor_b", "rest_b", "weak_b"), "b")
-    fits = cut(fits.withColumn("fit", _fit("form", "anchor_a", "rest_a", "anchor_b", "rest_b")).where("fit IS NOT NULL").select("a", "b", "weak_a", "weak_b"))
+        "a.name < b.name AND NOT (a.weak AND b.weak) AND (substr(key, 1, 1) <> 'n' OR a.weak OR b.weak) AND NOT (a.extra AND NOT b.last) AND NOT (b.extra AND NOT a.last)")
+    fits = pairs.select("form", *[F.col(f"{s}.{c}").alias(t) for s, end in (("a", "_a"), ("b", "_b")) for c, t in (("name", s), ("anchor", "anchor" + end), ("rest", "rest" + end), ("weak", "weak" + end))]).distinct()
+    fits = cut(fits.withColumn("fit", _fit("form", "anchor_a", "rest_a", "anchor_b", "rest_b")).where("fit IS NOT NULL").select("a", "b", "weak_a", "weak_b").distinct())
 
     strong = fits.where("NOT weak_a AND NOT weak_b").select("a", "b")
     own = named.join(weak, "name", "left_anti").select((F.col("id") * 2).alias("a"), F.col("name").alias("b"))
