@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
 from functools import cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,28 +151,60 @@ def align(form: str, a: list[str], b: list[str]) -> str | None:
                 return "weak"
         if len(a) != len(b) or not a:
             return None
-        best = min((c for p in permutations(b[:5]) if (c := _total(a[:5], p, False)) is not None), default=None)
+        best = _least(a, b, False)
         return None if best is None or best > 2.5 else "full"
     if not a or not b:
         return None
     first = _token_cost(a[0], b[0], True)
     if first is None:
         return None
-    x, y = sorted((a[1:4], b[1:4]), key=len)
-    more = min((c for p in permutations(y, len(x)) if (c := _total(x, p, True)) is not None), default=None)
+    more = _least(*sorted((a[1:], b[1:]), key=len), True)
     if more is None or first % 3 + more % 3 > 2.5:
         return None
     return "weak" if first == 3.0 else "full"
 
 
-def _total(a: Iterable[str], b: Iterable[str], person: bool) -> float | None:
-    total = 0.0
-    for x, y in zip(a, b):
-        c = _token_cost(x, y, person)
-        if c is None:
+def _least(a: list[str], b: list[str], person: bool) -> float | None:
+    """The least total cost of giving each token of ``a`` another one of ``b``, which has as many or more; None if they can't all be given one.
+
+    Shortest augmenting paths with potentials (Hungarian method): polynomial in the number of tokens.
+    """
+    never = 1e6
+    rows, cols = len(a), len(b)
+    price: dict[tuple[str, str], float] = {}
+    for x in a:
+        for y in b:
+            if (x, y) not in price:
+                c = _token_cost(x, y, person)
+                price[x, y] = never if c is None else c
+        if all(price[x, y] == never for y in b):
             return None
-        total += c
-    return total
+    u, v, owner = [0.0] * (rows + 1), [0.0] * (cols + 1), [0] * (cols + 1)
+    for i in range(1, rows + 1):
+        owner[0], at = i, 0
+        least, back, done = [float("inf")] * (cols + 1), [0] * (cols + 1), [False] * (cols + 1)
+        while owner[at]:
+            done[at] = True
+            row, step, to = owner[at], float("inf"), 0
+            for j in range(1, cols + 1):
+                if not done[j]:
+                    c = price[a[row - 1], b[j - 1]] - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], back[j] = c, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(cols + 1):
+                if done[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    total = sum(price[a[owner[j] - 1], b[j - 1]] for j in range(1, cols + 1) if owner[j])
+    return None if total >= never else round(total, 9)
 
 
 def _second_keys(form: str, rest: list[str]) -> list[str]:
