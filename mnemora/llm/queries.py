@@ -39,9 +39,11 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_daily_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of the percentiles per tool from histograms made day by day and then combined."""
-    days = digit_histogram(_calls(spark, sf_dir), {"day": F.col("day"), "tool": F.col("tool")}, F.col("latency_ms"))
-    return histogram_percentiles(merge_histograms(days, ["tool"]), ["tool"], [50, 95, 99])
+    """Bounds of the percentiles per agent and tool from histograms made day by day and then combined."""
+    days = digit_histogram(_calls(spark, sf_dir), {"day": F.col("day"), "agent": F.col("agent"), "tool": F.col("tool")}, F.col("latency_ms"))
+    out = histogram_percentiles(merge_histograms(days, ["agent", "tool"]), ["agent", "tool"], [50, 95, 99])
+    # a whole number lies in the interval of 24 leading bits whose ends are a share of 2**-12 apart
+    return out.select("agent", "tool", F.col("pct").cast("int").alias("pct"), F.ceil("low").alias("low"), F.floor("high").alias("high"), "n")
 
 
 QUERIES = {"p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_daily_merged": p4_daily_merged}
@@ -57,6 +59,9 @@ SQL = {
     "p4_found": _CALLS + """
 SELECT agent, tool, pct FROM q WHERE n >= 20 AND (pct = 50 AND v >= 800 OR pct = 95 AND v >= 5000 OR pct = 99 AND v >= 20000)""",
     "p4_percentiles": _CALLS + " SELECT agent, tool, pct, CAST(v AS DOUBLE) AS value, n FROM q",
+    # 24 leading bits of a double are 12 of exponent and sign and 12 of its mantissa
+    "p4_daily_merged": _CALLS + """, s AS (SELECT *, CASE WHEN v = 0 THEN 1.0 ELSE pow(2, floor(log2(v) + 1e-12) - 12) END AS step FROM q WHERE pct <> 90)
+SELECT agent, tool, pct, CAST(ceil(floor(v / step) * step) AS BIGINT) AS low, CAST(ceil((floor(v / step) + 1) * step) - 1 AS BIGINT) AS high, n FROM s""",
 }
 
 
@@ -134,19 +139,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document and item the number of passages, with and without an edit, and where the first begins."""
-    return _leaks(spark, sf_dir).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
-        F.countDistinct("doc_pos").alias("n_windows"), F.min("edits").alias("edits"), F.min("doc_pos").alias("first_word"))
+    """For each document and item with a passage word for word: the number of places, and the first one's word."""
+    return _leaks(spark, sf_dir).where("edits = 0").groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.countDistinct("doc_pos").alias("n_places"), F.min("doc_pos").alias("first_word"))
 
 
-QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks}
+def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items whose passages all have a word inserted, lost or changed, and where the first begins."""
+    found = _leaks(spark, sf_dir).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.min("edits").alias("edits"), F.min("doc_pos").alias("first_word"))
+    return found.where("edits > 0").drop("edits")
 
-SQL["p7_found"] = """
+
+QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks, "p7_edited": p7_edited}
+
+_PASSAGES = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
-dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS p FROM d),
-iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS p FROM i)
-SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (p)"""
+dw AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS p FROM i)"""
+SQL["p7_found"] = _PASSAGES + " SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (p)"
+SQL["p7_leaks"] = _PASSAGES + " SELECT doc_id, item_id, count(DISTINCT k) AS n_places, CAST(min(k) - 1 AS INTEGER) AS first_word FROM dw JOIN iw USING (p) GROUP BY ALL"
 
 
 # 8: mixing sources to target weights
