@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from mnemora.llm.grouped import groups
 from mnemora.sources import cut
 
 _I64 = pa.int64()
+#: Chance of two vectors of the least similarity to meet; the screen and the rest of the index leave 0.9 and more of it.
+RECALL = 0.95
 
 
 @dataclass(frozen=True)
@@ -25,26 +28,60 @@ class Probing:
 
     tables: hash tables; functions: Gaussian projections of a table's key; width: width of a projection's slots for
     unit vectors; probes: perturbed buckets visited in each table besides a vector's own; slots: slot borders, nearest
-    first, among which perturbations are chosen; sketch: sign bits that a candidate pair is pre-screened with, at
-    ``slack`` standard deviations beyond the expectation at the least similarity; block: members beyond which a
-    bucket is compared exactly in blocks of this size.
+    first, among which perturbations are chosen; sketch: sign bits (a multiple of 64) that a candidate pair is screened
+    with, at ``slack`` standard deviations beyond the expectation at the least similarity, first by 64 of them, then by
+    all; block: members beyond which a bucket is compared in tiles of this size, each a task's work of its own.
     """
 
     tables: int = 10
-    functions: int = 12
-    width: float = 2.2
-    probes: int = 4
+    functions: int = 14
+    width: float = 3.6
+    probes: int = 3
     slots: int = 8
-    sketch: int = 128
-    slack: float = 1.5
-    block: int = 4096
+    sketch: int = 192
+    slack: float = 2.6
+    block: int = 8192
     seed: int = 7
 
     @staticmethod
-    def for_rows(n: int) -> Probing:
-        """More functions and tables as rows grow, so that candidates per vector grow with the root of n only."""
-        grown = max(1.0, n / 250_000)
-        return Probing(tables=math.ceil(10 * grown**0.25), functions=12 + round(math.log(grown) / (2 * math.log(1 / 0.7))))
+    @lru_cache(64)
+    def reaching(recall: float, least: float, rows: int, bucket: int = 1500) -> Probing:
+        """The index in which two vectors of similarity ``least`` meet with probability ``recall``, whatever the number of rows.
+
+        Functions are as many as keep the expected bucket of unrelated vectors to ``bucket`` of ``rows``, at least the
+        default's; the chance to meet in one table follows from a seeded simulation of pairs just at ``least``, and
+        tables are as many as the recall asks for. So more rows make more tables, never fewer links.
+        """
+        p = Probing()
+        c = p.width / math.sqrt(2)  # slots in units of the distance of unrelated, orthogonal unit vectors
+        apart = math.erf(c / math.sqrt(2)) - math.sqrt(2 / math.pi) / c * (1 - math.exp(-c * c / 2))
+        functions = max(p.functions, math.ceil(math.log(max(1.0, rows / bucket)) / -math.log(apart)))
+        meet = _chance_to_meet(functions, p, least)
+        return replace(p, functions=functions, tables=math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
+def _chance_to_meet(functions: int, p: Probing, similarity: float, pairs: int = 20_000) -> float:
+    """The share of pairs of unit vectors of that similarity that meet in one table, by a seeded simulation."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((pairs, functions))
+    y = similarity * x + math.sqrt(1 - similarity**2) * rng.standard_normal((pairs, functions))
+    shift = rng.uniform(0, 1, (pairs, functions))  # as of many tables
+    crossed = perturbations(functions, p.probes, p.slots)
+    met = np.zeros(pairs, bool)
+    for a, b in ((x, y), (y, x)):
+        slot, other = np.floor(a / p.width + shift), np.floor(b / p.width + shift)
+        z = a / p.width + shift - slot
+        border = np.concatenate([z, 1 - z], axis=1)
+        nearest_ = np.argsort(border, axis=1)[:, : crossed.shape[0]]
+        step = other - slot
+        met |= (step == 0).all(axis=1)
+        for k in range(crossed.shape[1]):
+            moved = np.zeros_like(step)
+            for s in np.flatnonzero(crossed[:, k]):
+                at = nearest_[:, s]
+                moved[np.arange(pairs), at % functions] += np.where(at < functions, -1, 1)
+            met |= (step == moved).all(axis=1)
+    return float(met.mean())
 
 
 def perturbations(functions: int, probes: int, slots: int) -> np.ndarray:
@@ -73,7 +110,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _hasher(dim: int, p: Probing):  # noqa: ANN202
-    """A function from record batches (id, v) to (id, own list<long>, near list<long>, s1, s2)."""
+    """A function from record batches (id, v) to (id, own list<long>, near list<long>, s0, s1, ...: 64 sketch bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(p.seed)
@@ -90,7 +127,7 @@ def _hasher(dim: int, p: Probing):  # noqa: ANN202
                 y = _unit(part.column(1)) @ axes
                 n = len(y)
                 bits = (y[:, n_keys:] > 0).astype(np.int64)
-                s1, s2 = bits[:, :64] @ weights[: min(64, p.sketch)], bits[:, 64:] @ weights[: p.sketch - 64]
+                prints = [pa.array(bits[:, s : s + 64] @ weights) for s in range(0, p.sketch, 64)]
                 z = y[:, :n_keys] + shift
                 slot = np.floor(z)
                 z -= slot
@@ -104,40 +141,140 @@ def _hasher(dim: int, p: Probing):  # noqa: ANN202
                     near[:, t] = own[:, t, None] + np.concatenate([-mix[s], mix[s]])[nearest] @ crossed
                 lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.size // n, dtype=np.int32)), pa.array(a.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists(own), lists(near), pa.array(s1), pa.array(s2)], ["id", "own", "near", "s1", "s2"])
+                    [part.column(0), lists(own), lists(near), *prints], ["id", "own", "near", *_prints(p)])
 
     return run
 
 
-def _bucket_pairs(most: int, block: int):  # noqa: ANN202
-    """From rows (key, far, id, s1, s2) sorted by key and far to pairs (a, b), or (id, null, key) of a hot bucket."""
+def _prints(p: Probing) -> list[str]:
+    return [f"s{i}" for i in range(p.sketch // 64)]
+
+
+def _limits(p: Probing, least: float) -> tuple[int, int]:
+    """Differing sketch bits up to which a pair passes: of the first 64, and of all."""
+    angle = math.acos(least) / math.pi
+    return tuple(math.floor(n * angle + p.slack * math.sqrt(n * angle * (1 - angle))) for n in (64, p.sketch))  # type: ignore[return-value]
+
+
+def _screened(x: np.ndarray, y: np.ndarray, prints: list[np.ndarray], first: int, most: int) -> np.ndarray:
+    """Which of the pairs of rows x and y pass the whole sketch, of those that pass its first 64 bits."""
+    some = np.flatnonzero(np.bitwise_count(prints[0][x] ^ prints[0][y]) <= first)
+    far = np.zeros(len(some), np.int16)
+    for s in prints:
+        far += np.bitwise_count(s[x[some]] ^ s[y[some]])
+    return some[far <= most]
+
+
+def _crossed(rows: np.ndarray, cols: np.ndarray, prints: list[np.ndarray], first: int, most: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each of ``rows`` with each of ``cols`` that pass the sketch; with ``later`` (both the same) each pair once."""
+    out = []
+    width = 1 << 11
+    for i in range(0, len(rows), 256):
+        r = rows[i : i + 256]
+        left = prints[0][r][:, None]
+        for j in range(i - i % width if later else 0, len(cols), width):
+            c = cols[j : j + width]
+            u, v = np.nonzero(np.bitwise_count(left ^ prints[0][c][None, :]) <= first)
+            if later:
+                once = j + v > i + u
+                u, v = u[once], v[once]
+            x, y = r[u], c[v]
+            ok = _screened(x, y, prints, 64, most)
+            out.append((x[ok], y[ok]))
+    return tuple(np.concatenate(o) if out else np.empty(0, np.int64) for o in (zip(*out) if out else ((), ())))  # type: ignore[return-value]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of different ids, the smaller first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    ab = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.nulls(len(ab), _I64), pa.nulls(len(ab), _I64)], ["a", "b", "hot", "far"])
+
+
+def _hot_rows(table: pa.Table, hot: np.ndarray) -> pa.RecordBatch:
+    kept = table.filter(pa.array(hot)).combine_chunks()
+    key, far, ids = (kept.column(i).combine_chunks() for i in range(3))
+    return pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), _I64), key, far.cast(_I64)], ["a", "b", "hot", "far"])
+
+
+def _whole_or_hot(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Batches sorted by their first column, cut anew at the borders of keys; a key of more than ``block`` rows comes out in parts, marked hot, and is never held whole."""
+    held: list[pa.RecordBatch] = []
+    hot = None
+    for b in batches:
+        while b.num_rows:
+            key = b.column(0).to_numpy()
+            if hot is not None:
+                n = int(np.searchsorted(key != hot, True)) if key[-1] != hot else len(key)
+                if n:
+                    yield pa.Table.from_batches([b.slice(0, n)]), True
+                b, hot = b.slice(n), hot if n == len(key) else None
+                continue
+            if held and held[-1].column(0)[-1].as_py() != key[0]:
+                yield pa.Table.from_batches(held), False
+                held = []
+            turn = np.flatnonzero(key[1:] != key[:-1])
+            if len(turn):
+                yield pa.Table.from_batches([*held, b.slice(0, turn[-1] + 1)]), False
+                held, b = [], b.slice(turn[-1] + 1)
+            held.append(b)
+            b = b.slice(b.num_rows)
+            if sum(x.num_rows for x in held) > block:
+                hot = held[0].column(0)[0].as_py()
+                yield pa.Table.from_batches(held), True
+                held = []
+    if held:
+        yield pa.Table.from_batches(held), False
+
+
+def _bucket_pairs(first: int, most: int, block: int):  # noqa: ANN202
+    """From rows (key, far, id, s0, ...) sorted by key and far to pairs (a, b), or (id, null, key, far) of a hot bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 1):
-            key, far, ids, s1, s2 = (table.column(i).to_numpy() for i in range(5))
-            s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of a signed number would be those of its absolute value
-            first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
-            size = np.diff(np.r_[first, len(key)])
-            last = np.repeat(first + size, size)
-            hot = np.repeat(size > block, size)
+        for table, hot in _whole_or_hot(batches, block):
+            if hot:
+                yield _hot_rows(table, np.ones(table.num_rows, bool))
+                continue
+            key, far, ids, *prints = (table.column(i).to_numpy() for i in range(table.num_columns))
+            prints = [s.view(np.uint64) for s in prints]  # bits of a signed number would be those of its absolute value
+            start = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+            size = np.diff(np.r_[start, len(key)])
+            own = np.add.reduceat((far == 0).astype(np.int64), start)
+            if (size > block).any():
+                yield _hot_rows(table, np.repeat(size > block, size))
             a_out, b_out = [], []
-            i = np.flatnonzero((far == 0) & ~hot)
-            d = 1
+            large = (size > 96) & (size <= block) & (own > 0)
+            for s, n, o in zip(start[large], size[large], own[large]):
+                mine, others = np.arange(s, s + o), np.arange(s + o, s + n)
+                for cols, later in ((mine, True), (others, False)):
+                    x, y = _crossed(mine, cols, prints, first, most, later)
+                    a_out.append(ids[x])
+                    b_out.append(ids[y])
+            last = np.repeat(start + size, size)
+            i, d = np.flatnonzero((far == 0) & np.repeat(size <= 96, size)), 1
             while len(i):
                 i = i[i + d < last[i]]
-                j = i + d
-                near = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int16) + np.bitwise_count(s2[i] ^ s2[j]) <= most
-                near &= ids[i] != ids[j]
-                x, y = ids[i[near]], ids[j[near]]
-                a_out.append(np.minimum(x, y))
-                b_out.append(np.maximum(x, y))
+                near = _screened(i, i + d, prints, first, most)
+                a_out.append(ids[i[near]])
+                b_out.append(ids[i[near] + d])
                 d += 1
-            a, b = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (a_out, b_out))
-            if len(a):
-                ab = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.nulls(len(ab), _I64)], ["a", "b", "hot"])
-            if hot.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hot]), pa.nulls(int(hot.sum()), _I64), pa.array(key[hot])], ["a", "b", "hot"])
+            if a_out:
+                yield _pairs(np.concatenate(a_out), np.concatenate(b_out))
+
+    return run
+
+
+def _tile_pairs(first: int, most: int):  # noqa: ANN202
+    """From rows (tile, side, far, id, s0, ...) sorted by tile to pairs (a, b) of its two sides, one of them in its own bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 1):
+            tile, side, far, ids, *prints = (table.column(i).to_numpy() for i in range(table.num_columns))
+            prints = [s.view(np.uint64) for s in prints]
+            for t in np.unique(tile):
+                own = np.flatnonzero((tile == t) & (side == 0) & (far == 0))
+                x, y = _crossed(own, np.flatnonzero((tile == t) & (side == 1)), prints, first, most, False)
+                yield _pairs(ids[x], ids[y])
 
     return run
 
@@ -206,33 +343,7 @@ def _verified(dim: int, least: float):  # noqa: ANN202
     return run
 
 
-def _hot_blocks(dim: int, k: int, least: float):  # noqa: ANN202
-    """From rows (tile, side, id, v) sorted by tile to the k best of the other side for each row, as (a, b, similarity)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 1):
-            tile, side, ids = (table.column(i).to_numpy() for i in range(3))
-            vectors = table.column(3).combine_chunks()
-            for t in np.unique(tile):
-                own, other = np.flatnonzero((tile == t) & (side == 0)), np.flatnonzero((tile == t) & (side == 1))
-                if not len(own) or not len(other):
-                    continue
-                x, y = _unpack(vectors.take(pa.array(own)), dim), _unpack(vectors.take(pa.array(other)), dim)
-                order = np.argsort(ids[other], kind="stable")
-                y, names = y[order], ids[other][order]
-                for s in range(0, len(x), 512):
-                    cos = (x[s : s + 512] @ y.T).round(6)
-                    cos[ids[own[s : s + 512], None] == names[None, :]] = -2
-                    best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                    c = np.take_along_axis(cos, best, axis=1).ravel()
-                    u, v = np.repeat(ids[own[s : s + 512]], best.shape[1]), names[best].ravel()
-                    ok = c >= least
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[ok]), pa.array(np.maximum(u, v)[ok]), pa.array(c[ok])], ["a", "b", "similarity"])
-
-    return run
-
-
-def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int = 5, least: float = 0.7, probing: Probing | None = None) -> DataFrame:
+def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int = 5, least: float = 0.7, recall: float = RECALL, probing: Probing | None = None) -> DataFrame:
     """For every usable row its k most similar other rows: id, neighbour, similarity, rank.
 
     Similarity is the cosine rounded to 6 decimals, at least ``least``; ties go to the smaller id. Usable vectors are
@@ -242,24 +353,38 @@ def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int =
 
     Every vector is hashed into ``tables`` buckets by p-stable projections and also visits the ``probes`` perturbed
     buckets of each table with the best estimated chance. Pairs that meet are screened by sign sketches, merged over
-    the tables, and measured exactly where their vectors meet. A bucket of more than ``block`` members is compared
-    exactly, tile by tile, and each row keeps its k best of a tile. Recall against brute force is below 1: see README.
+    the tables, and measured exactly where their vectors meet. A bucket of more than ``block`` members is screened
+    tile by tile. Tables and functions are those by which two vectors of similarity ``least`` meet with probability
+    ``recall`` (``Probing.reaching``), at every number of rows; nearer ones meet more surely, and the screen loses
+    about 1 % at ``least``. Recall against brute force is therefore below 1: see README.
     """
     t = rows.select(row_id.cast("long").alias("id"), vector.alias("v")).where(
         (F.col("id").isNotNull()) & (F.size("v") == dim) & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    p = probing or Probing.for_rows(rows.count())
-    angle = math.acos(least) / math.pi
-    most = math.floor(p.sketch * angle + p.slack * math.sqrt(p.sketch * angle * (1 - angle)))
+    p = probing or Probing.reaching(recall, least, rows.count())
+    first, most = _limits(p, least)
     print_of = (F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2"))
     prints = t.select("id", *print_of)
     classes = prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    copied = cut(prints.join(classes.where("copies > 1"), ["h1", "h2"]).select("id", "rep"))
 
-    hashed = t.mapInArrow(_hasher(dim, p), "id long, own array<long>, near array<long>, s1 long, s2 long")
-    hashed = hashed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    s_names = _prints(p)
+    s_types = ", ".join(f"{c} long" for c in s_names)
+    first_of_copies = t.join(copied.where("id <> rep").select("id"), "id", "left_anti")
+    hashed = first_of_copies.mapInArrow(_hasher(dim, p), f"id long, own array<long>, near array<long>, {s_types}")
     entry = F.explode(F.concat(
         F.transform("own", lambda x: F.struct(x.alias("key"), F.lit(0).alias("far"))), F.transform("near", lambda x: F.struct(x.alias("key"), F.lit(1).alias("far")))))
-    buckets = hashed.select(entry.alias("e"), "id", "s1", "s2").select("e.key", "e.far", "id", "s1", "s2")
-    met = cut(buckets.repartition("key").sortWithinPartitions("key", "far").mapInArrow(_bucket_pairs(most, p.block), "a long, b long, hot long"))
+    buckets = hashed.select(entry.alias("e"), "id", *s_names).select("e.key", "e.far", "id", *s_names)
+    met = cut(buckets.repartition("key").sortWithinPartitions("key", "far").mapInArrow(_bucket_pairs(first, most, p.block), "a long, b long, hot long, far long"))
+    hot = met.where("hot IS NOT NULL").select(F.col("hot").alias("bucket"), F.col("a").alias("id"), F.col("far"))
+    if not hot.isEmpty():
+        hot = hot.groupBy("bucket", "id").agg(F.min("far").alias("far"))
+        sizes = hot.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {p.block}) as int)").alias("blocks"))
+        member = hot.join(sizes, "bucket").withColumn("block", F.pmod(F.hash("id"), F.col("blocks"))).join(hashed.select("id", *s_names), "id")
+        tiles = member.select(
+            "id", "far", *s_names, F.explode(F.expr("""flatten(transform(sequence(0, blocks - 1), o -> array(
+                struct(xxhash64(bucket, block, o) AS tile, 0 AS side), struct(xxhash64(bucket, o, block) AS tile, 1 AS side))))""")).alias("e"))
+        tiles = tiles.select("e.tile", "e.side", "far", "id", *s_names).repartition("tile").sortWithinPartitions("tile")
+        met = met.unionAll(tiles.mapInArrow(_tile_pairs(first, most), "a long, b long, hot long, far long"))
     pairs = cut(met.where("hot IS NULL").select("a", "b").distinct())
     packed = t.mapInArrow(_packed, "id long, v binary")
 
@@ -275,19 +400,9 @@ def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int =
     asked = placed.select("home", "salt", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("v"))
     edges = carried.unionAll(asked).repartition("home", "salt").sortWithinPartitions("home", "salt", "kind").mapInArrow(_verified(dim, least), "a long, b long, similarity double")
 
-    hot = met.where("hot IS NOT NULL").select(F.col("hot").alias("bucket"), F.col("a").alias("id")).distinct()
-    if not hot.isEmpty():
-        sizes = hot.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {p.block}) as int)").alias("blocks"))
-        member = hot.join(sizes, "bucket").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-        tiles = member.select(
-            "id", F.explode(F.expr("""flatten(transform(sequence(0, blocks - 1), o -> array(
-                struct(xxhash64(bucket, block, o) AS tile, 0 AS side), struct(xxhash64(bucket, o, block) AS tile, 1 AS side))))""")).alias("e"))
-        tiles = tiles.join(packed, "id").select("e.tile", "e.side", "id", "v").repartition("tile").sortWithinPartitions("tile")
-        edges = edges.unionAll(tiles.mapInArrow(_hot_blocks(dim, k + 1, least), "a long, b long, similarity double")).distinct()
     edges = cut(edges)
 
     by_rank = lambda key, n: F.row_number().over(Window.partitionBy(key).orderBy(*n))
-    copied = cut(prints.join(classes.where("copies > 1"), ["h1", "h2"]).select("id", "rep"))
     few = copied.withColumn("n", by_rank("rep", ["id"])).where(f"n <= {k + 1}").select(F.col("rep").alias("y"), F.col("id").alias("member"))
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity").unionAll(edges.select("b", "a", "similarity"))
     of_class = both.join(few, "y", "left").select("x", F.coalesce("member", "y").alias("neighbour"), "similarity").unionAll(

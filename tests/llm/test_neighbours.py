@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from mnemora.llm.neighbours import Probing, _steps, nearest, perturbations
+from mnemora.llm.neighbours import RECALL, Probing, _steps, _whole_or_hot, nearest, perturbations
 
 SCHEMA = "id long, embedding array<float>, rank string, x string"
 DIM = 64
@@ -45,6 +47,31 @@ def test_recall_and_exact_values(spark):
     assert all(abs(value[i, j] - s) <= 1.1e-6 for i, l in got.items() for j, s in l if (i, j) in value)
 
 
+@pytest.mark.parametrize("rows", [4_800, 25_000_000])
+def test_recall_in_every_band(spark, rows):
+    """Planted pairs at given cosines are found in nine of ten cases at least, also with the index of 25 million rows."""
+    r = np.random.default_rng(5)
+    dim, each, bands = 128, 600, (0.705, 0.75, 0.80, 0.90)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.standard_normal((each * len(bands), dim)))
+    z = r.standard_normal(x.shape)
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    c = np.repeat(bands, each)[:, None]
+    y = c * x + np.sqrt(1 - c * c) * z
+    both = np.stack([x, y], axis=1).reshape(-1, dim).astype(np.float32)
+    df = spark.createDataFrame([(i, v, "r", "x") for i, v in enumerate(both.tolist())], SCHEMA)
+    probing = Probing.reaching(RECALL, 0.7, rows)
+    got = {(v.id, v.neighbour) for v in nearest(df, F.col("id"), F.col("embedding"), dim, probing=probing).collect()}
+    found = [np.mean([(2 * i, 2 * i + 1) in got for i in range(b * each, (b + 1) * each)]) for b in range(len(bands))]
+    print(rows, probing.functions, probing.tables, dict(zip(bands, np.round(found, 3).tolist())))
+    assert min(found) >= 0.9, found
+
+
+def test_more_rows_never_ask_for_less():
+    sizes = [Probing.reaching(RECALL, 0.7, n) for n in (10, 10**5, 10**6, 10**7, 10**8)]
+    assert sizes == sorted(sizes, key=lambda p: (p.functions, p.tables)) and sizes[0].functions == 14
+
+
 def test_copies_scaled_unusable_and_ties(spark):
     v = [1.0] * DIM
     rows = [(i, v) for i in (7, 3, 9, 1, 5, 8, 2)] + [(20, [0.0] * DIM), (21, None), (22, [1.0] * 3), (23, [float("nan")] * DIM), (24, [2.0] * DIM), (None, v)]
@@ -74,3 +101,16 @@ def test_steps_are_lossless():
     assert ok[:50].mean() > 0.9 and not ok[50:].any()
     assert all((codes[i] * step[i] == x[i]).all() for i in np.flatnonzero(ok))
     assert perturbations(12, 3, 8).sum(axis=0).min() == 1
+
+
+def test_buckets_are_cut_at_their_borders():
+    r = np.random.default_rng(6)
+    key = np.sort(r.choice([1, 2, 3, 4, 5, 6], 4000, p=[0.001, 0.2, 0.002, 0.6, 0.1, 0.097]))
+    for size in (1, 7, 100, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(np.arange(i, min(i + size, 4000)))], ["key", "n"]) for i in range(0, 4000, size)]
+        parts = [(t.column(0).to_numpy(), t.column(1).to_numpy(), hot) for t, hot in _whole_or_hot(iter(batches), 500)]
+        assert np.concatenate([n for _, n, _ in parts]).tolist() == list(range(4000))
+        for k, _, hot in parts:
+            assert not hot or len(set(k)) == 1
+        whole = [set(k) for k, _, hot in parts if not hot]
+        assert sum(map(len, whole)) == len(set().union(*whole)) and not set().union(*whole) & {k[0] for k, _, hot in parts if hot}
