@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,10 @@ def banding(threshold: float, bands: int, recall: float) -> int:
     return rows
 
 
+@lru_cache(2)
 def _probe_table(bins: int, tries: int, seed: int) -> np.ndarray:
-    """Bins that an empty bin borrows from, by attempt."""
-    return np.random.default_rng(seed).integers(0, bins, (tries, bins))
+    """Bins that an empty bin borrows from, by attempt; drawn once in a process."""
+    return np.random.default_rng(seed).integers(0, bins, (tries, bins)).astype(np.int32)
 
 
 def signatures(flat: np.ndarray, lengths: np.ndarray, bins: int, seed: int = 11) -> np.ndarray:
@@ -144,19 +146,37 @@ def _stars(most: int):  # noqa: ANN202
     return run
 
 
+def _most(threshold: float, slack: float) -> int:
+    """Sketch bits in which two texts at the threshold may differ."""
+    angle = float(np.arccos(2 * threshold / (1 + threshold)) / np.pi)
+    return int(SKETCH * angle + slack * np.sqrt(SKETCH * angle * (1 - angle)))
+
+
+def _near(a: str, b: str, most: int) -> Column:
+    return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2"))) <= most
+
+
 def star_edges(texts: DataFrame, threshold: float, bands: int = 42, recall: float = 0.995, slack: float = 3.0) -> DataFrame:
     """Candidate edges (c, c1, c2, m, m1, m2) between distinct texts (id, set), with the sketches of their ends."""
     rows = banding(threshold, bands, recall)
-    cosine = 2 * threshold / (1 + threshold)
-    angle = float(np.arccos(cosine) / np.pi)
-    most = int(SKETCH * angle + slack * np.sqrt(SKETCH * angle * (1 - angle)))
     buckets = texts.where(F.size("set") > 0).select("id", "set").mapInArrow(_bands(bands, rows), _KEYS)
     # another order in each bucket, so that a stray text is not the centre in all buckets that two texts share
     ordered = buckets.repartition("key").select("key", F.xxhash64("key", "id").alias("o"), "id", "s1", "s2").sortWithinPartitions("key", "o")
-    edges = ordered.mapInArrow(_stars(most), "c long, c1 long, c2 long, m long, m1 long, m2 long")
+    edges = ordered.mapInArrow(_stars(_most(threshold, slack)), "c long, c1 long, c2 long, m long, m1 long, m2 long")
     return edges.distinct()
 
 
+def siblings(asked: DataFrame, spokes: DataFrame, threshold: float, apart: str | None = None, slack: float = 3.0) -> DataFrame:
+    """Candidate pairs (a, b) of the texts ``asked`` (c, m, m1, m2) with the ``spokes`` (the same) around their centre, of near sketches.
+
+    With ``apart``, a column of both, only those of different values are paired. A centre of many spokes is divided by
+    the adaptive join.
+    """
+    x, y = asked.alias("x"), spokes.alias("y")
+    met = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.m") != F.col("y.m")) & _near("x.m", "y.m", _most(threshold, slack)) & (F.lit(True) if apart is None else F.col(f"x.{apart}") != F.col(f"y.{apart}")))
+    return met.select(F.least("x.m", "y.m").alias("a"), F.greatest("x.m", "y.m").alias("b"))
+
+
 def _verify(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Candidates (a, b) with their exact Jaccard similarity, where it reaches the threshold."""
     t = texts.select("id", "set")
@@ -188,26 +208,43 @@ def similar_texts(rows: DataFrame, row_id: Column, text: Column, length: int = 5
     members, texts = _texts(rows.select(row_id.alias("id"), text.alias("text")), length)
     texts = cut(texts.where(F.size("set") > 0))
     stars = cut(star_edges(texts, threshold))
-    cosine = 2 * threshold / (1 + threshold)
-    angle = float(np.arccos(cosine) / np.pi)
-    most = int(SKETCH * angle + 3 * np.sqrt(SKETCH * angle * (1 - angle)))
     spokes = stars.select("c", "m", "m1", "m2")
-    x, y = spokes.alias("x"), spokes.alias("y")
-    near = F.bit_count(F.col("x.m1").bitwiseXOR(F.col("y.m1"))) + F.bit_count(F.col("x.m2").bitwiseXOR(F.col("y.m2"))) <= most
-    siblings = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.m") < F.col("y.m")) & near).select(F.col("x.m").alias("a"), F.col("y.m").alias("b"))
-    direct = stars.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
-    links = cut(_verify(direct.unionAll(siblings).distinct(), texts, threshold))
+    links = cut(_verify(_direct(stars).unionAll(siblings(spokes, spokes, threshold)).distinct(), texts, threshold))
     return links, members
 
 
+def _direct(stars: DataFrame) -> DataFrame:
+    return stars.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+
+
+def _unsettled(stars: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spokes that the links leave in another class than their centre, and all spokes of those centres; both with their class k."""
+    k = connected_components(links).select(F.col("node").alias("n"), F.col("component").alias("k"))
+    of = lambda df, c, name: df.join(k.select(F.col("n").alias(c), F.col("k").alias(f"__{c}")), c, "left").withColumn(name, F.coalesce(f"__{c}", c)).drop(f"__{c}")
+    both = cut(of(of(stars.select("c", "m", "m1", "m2"), "c", "kc"), "m", "k"))
+    left = both.where("k <> kc").drop("kc")
+    return left, both.drop("kc").join(left.select("c").distinct(), "c", "left_semi")
+
+
 def near_duplicate_classes(rows: DataFrame, row_id: Column, text: Column, length: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row for each row with a text: id, text_id, class_id, links (its text's links with other texts).
+    """One row for each row with a text: id, text_id, class_id (the least id of the class).
 
-    A class is a connected component of the links; its id is its least text id, so equal texts share a class. Rows
-    with a null id or text have no row here. See ``similar_texts``.
+    A class is a connected component of the links between texts (see ``similar_texts``); equal texts share a class,
+    and texts of fewer than ``length`` words have one of their own. Rows with a null id or text have no row here.
+
+    Texts are linked with the centres of their stars first. Only those left in another class than their centre are
+    then held against its other spokes, of other classes than their own: a pair within a class can't change it. So
+    the variants of one text cost their number of candidates, not its square; texts around one centre that resemble
+    each other less than the threshold, but have near sketches, still cost a comparison each.
     """
-    links, members = similar_texts(rows, row_id, text, length, threshold)
-    classes = connected_components(links).select(F.col("node").alias("text_id"), F.col("component").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("links"))
-    known = classes.join(degree, "text_id")
-    return members.join(known, "text_id", "left").select("id", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    members, texts = _texts(rows.select(row_id.alias("id"), text.alias("text")), length)
+    texts = cut(texts.where(F.size("set") > 0))
+    stars = cut(star_edges(texts, threshold))
+    links = cut(_verify(_direct(stars).distinct(), texts, threshold))
+    left, spokes = _unsettled(stars, links)
+    if not left.isEmpty():
+        links = cut(links.unionAll(_verify(siblings(left, spokes, threshold, apart="k").distinct(), texts, threshold)))
+    classes = connected_components(links).select(F.col("node").alias("text_id"), F.col("component").alias("class"))
+    known = members.join(classes, "text_id", "left").select("id", "text_id", F.coalesce("class", "text_id").alias("class"))
+    least = known.groupBy("class").agg(F.min("id").alias("class_id"))
+    return known.join(least, "class").select("id", "text_id", "class_id")

@@ -109,8 +109,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every note by its content, with five-word shingles at 0.8, and its number of links."""
-    return near_duplicate_classes(_notes(spark, sf_dir), F.col("id"), F.col("content")).select(F.col("id").alias("memory_id"), "class_id", "links")
+    """The class of every note by its content, with five-word shingles at 0.8."""
+    return near_duplicate_classes(_notes(spark, sf_dir), F.col("id"), F.col("content")).select(F.col("id").alias("memory_id"), "class_id")
 
 
 QUERIES |= {"p5_found": p5_found, "p5_classes": p5_classes}
@@ -126,6 +126,18 @@ SELECT DISTINCT a AS memory_a, b AS memory_b FROM p JOIN n x ON x.id = a AND x.f
 WHERE c >= 0.5 * (x.n + y.n - c)"""
 
 
+SQL["p5_classes"] = """
+WITH RECURSIVE m AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM memories WHERE relation IS NULL AND status <> 'deleted' AND content IS NOT NULL),
+t AS (SELECT min(id) AS x, w FROM m GROUP BY w),
+s AS MATERIALIZED (SELECT DISTINCT x, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM t),
+n AS (SELECT x, count(*) AS n FROM s GROUP BY x),
+p AS (SELECT a.x AS a, b.x AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.x <> b.x GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n i ON i.x = a JOIN n j ON j.x = b WHERE c >= 0.8 * (i.n + j.n - c)),
+r AS (SELECT x, x AS y FROM t UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x)
+SELECT m.id AS memory_id, class_id FROM m JOIN t USING (w) JOIN k USING (x)"""
+
+
 # 7: evaluation passages in the corpus
 
 
