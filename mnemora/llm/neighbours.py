@@ -29,8 +29,8 @@ class Probing:
     tables: hash tables; functions: Gaussian projections of a table's key; width: width of a projection's slots for
     unit vectors; probes: perturbed buckets visited in each table besides a vector's own; slots: slot borders, nearest
     first, among which perturbations are chosen; sketch: sign bits (a multiple of 64) that a candidate pair is screened
-    with, at ``slack`` standard deviations beyond the expectation at the least similarity, first by 64 of them, then by
-    all; block: members beyond which a bucket is compared in tiles of this size, each a task's work of its own.
+    with, at ``slack`` standard deviations beyond the expectation at the least similarity by all of them, after a first
+    look at 64 with 0.6 more; block: members beyond which a bucket is compared in tiles of this size, each a task's work of its own.
     """
 
     tables: int = 10
@@ -38,8 +38,8 @@ class Probing:
     width: float = 3.6
     probes: int = 3
     slots: int = 8
-    sketch: int = 192
-    slack: float = 2.6
+    sketch: int = 256
+    slack: float = 2.0
     block: int = 8192
     seed: int = 7
 
@@ -153,7 +153,7 @@ def _prints(p: Probing) -> list[str]:
 def _limits(p: Probing, least: float) -> tuple[int, int]:
     """Differing sketch bits up to which a pair passes: of the first 64, and of all."""
     angle = math.acos(least) / math.pi
-    return tuple(math.floor(n * angle + p.slack * math.sqrt(n * angle * (1 - angle))) for n in (64, p.sketch))  # type: ignore[return-value]
+    return tuple(math.floor(n * angle + slack * math.sqrt(n * angle * (1 - angle))) for n, slack in ((64, p.slack + 0.6), (p.sketch, p.slack)))  # type: ignore[return-value]
 
 
 def _screened(x: np.ndarray, y: np.ndarray, prints: list[np.ndarray], first: int, most: int) -> np.ndarray:
@@ -356,7 +356,7 @@ def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int =
     the tables, and measured exactly where their vectors meet. A bucket of more than ``block`` members is screened
     tile by tile. Tables and functions are those by which two vectors of similarity ``least`` meet with probability
     ``recall`` (``Probing.reaching``), at every number of rows; nearer ones meet more surely, and the screen loses
-    about 1 % at ``least``. Recall against brute force is therefore below 1: see README.
+    about 2.5 % at ``least``. Recall against brute force is therefore below 1: see README.
     """
     t = rows.select(row_id.cast("long").alias("id"), vector.alias("v")).where(
         (F.col("id").isNotNull()) & (F.size("v") == dim) & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
