@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 READ_PREFIXES = ("search", "find", "list", "profile", "entity", "timeline")
 #: Settings and their defaults (fixed values).
 SETTINGS: dict[str, object] = {
-    "judge_backend": "jev", "judge_idle_exit_s": 600, "supersede_auto": 0.8, "supersede_review": 0.5, "conflict_threshold": 0.8, "entity_link": 0.8, "rrf_k": 60,
+    "judge_backend": "none", "judge_idle_exit_s": 600, "supersede_auto": 0.8, "supersede_review": 0.5, "conflict_threshold": 0.8, "entity_link": 0.8, "rrf_k": 60,
     "adaptive_fusion": True, "w_graph": 0.7, "prior_importance": 0.1, "prior_recency": 0.05, "prior_access": 0.05, "recency_half_life_d": 90, "rerank": True,
     "rerank_blend": True, "rerank_fused_weight": 0.5, "rerank_pool": 8, "rerank_chars": 320, "link_k": 3, "link_min_sim": 0.6, "recall_min_score": -2.0, "recall_max": 3,
     "profile_min_importance": 0.7, "profile_max_chars": 3200, "consolidate": True, "consolidate_hour_utc": 22, "dup_threshold": 0.92, "archive_after_days": 180,
@@ -35,7 +35,7 @@ def is_read() -> Column:
 
 
 def is_write() -> Column:
-    return F.coalesce(F.col("op").isin("store", "update", "supersede"), F.lit(False))
+    return F.coalesce(F.col("op") == "store", F.lit(False))
 
 
 def _since_day(now: str, days: int) -> Column:
@@ -43,9 +43,9 @@ def _since_day(now: str, days: int) -> Column:
     return F.col("ts") >= F.expr(f"cast(date_trunc('DAY', TIMESTAMP_NTZ '{now}' - INTERVAL {days} DAYS) as timestamp_ntz)")
 
 
-def counts(memories: DataFrame, entities: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row of table counts; each table is aggregated in one pass, and the parts are summed."""
-    n = {"memories": memories, "active_facts": memories.where("status = 'active' AND relation IS NOT NULL"), "entities": entities, "links": links, "open_reviews": reviews.where("status = 'open'")}
+def counts(memories: DataFrame, entities: DataFrame, links: DataFrame, reviews: DataFrame, skills: DataFrame) -> DataFrame:
+    """One row of table counts; each table is aggregated in one pass, and the parts are summed. ``skills`` has a row for each skill."""
+    n = {"skills": skills, "memories": memories, "active_facts": memories.where("status = 'active' AND relation IS NOT NULL"), "entities": entities, "links": links, "open_reviews": reviews.where("status = 'open'")}
     parts = None
     for k, df in n.items():
         part = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n")
@@ -71,9 +71,9 @@ def daily(log: DataFrame, now: str, days: int) -> DataFrame:
 
 
 def agents(log: DataFrame, now: str, days: int) -> DataFrame:
-    """Reads and writes by agent in the last ``days`` times 24 hours; null and empty agents are 'unknown'."""
+    """Reads and writes by agent in the last ``days`` times 24 hours; null and empty agents are 'unknown', agents with neither are left out."""
     who = F.coalesce(F.nullif(F.col("agent"), F.lit("")), F.lit("unknown"))
-    return log.where(F.expr(f"ts >= TIMESTAMP_NTZ '{now}' - INTERVAL {days} DAYS")).groupBy(who.alias("agent")).agg(F.count_if(is_read()).alias("reads"), F.count_if(is_write()).alias("writes"))
+    return log.where(F.expr(f"ts >= TIMESTAMP_NTZ '{now}' - INTERVAL {days} DAYS") & (is_read() | is_write())).groupBy(who.alias("agent")).agg(F.count_if(is_read()).alias("reads"), F.count_if(is_write()).alias("writes"))
 
 
 def latencies(log: DataFrame) -> DataFrame:
@@ -113,13 +113,22 @@ def log_rows(rows: DataFrame, op: str, ts: Column, memory_id: Column, detail: Co
     return rows.select(ts.alias("ts"), F.lit(op).alias("op"), "agent", memory_id.alias("memory_id"), F.to_json(detail).alias("detail"))
 
 
-def resolve_settings(spark: SparkSession, overrides: dict[str, str]) -> DataFrame:
-    """Every setting with its type and the override coerced to it; unknown keys are left out."""
+def resolve_settings(spark: SparkSession, stored: dict[str, str], environment: dict[str, str] | None = None) -> DataFrame:
+    """Every setting with its kind and value: the stored one, else that of the environment, else the default, coerced to the kind.
+
+    A variable of the environment is the key in capitals. Unknown keys are left out; a text that is no number of a
+    numeric setting is passed over for the next level.
+    """
     d = spark.createDataFrame([(k, as_text(v), type_name(v)) for k, v in SETTINGS.items()], "key string, fallback string, kind string")
-    o = spark.createDataFrame(list(overrides.items()), "key string, given string")
-    v = F.coalesce("given", "fallback")
-    flag = F.when(F.lower(F.trim(v)).isin("1", "true", "yes", "on"), "true").otherwise("false")
-    return d.join(o, "key", "left").select("key", "kind", F.when(F.col("kind") == "bool", flag).otherwise(v).alias("value"))
+    o = spark.createDataFrame([(k, v) for k, v in stored.items()], "key string, stored string")
+    e = spark.createDataFrame([(k.lower(), v) for k, v in (environment or {}).items()], "key string, env string")
+
+    def coerced(c: str) -> Column:
+        flag = F.when(F.col(c).isNotNull(), F.when(F.lower(F.trim(c)).isin("1", "true", "yes", "on"), "true").otherwise("false"))
+        whole, number = F.expr(f"try_cast(trim({c}) AS bigint)").cast("string"), F.expr(f"CASE WHEN try_cast(trim({c}) AS double) IS NOT NULL THEN trim({c}) END")
+        return F.when(F.col("kind") == "bool", flag).when(F.col("kind") == "int", whole).when(F.col("kind") == "float", number).otherwise(F.col(c))
+
+    return d.join(o, "key", "left").join(e, "key", "left").select("key", "kind", F.coalesce(*map(coerced, ("stored", "env", "fallback"))).alias("value"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

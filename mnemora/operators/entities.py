@@ -32,12 +32,28 @@ def related(links: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     return both_ways(links).join(live, "other", "left_semi").select("id", "other", "weight", rank.alias("rank")).where(F.col("rank") <= k)
 
 
-def unreviewed(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Pairs (src < dst) for which no review of memories exists, in either order."""
-    seen = reviews.where("kind <> 'alias'").select(F.least("memory_id", "other_id").alias("src"), F.greatest("memory_id", "other_id").alias("dst")).where("src IS NOT NULL")
+def unreviewed(pairs: DataFrame, reviews: DataFrame, kind: str = "merge") -> DataFrame:
+    """Pairs (src < dst) for which no review of that kind exists, in either order and whatever its outcome."""
+    seen = reviews.where((F.col("kind") == kind) & F.col("memory_id").isNotNull() & F.col("other_id").isNotNull())
+    seen = seen.select(F.least("memory_id", "other_id").alias("src"), F.greatest("memory_id", "other_id").alias("dst"))
     return pairs.join(seen.distinct(), ["src", "dst"], "left_anti")
 
 
+def alias_reviewed(reviews: DataFrame) -> DataFrame:
+    """Pairs of entities (src < dst) that an alias review has named in its detail (keep, drop), whatever its outcome."""
+    d = reviews.where("kind = 'alias'").select(F.from_json("detail", "keep long, drop long").alias("d")).where("d.keep IS NOT NULL AND d.drop IS NOT NULL")
+    return d.select(F.least("d.keep", "d.drop").alias("src"), F.greatest("d.keep", "d.drop").alias("dst")).distinct()
+
+
+def judged(proposals: DataFrame, decisions: DataFrame, least: float = 0.5) -> DataFrame:
+    """Proposals (src, dst, similarity) that a judge doesn't refuse: src, dst, confidence.
+
+    ``decisions`` (src, dst, p) may lack pairs, as where no judge is at hand; those keep their similarity as confidence.
+    """
+    d = decisions.groupBy("src", "dst").agg(F.max("p").alias("p"))
+    return proposals.join(d, ["src", "dst"], "left").where(f"p IS NULL OR p >= {least}").select("src", "dst", F.coalesce("p", "similarity").alias("confidence"))
+
+
 def open_reviews(reviews: DataFrame, memories: DataFrame, entities: DataFrame) -> DataFrame:
     """Open reviews with the texts of their memories, or for aliases the name of their entity."""
     text = memories.select("id", "content")
@@ -100,6 +116,40 @@ def merged_aliases(*lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(*filled), lambda x: x.isNotNull() & (F.trim(x) != ""))))
 
 
+def add_aliases(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities (id, aliases) after aliases (id, alias, seq) are added in order; one that an entity has in normalised form, or a blank one, is passed over.
+
+    Of several new ones of one form the first is taken. Entities without new aliases keep theirs; a null list counts as empty.
+    """
+    first = new.select("id", F.trim("alias").alias("alias"), "seq", norm_name(F.col("alias")).alias("form")).where("form <> ''")
+    first = first.groupBy("id", "form").agg(F.min(F.struct("seq", "alias")).alias("a"))
+    lists = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a.seq", "a.alias", "form"))).alias("added"))
+    old = F.coalesce("aliases", F.array().cast("array<string>"))
+    forms = F.transform(old, lambda x: norm_name(x))
+    kept = F.filter(F.coalesce("added", F.array().cast("array<struct<seq:bigint,alias:string,form:string>>")), lambda x: ~F.coalesce(F.array_contains(forms, x["form"]), F.lit(False)))
+    return entities.select("id", "aliases").join(lists.withColumn("added", F.col("added").cast("array<struct<seq:bigint,alias:string,form:string>>")), "id", "left").select("id", F.concat(old, F.transform(kept, lambda x: x["alias"])).alias("aliases"))
+
+
+def absorb(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """Aliases of the entities that absorb others (merges: keep, drop): id, aliases, those of both and the dropped names, sorted and distinct.
+
+    Pairs of one kept entity are taken together; pairs with an unknown or the same entity are left out.
+    """
+    e = entities.select("id", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    m = merges.select("keep", "drop").where("keep <> drop").distinct()
+    dropped = m.join(e.toDF("drop", "name", "aliases"), "drop").select(F.col("keep").alias("id"), F.concat(F.array("name"), "aliases").alias("more"))
+    more = dropped.groupBy("id").agg(F.flatten(F.collect_list("more")).alias("more"))
+    return e.join(more, "id").select("id", merged_aliases(F.col("aliases"), F.col("more")).alias("aliases"))
+
+
+def repoint(memories: DataFrame, merges: DataFrame) -> DataFrame:
+    """Memories that name a dropped entity as subject or object, with the kept one in its place: id, subject_id, object_entity_id."""
+    to = merges.groupBy("drop").agg(F.min("keep").alias("keep"))
+    m = memories.select("id", "subject_id", "object_entity_id")
+    m = m.join(to.toDF("subject_id", "s"), "subject_id", "left").join(to.toDF("object_entity_id", "o"), "object_entity_id", "left")
+    return m.where("s IS NOT NULL OR o IS NOT NULL").select("id", F.coalesce("s", "subject_id").alias("subject_id"), F.coalesce("o", "object_entity_id").alias("object_entity_id"))
+
+
 def upsert_external(memories: DataFrame) -> DataFrame:
     """Repeated imports folded to one row per external id: identity and validity of the first, content of the last, last known source."""
     m = memories.where("external_id IS NOT NULL")

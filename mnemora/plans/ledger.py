@@ -163,7 +163,7 @@ def near_duplicate_pairs(t: Tables) -> DataFrame:
     return search.vector_topk(n, n, DIM, 3, side="later", least=0.92).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
 
 
-@plan.add(f"""WITH {_pairs_sql(_usable(_NOTES), 3, 0.92)}, q AS (SELECT least(memory_id, other_id) AS a, greatest(memory_id, other_id) AS b FROM reviews WHERE kind <> 'alias')
+@plan.add(f"""WITH {_pairs_sql(_usable(_NOTES), 3, 0.92)}, q AS (SELECT least(memory_id, other_id) AS a, greatest(memory_id, other_id) AS b FROM reviews WHERE kind = 'merge')
 SELECT CASE WHEN y.recorded_at > x.recorded_at THEN y.id ELSE x.id END AS newer, CASE WHEN y.recorded_at > x.recorded_at THEN x.id ELSE y.id END AS older, round(similarity, 4) AS confidence
 FROM p JOIN memories x ON x.id = p.query JOIN memories y ON y.id = p.id WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.a = p.query AND q.b = p.id)""")
 def merge_proposals(t: Tables) -> DataFrame:

@@ -165,7 +165,7 @@ def events_list(t: Tables) -> DataFrame:
     return t.usage_log.where("op = 'store'").select("id", "ts", "op", "agent", "memory_id").join(m, "memory_id", "left").drop("memory_id")
 
 
-@plan.add("""SELECT src, dst FROM links l WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.memory_id IS NOT NULL AND r.other_id IS NOT NULL AND r.kind <> 'alias'
+@plan.add("""SELECT src, dst FROM links l WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.memory_id IS NOT NULL AND r.other_id IS NOT NULL AND r.kind = 'merge'
  AND least(r.memory_id, r.other_id) = l.src AND greatest(r.memory_id, r.other_id) = l.dst)""")
 def unreviewed_pairs(t: Tables) -> DataFrame:
     return entities.unreviewed(t.links.select("src", "dst"), t.reviews)
@@ -231,9 +231,9 @@ def stats_domain_status(t: Tables) -> DataFrame:
 
 
 @plan.add("""SELECT (SELECT count(*) FROM memories) AS memories, (SELECT count(*) FROM memories WHERE status = 'active' AND relation IS NOT NULL) AS active_facts,
- (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM reviews WHERE status = 'open') AS open_reviews""")
+ (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM reviews WHERE status = 'open') AS open_reviews, (SELECT count(DISTINCT p_name) FROM part) AS skills""")
 def stats_counts(t: Tables) -> DataFrame:
-    return analytics.counts(t.memories, t.entities, t.links, t.reviews)
+    return analytics.counts(t.memories, t.entities, t.links, t.reviews, t.part.select("p_name").distinct())
 
 
 @plan.add(f"""SELECT tool, coalesce(agent, '?') AS agent, n, mean_ms FROM (SELECT tool, agent, count(*) AS n, round(avg(latency_ms)) AS mean_ms FROM usage_log
@@ -249,7 +249,7 @@ def usage_writes_window(t: Tables) -> DataFrame:
 
 
 _READ = "(op = 'recall' OR (op = 'tool_call' AND (" + " OR ".join(f"starts_with(tool, '{p}')" for p in analytics.READ_PREFIXES) + ")))"
-_WRITE = "op IN ('store', 'update', 'supersede')"
+_WRITE = "op = 'store'"
 
 
 @plan.add(f"""WITH d AS (SELECT unnest(generate_series(DATE '{NOW[:10]}' - INTERVAL 13 DAY, DATE '{NOW[:10]}', INTERVAL 1 DAY))::DATE AS day),
@@ -260,7 +260,7 @@ def event_daily(t: Tables) -> DataFrame:
 
 
 @plan.add(f"""SELECT CASE WHEN agent IS NULL OR agent = '' THEN 'unknown' ELSE agent END AS agent, count(*) FILTER (WHERE {_READ}) AS reads, count(*) FILTER (WHERE {_WRITE}) AS writes
-FROM usage_log WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY GROUP BY 1""")
+FROM usage_log WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY AND op IN ('tool_call', 'recall', 'store') GROUP BY 1 HAVING reads + writes > 0""")
 def usage_agents(t: Tables) -> DataFrame:
     return analytics.agents(t.usage_log, NOW, 14)
 
@@ -287,13 +287,38 @@ def memory_history(t: Tables) -> DataFrame:
     return t.usage_log.where("memory_id IS NOT NULL").select("memory_id", F.col("id").alias("event_id"), "ts", "op", "agent").distinct()
 
 
-@plan.add(f"""WITH p AS (SELECT id AS review, other_id AS keep FROM reviews WHERE kind = 'alias' AND other_id IS NOT NULL)
-SELECT e.id, array_to_string(list_sort(list_distinct(list_filter(list_concat(coalesce(aliases, []), [name]), lambda x: x IS NOT NULL AND trim(x) <> ''))), '|') AS aliases
-FROM entities e WHERE id IN (SELECT keep FROM p)""")
+# the alias reviews of these tables don't name the dropped entity: the one with the next id stands for it
+_MERGES = "mg AS (SELECT DISTINCT other_id AS keep, other_id + 1 AS dropped FROM reviews WHERE kind = 'alias' AND status = 'approved' AND other_id + 1 IN (SELECT id FROM entities))"
+
+
+def _merges(t: Tables) -> DataFrame:
+    known = t.entities.select(F.col("id").alias("drop"))
+    return t.reviews.where("kind = 'alias' AND status = 'approved'").select(F.col("other_id").alias("keep"), (F.col("other_id") + 1).alias("drop")).distinct().join(known, "drop", "left_semi")
+
+
+@plan.add(f"""WITH {_MERGES}, x AS (SELECT e.id, unnest(coalesce(aliases, [])) AS a FROM entities e WHERE id IN (SELECT keep FROM mg) UNION SELECT keep, name FROM mg JOIN entities d ON d.id = dropped
+ UNION SELECT keep, unnest(coalesce(aliases, [])) FROM mg JOIN entities d ON d.id = dropped)
+SELECT id, string_agg(a, '|' ORDER BY a) AS aliases FROM x WHERE a IS NOT NULL AND trim(a) <> '' GROUP BY id""")
 def alias_merge(t: Tables) -> DataFrame:
-    keep = t.reviews.where("kind = 'alias' AND other_id IS NOT NULL").select(F.col("other_id").alias("id")).distinct()
-    merged = entities.merged_aliases(F.col("aliases"), F.array("name"))
-    return t.entities.join(keep, "id", "left_semi").select("id", F.array_join(merged, "|").alias("aliases"))
+    return entities.absorb(t.entities, _merges(t)).select("id", F.array_join("aliases", "|").alias("aliases"))
+
+
+@plan.add(f"""WITH {_MERGES}, o AS (SELECT dropped, min(keep) AS keep FROM mg GROUP BY dropped)
+SELECT m.id, coalesce(s.keep, m.subject_id) AS subject_id, coalesce(o.keep, m.object_entity_id) AS object_entity_id FROM memories m LEFT JOIN o s ON s.dropped = m.subject_id LEFT JOIN o ON o.dropped = m.object_entity_id
+WHERE s.keep IS NOT NULL OR o.keep IS NOT NULL""")
+def alias_repoint(t: Tables) -> DataFrame:
+    """Facts moved from the dropped entity to the kept one."""
+    return entities.repoint(t.memories, _merges(t))
+
+
+@plan.add(f"""WITH n AS (SELECT object_entity_id AS id, object_text AS alias, id AS seq FROM memories WHERE object_entity_id IS NOT NULL AND object_text IS NOT NULL),
+f AS (SELECT id, {SQL_NORM.format('alias')} AS form, trim(arg_min(alias, seq)) AS alias, min(seq) AS seq FROM n GROUP BY ALL),
+k AS (SELECT id, list(alias ORDER BY seq) AS added FROM f WHERE form <> '' AND NOT EXISTS (SELECT 1 FROM (SELECT id, unnest(aliases) AS a FROM entities) e WHERE e.id = f.id AND {SQL_NORM.format('e.a')} = f.form) GROUP BY id)
+SELECT id, coalesce(array_to_string(list_concat(coalesce(aliases, []), coalesce(added, [])), '|'), '') AS aliases FROM entities LEFT JOIN k USING (id)""")
+def alias_add(t: Tables) -> DataFrame:
+    """The ways facts write an entity, as its aliases, less those it has in normalised form."""
+    new = t.memories.where("object_entity_id IS NOT NULL AND object_text IS NOT NULL").select(F.col("object_entity_id").alias("id"), F.col("object_text").alias("alias"), F.col("id").alias("seq"))
+    return entities.add_aliases(t.entities, new).select("id", F.array_join("aliases", "|").alias("aliases"))
 
 
 @plan.add("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY id) AS k FROM memories WHERE external_id IS NOT NULL)
@@ -305,18 +330,21 @@ def upsert_external_id(t: Tables) -> DataFrame:
 
 # settings, of which the table is given inline
 
-_OVERRIDES = [("rrf_k", "30"), ("rerank", "off"), ("w_graph", "0.9"), ("judge_backend", "none")]
+_OVERRIDES = [("rrf_k", "30"), ("rerank", "off"), ("w_graph", "0.9"), ("judge_backend", "none"), ("link_k", "many")]
+_ENVIRONMENT = {"RRF_K": "99", "WEB_UI": "Yes", "LINK_K": " 4 ", "RERANK_POOL": "x", "NO_SETTING": "1"}
 _PUT = [("rrf_k", "45"), ("link_k", "5")]
-_DEFAULTS_SQL = ", ".join(f"('{k}', '{analytics.as_text(v)}', '{analytics.type_name(v)}')" for k, v in analytics.SETTINGS.items())
 _OVERRIDES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in _OVERRIDES)
 _PUT_SQL = ", ".join(f"('{k}', '{v}')" for k, v in _PUT)
 
 
-@plan.add(f"""WITH d(key, value, kind) AS (VALUES {_DEFAULTS_SQL}), o(key, value) AS (VALUES {_OVERRIDES_SQL}),
-r AS (SELECT key, coalesce(o.value, d.value) AS v, kind FROM d LEFT JOIN o USING (key))
-SELECT key, kind, CASE WHEN kind = 'bool' THEN CASE WHEN lower(trim(v)) IN ('1', 'true', 'yes', 'on') THEN 'true' ELSE 'false' END ELSE v END AS value FROM r""")
+@plan.add("""SELECT * FROM (VALUES ('judge_backend', 'str', 'none'), ('judge_idle_exit_s', 'int', '600'), ('supersede_auto', 'float', '0.8'), ('supersede_review', 'float', '0.5'), ('conflict_threshold', 'float', '0.8'),
+('entity_link', 'float', '0.8'), ('rrf_k', 'int', '30'), ('adaptive_fusion', 'bool', 'true'), ('w_graph', 'float', '0.9'), ('prior_importance', 'float', '0.1'), ('prior_recency', 'float', '0.05'),
+('prior_access', 'float', '0.05'), ('recency_half_life_d', 'int', '90'), ('rerank', 'bool', 'false'), ('rerank_blend', 'bool', 'true'), ('rerank_fused_weight', 'float', '0.5'), ('rerank_pool', 'int', '8'),
+('rerank_chars', 'int', '320'), ('link_k', 'int', '4'), ('link_min_sim', 'float', '0.6'), ('recall_min_score', 'float', '-2.0'), ('recall_max', 'int', '3'), ('profile_min_importance', 'float', '0.7'),
+('profile_max_chars', 'int', '3200'), ('consolidate', 'bool', 'true'), ('consolidate_hour_utc', 'int', '22'), ('dup_threshold', 'float', '0.92'), ('archive_after_days', 'int', '180'),
+('archive_max_importance', 'float', '0.3'), ('web_ui', 'bool', 'true')) s(key, kind, value)""")
 def settings_resolve(t: Tables) -> DataFrame:
-    return analytics.resolve_settings(t.spark, dict(_OVERRIDES))
+    return analytics.resolve_settings(t.spark, dict(_OVERRIDES), _ENVIRONMENT)
 
 
 @plan.add(f"WITH o(key, value) AS (VALUES {_OVERRIDES_SQL}), p(key, value) AS (VALUES {_PUT_SQL}) SELECT key, coalesce(p.value, o.value) AS value FROM o FULL JOIN p USING (key)")
