@@ -20,6 +20,8 @@ from mnemora.sources import cut
 _I64 = pa.int64()
 #: Chance of two vectors of the least similarity to meet; the screen and the rest of the index leave 0.9 and more of it.
 RECALL = 0.95
+#: Ids of copies up to which they are sent to every executor (8 bytes each).
+MOST_SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ class Probing:
     slots: int = 8
     sketch: int = 256
     slack: float = 2.0
-    block: int = 8192
+    block: int = 1 << 16
     seed: int = 7
 
     @staticmethod
@@ -369,7 +371,9 @@ def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int =
 
     s_names = _prints(p)
     s_types = ", ".join(f"{c} long" for c in s_names)
-    first_of_copies = t.join(copied.where("id <> rep").select("id"), "id", "left_anti")
+    others = copied.where("id <> rep").select("id")
+    # few ids are sent to the vectors; many would be joined by a shuffle of both
+    first_of_copies = t.join(F.broadcast(others) if others.count() <= MOST_SENT else others, "id", "left_anti")
     hashed = first_of_copies.mapInArrow(_hasher(dim, p), f"id long, own array<long>, near array<long>, {s_types}")
     entry = F.explode(F.concat(
         F.transform("own", lambda x: F.struct(x.alias("key"), F.lit(0).alias("far"))), F.transform("near", lambda x: F.struct(x.alias("key"), F.lit(1).alias("far")))))
