@@ -84,14 +84,16 @@ def backfill(facts: DataFrame, entities: DataFrame) -> DataFrame:
 def named_in(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities whose name or alias stands in a query text as whole words: id, entity_id, weight 1.
 
-    Runs of words of the query are joined with the names by equality, so no query is held against every entity.
+    Each place of a query is joined with the names by one word, for names of one word, and by two, for longer ones, whose
+    rest is compared then. So no query is held against every entity, and the longest name costs only itself.
     """
-    names = name_keys(entities).select("key", F.col("id").alias("entity_id")).distinct()
-    most = names.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
-    w = queries.select("id", F.split(norm_name(F.col("content")), " ").alias("w"))
-    starts = w.select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select("id", F.slice("w", F.col("i"), F.lit(most)).alias("w"))
-    runs = starts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("key"))
-    return runs.join(names, "key").select("id", "entity_id", F.lit(1.0).alias("weight")).distinct()
+    key = F.split("key", " ")
+    names = name_keys(entities).select(key.alias("k"), F.array_join(F.slice(key, 1, 2), " ").alias("head"), F.col("id").alias("entity_id")).distinct()
+    w = queries.where("content IS NOT NULL").select("id", F.split(norm_name(F.col("content")), " ").alias("w"))
+    at = w.select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    heads = at.select("id", "w", "i", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).where("i + n - 1 <= size(w)").select("id", "w", "i", "n", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("head"))
+    met = heads.join(names, "head").where(F.least(F.size("k"), F.lit(2)) == F.col("n")).where(F.slice("w", F.col("i"), F.size("k")) == F.col("k"))
+    return met.select("id", "entity_id", F.lit(1.0).alias("weight")).distinct()
 
 
 def seeds(queries: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:

@@ -196,7 +196,8 @@ def object_backfill(t: Tables) -> DataFrame:
 @plan.add(f"""WITH q AS (SELECT id, ' ' || {SQL_NORM.format('content')} || ' ' AS q FROM memories WHERE id % 100 = 0),
 n AS (SELECT id AS entity_id, {SQL_NORM.format('name')} AS n FROM entities UNION SELECT id, {SQL_NORM.format('a')} FROM (SELECT id, unnest(aliases) AS a FROM entities) WHERE a IS NOT NULL)
 SELECT DISTINCT q.id, entity_id, 1.0::DOUBLE AS weight FROM q JOIN n ON n.n <> '' AND contains(q.q, ' ' || n.n || ' ')""")
-def entity_seeds(t: Tables) -> DataFrame:
+def entity_seeds_named(t: Tables) -> DataFrame:
+    """The first step of the seeds: entities that a query names."""
     queries = t.memories.where("id % 100 = 0").select("id", "content")
     return entities.named_in(queries, t.entities)
 

@@ -5,8 +5,6 @@ Queries are the memories whose id is divisible by 100, each searched against all
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from mnemora.functions.stemming import stemmed_tokens
 from mnemora.functions.text import query_tokens
 from mnemora.operators import analytics, entities, graph, search, views
 from mnemora.plans.memory import SQL_NORM, SQL_TOKENS
-from mnemora.plans.registry import NOW, Plan, Tables
+from mnemora.plans.registry import AS_OF, NOW, Plan, Tables
 from mnemora.sources import cut
 
 plan = Plan()
@@ -59,8 +57,8 @@ def _ppr(seeds: str) -> str:
 
 _SEEDS = f"""nm AS (SELECT id AS entity_id, {SQL_NORM.format('name')} AS n FROM entities UNION SELECT id, {SQL_NORM.format('a')} FROM (SELECT id, unnest(aliases) AS a FROM entities) WHERE a IS NOT NULL),
 seeds AS MATERIALIZED (SELECT DISTINCT query, entity_id FROM (SELECT id AS query, ' ' || {SQL_NORM.format('content')} || ' ' AS q FROM memories WHERE id % 100 = 0) JOIN nm ON n <> '' AND contains(q, ' ' || n || ' '))"""
-#: Beside _SEEDS for queries that name no entity: the three best by BM25 over names and aliases.
-_SEEDS_OR_BEST = f"""{_SEEDS.replace('seeds AS', 'named AS')}, et AS (SELECT id, {SQL_TOKENS.format("concat_ws(' ', name, array_to_string(aliases, ' '))")} AS w FROM entities),
+#: With the second step, for queries that name no entity: the three best by BM25 over names and aliases.
+_SEEDS = f"""{_SEEDS.replace('seeds AS', 'named AS')}, et AS (SELECT id, {SQL_TOKENS.format("concat_ws(' ', name, array_to_string(aliases, ' '))")} AS w FROM entities),
 ep AS MATERIALIZED (SELECT id, term, len, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM et) GROUP BY ALL),
 el AS MATERIALIZED (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT id, max(len) AS len FROM ep GROUP BY id)),
 ed AS (SELECT term, count(DISTINCT id) AS df FROM ep GROUP BY term), ei AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM ed, el),
@@ -68,7 +66,7 @@ eq AS (SELECT DISTINCT query, term FROM (SELECT id AS query, unnest({SQL_TOKENS.
 es AS (SELECT query, id AS entity_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM eq JOIN ep USING (term) JOIN ei USING (term), el GROUP BY query, id),
 seeds AS MATERIALIZED (SELECT query, entity_id, 1.0::DOUBLE AS weight FROM named UNION ALL SELECT query, entity_id, 0.5::DOUBLE
  FROM (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, entity_id) <= 3))"""
-_GR = f"""{_ADJ}, {_SEEDS}, {_ppr("SELECT query, 'e' || entity_id AS node, 1.0::DOUBLE AS weight FROM seeds")},
+_GR = f"""{_ADJ}, {_SEEDS}, {_ppr("SELECT query, 'e' || entity_id AS node, weight FROM seeds")},
 gm AS (SELECT query, CAST(substr(node, 2) AS BIGINT) AS id, round(mass, 9) AS mass FROM r20 WHERE node[1] = 'm'),
 g90 AS (SELECT * FROM gm QUALIFY row_number() OVER (PARTITION BY query ORDER BY mass DESC, id) <= 90),
 gr AS MATERIALIZED (SELECT query, id, mass, CAST(row_number() OVER (PARTITION BY query ORDER BY mass DESC, id) AS INTEGER) AS rank FROM g90 WHERE id IN (SELECT id FROM cur) QUALIFY rank <= 30)"""
@@ -88,21 +86,22 @@ _TEXT = f"{_CUR}, {_POST}, {_BM}"
 _ALL = f"WITH {_CUR}, {_VEC}, {_POST}, {_BM}, {_AW}, {_GR}, {_FUSE}, {_PRIOR}, {_ORDER}"
 
 
-#: Entities to start the graph channel from, of queries and entities.
-Seeds = Callable[[DataFrame, DataFrame], DataFrame]
-
-
 def _queries(t: Tables) -> DataFrame:
-    return t.memories.where("id % 100 = 0").select("id", "content", F.col("embedding").alias("v"))
+    """The queries; a prompt is read up to 2000 characters."""
+    return t.memories.where("id % 100 = 0").select("id", F.substring("content", 1, 2000).alias("content"), F.col("embedding").alias("v"))
 
 
 def _current(t: Tables) -> DataFrame:
     return views.current_view(t.memories, NOW)
 
 
+def _vector(t: Tables, allowed: DataFrame) -> DataFrame:
+    return search.vector_topk(_queries(t), allowed.select("id", F.col("embedding").alias("v")), DIM, search.POOL)
+
+
 @plan.add(f"WITH {_CUR}, {_VEC} SELECT query, id, similarity, rank FROM vec")
 def vector_topk(t: Tables) -> DataFrame:
-    return search.vector_topk(_queries(t), _current(t).select("id", F.col("embedding").alias("v")), DIM, search.POOL)
+    return _vector(t, _current(t))
 
 
 def _index(t: Tables) -> DataFrame:
@@ -149,93 +148,144 @@ def ppr(t: Tables) -> DataFrame:
     return graph.pagerank(graph.adjacency(t.memories, t.links), seeds).withColumn("mass", F.round("mass", 9))
 
 
-def _graph(t: Tables, seeds: Seeds) -> DataFrame:
-    nodes = seeds(_queries(t), t.entities).select(F.col("id").alias("query"), F.concat(F.lit("e"), "entity_id").alias("node"), "weight")
+def _graph(t: Tables, allowed: DataFrame) -> DataFrame:
+    nodes = entities.seeds(_queries(t), t.entities).select(F.col("id").alias("query"), F.concat(F.lit("e"), "entity_id").alias("node"), "weight")
     mass = graph.pagerank(graph.adjacency(t.memories, t.links), nodes).where("node LIKE 'm%'")
     mass = mass.select("query", F.expr("cast(substr(node, 2) as bigint)").alias("id"), F.round("mass", 9).alias("mass"))
     # more than asked for are ranked first and filtered then, as rank is held against the unfiltered mass
     wide = search.ranked(mass, "query", [F.desc("mass"), F.col("id")], 3 * search.POOL).drop("rank")
-    return search.ranked(wide.join(_current(t).select("id"), "id", "left_semi"), "query", [F.desc("mass"), F.col("id")], search.POOL)
+    return search.ranked(wide.join(allowed.select("id"), "id", "left_semi"), "query", [F.desc("mass"), F.col("id")], search.POOL)
 
 
 @plan.add(f"WITH {_CUR}, {_GR} SELECT query, id, mass, rank FROM gr")
-def graph_channel(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    return _graph(t, seeds).select("query", "id", "mass", "rank")
+def graph_channel(t: Tables) -> DataFrame:
+    return _graph(t, _current(t)).select("query", "id", "mass", "rank")
 
 
-def _fused(t: Tables, seeds: Seeds) -> DataFrame:
+@plan.add(f"WITH {_SEEDS} SELECT query AS id, entity_id, weight FROM seeds")
+def entity_seeds(t: Tables) -> DataFrame:
+    """Seeds with the second step: queries that name no entity start from the best by BM25 over names."""
+    return entities.seeds(_queries(t), t.entities)
+
+
+def _fused(t: Tables, allowed: DataFrame) -> DataFrame:
     index, asked = _index(t), _terms(t)
-    best = search.bm25_topk(asked.select("query", "term"), index, search.POOL, allowed=_current(t))
+    best = search.bm25_topk(asked.select("query", "term"), index, search.POOL, allowed=allowed)
     text = best.join(search.adaptive_weight(asked, index, t.memories.count()), "query", "left").withColumn("weight", F.coalesce("w_text", F.lit(1.0)))
     return search.fuse({
-        "vector": vector_topk(t).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t, seeds).withColumn("weight", F.lit(W_GRAPH))})
+        "vector": _vector(t, allowed).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t, allowed).withColumn("weight", F.lit(W_GRAPH))})
 
 
 @plan.add(f"WITH {_CUR}, {_VEC}, {_POST}, {_BM}, {_AW}, {_GR}, {_FUSE} SELECT query, id, fused, r_vector, r_text, r_graph FROM fu")
-def rrf_fusion(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    return _fused(t, seeds)
+def rrf_fusion(t: Tables) -> DataFrame:
+    return _fused(t, _current(t)).select("query", "id", "fused", "r_vector", "r_text", "r_graph")
 
 
 @plan.add(_ALL + " SELECT query, id, fused, prior FROM pr")
-def recency_prior(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    return search.prior(_fused(t, seeds), t.memories, NOW).select("query", "id", "fused", "prior")
+def recency_prior(t: Tables) -> DataFrame:
+    return search.prior(_fused(t, _current(t)), t.memories, NOW).select("query", "id", "fused", "prior")
 
 
-def _ordered(t: Tables, seeds: Seeds) -> DataFrame:
-    p = search.prior(_fused(t, seeds), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
+def _ordered(t: Tables, allowed: DataFrame) -> DataFrame:
+    """All candidates in fused order; every row that one of three channels of POOL rows gives."""
+    p = search.prior(_fused(t, allowed), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
     # read twice by the reranking queries
-    return cut(search.ranked(p, "query", [F.desc("score"), F.col("id")], 10 * search.POOL).withColumnRenamed("rank", "fused_rank"))
+    return cut(search.ranked(p, "query", [F.desc("score"), F.col("id")], 3 * search.POOL).withColumnRenamed("rank", "fused_rank"))
 
 
-def _reranked(t: Tables, ordered: DataFrame) -> DataFrame:
+def _scores(t: Tables, ordered: DataFrame) -> DataFrame:
+    """Reranker's scores of the pool: query, id, rerank."""
     asked = _queries(t).select(F.col("id").alias("query"), query_tokens(F.col("content")).alias("q"))
     read = t.memories.select("id", query_tokens(F.substring("content", 1, 320)).alias("w"))
-    pool = ordered.where("fused_rank <= 8").join(read, "id").join(asked, "query")
-    return search.blend(pool.select("query", "id", "fused_rank", search.token_overlap(F.col("q"), F.col("w")).alias("rerank")))
+    pool = ordered.where(F.col("fused_rank") <= search.RERANKED).join(read, "id").join(asked, "query")
+    return pool.select("query", "id", search.token_overlap(F.col("q"), F.col("w")).alias("rerank"))
+
+
+def _found(t: Tables, allowed: DataFrame, limit: int = 5, rerank: str = "blend") -> DataFrame:
+    ordered = _ordered(t, allowed)
+    return search.reordered(ordered, None if rerank == "off" else _scores(t, ordered), rerank).where(F.col("rank") <= max(1, limit))
 
 
 @plan.add(_ALL + f", {_RR} SELECT query, id, fused_rank, rerank, rerank_rank, blended, rank FROM rb")
-def rerank_blend(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    return _reranked(t, _ordered(t, seeds))
+def rerank_blend(t: Tables) -> DataFrame:
+    ordered = _ordered(t, _current(t))
+    return search.blend(_scores(t, ordered).join(ordered.select("query", "id", "fused_rank"), ["query", "id"]))
 
 
-@plan.add(_ALL + f", {_RR} SELECT query, id, rank, rerank AS score FROM rb WHERE rank <= 5")
-def hybrid_search(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    return _reranked(t, _ordered(t, seeds)).where("rank <= 5").select("query", "id", "rank", F.col("rerank").alias("score"))
+#: The whole order: the reranked pool, then the rest as fused; the pool scores by the reranker, the rest by fusion and prior.
+_WHOLE = "wh AS MATERIALIZED (SELECT query, id, rank, rerank, rerank AS score FROM rb UNION ALL SELECT query, id, fused_rank, NULL, score FROM od WHERE fused_rank > 8)"
+_FOUND = "SELECT query, id, rank, score FROM wh WHERE rank <= "
 
 
-@plan.add(_ALL + f", {_RR} SELECT query, id, rb.rank, r_vector, r_text, r_graph, fused, prior, rerank FROM rb JOIN od USING (query, id) WHERE rb.rank <= 5")
-def search_explain(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    ordered = _ordered(t, seeds)
-    o = ordered.select("query", "id", "r_vector", "r_text", "r_graph", "fused", "prior")
-    return _reranked(t, ordered).where("rank <= 5").join(o, ["query", "id"]).select("query", "id", "rank", "r_vector", "r_text", "r_graph", "fused", "prior", "rerank")
+def _search_sql(rows: str, limit: int, rerank: str = "blend") -> str:
+    """The SQL of a search over the rows that meet ``rows``."""
+    sql = _ALL.replace(_CUR, f"cur AS MATERIALIZED (SELECT * FROM memories WHERE {rows})")
+    if rerank == "off":
+        return sql + f" SELECT query, id, fused_rank AS rank, score FROM od WHERE fused_rank <= {limit}"
+    rr = _RR if rerank == "blend" else _RR.replace("ORDER BY blended DESC, fused_rank)", "ORDER BY rerank DESC, fused_rank)")
+    return sql + f", {rr}, {_WHOLE} {_FOUND}{limit}"
 
 
-@plan.add(_ALL + f""", {_RR}, rg AS (SELECT rb.query, rb.id, rb.rank, rerank FROM rb JOIN memories m ON m.id = rb.id JOIN memories q ON q.id = rb.query
- WHERE rb.rank <= 6 AND rerank >= 0.2 AND NOT (m.status = 'active' AND m.importance >= 0.7 AND (m.relation IS NOT NULL OR m.domain = 'identity')) AND len(regexp_extract_all(q.content, '\\S+')) >= 3)
-SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY rank) AS INTEGER) AS pos FROM rg QUALIFY pos <= 3""")
-def recall_gate(t: Tables, seeds: Seeds = entities.named_in) -> DataFrame:
-    """At most three hits for each prompt of three words or more: of sufficient score, and not in the profile anyway."""
-    shown = t.memories.where("status = 'active' AND importance >= 0.7 AND (relation IS NOT NULL OR domain = 'identity')").select("id")
-    long_enough = _queries(t).where(F.size(F.regexp_extract_all("content", F.lit(r"\S+"), F.lit(0))) >= 3).select(F.col("id").alias("query"))
-    hits = _reranked(t, _ordered(t, seeds)).where("rank <= 6 AND rerank >= 0.2").join(shown, "id", "left_anti").join(long_enough, "query", "left_semi").select("query", "id", F.col("rank").alias("at"))
-    return search.ranked(hits, "query", [F.col("at")], 3).select("query", "id", F.col("rank").alias("pos"))
+_NOW_ROWS = f"status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')"
 
 
-@plan.add(f"WITH {_SEEDS_OR_BEST} SELECT query AS id, entity_id, weight FROM seeds")
-def entity_seeds_or_best(t: Tables) -> DataFrame:
-    """Seeds with the second step: queries that name no entity start from the best by BM25 over names."""
-    return entities.seeds(_queries(t), t.entities)
+@plan.add(_search_sql(_NOW_ROWS, 5))
+def hybrid_search(t: Tables) -> DataFrame:
+    return _found(t, _current(t)).select("query", "id", "rank", "score")
+
+
+@plan.add(_search_sql(_NOW_ROWS + " AND domain = 'projects' AND importance >= 0.3", 12))
+def hybrid_search_filtered(t: Tables) -> DataFrame:
+    """Search within a domain and from an importance on, with more hits than are reranked."""
+    return _found(t, views.matching(_current(t), domain="projects", min_importance=0.3), 12).select("query", "id", "rank", "score")
+
+
+@plan.add(_search_sql(_NOW_ROWS + " AND type = 'fact' AND len(list_filter(tags, lambda x: lower(x) = 'ops')) > 0", 10, "sort"))
+def hybrid_search_tagged(t: Tables) -> DataFrame:
+    """Search within a type and a tag; the reranker alone orders its pool."""
+    return _found(t, views.matching(_current(t), kind="fact", tag="Ops"), 10, "sort").select("query", "id", "rank", "score")
+
+
+@plan.add(_search_sql(f"status IN ('active', 'superseded', 'archived') AND valid_from <= TIMESTAMP '{AS_OF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}')", 5))
+def hybrid_search_as_of(t: Tables) -> DataFrame:
+    """Search of what was true at a moment."""
+    return _found(t, views.as_of(t.memories, AS_OF)).select("query", "id", "rank", "score")
 
 
-def _or_best(f: Callable[[Tables, Seeds], DataFrame]) -> None:
-    """Enter a query once more, with the seeds of ``entity_seeds_or_best``."""
-    QUERIES[f"{f.__name__}_or_best"] = lambda spark, sf_dir: f(Tables(spark, sf_dir), entities.seeds)
-    SQL[f"{f.__name__}_or_best"] = SQL[f.__name__].replace(_SEEDS, _SEEDS_OR_BEST)
+@plan.add(_search_sql("status IN ('active', 'superseded', 'archived')", 20, "off"))
+def hybrid_search_history(t: Tables) -> DataFrame:
+    """Search of all that was ever true, in fused order without a reranker."""
+    return _found(t, views.history(t.memories), 20, "off").select("query", "id", "rank", "score")
 
 
-for _f in (graph_channel, rrf_fusion, recency_prior, rerank_blend, hybrid_search, search_explain, recall_gate):
-    _or_best(_f)
+@plan.add(_ALL + f""", {_RR}, {_WHOLE} SELECT wh.query, wh.id, wh.rank, r_vector, r_text, r_graph, fused, prior, rerank, CASE WHEN r_vector IS NOT NULL THEN 1.0 END AS w_vector,
+CASE WHEN r_text IS NOT NULL THEN w_text END AS w_text, CASE WHEN r_graph IS NOT NULL THEN 0.7 END AS w_graph FROM wh JOIN od USING (query, id) LEFT JOIN aw USING (query) WHERE wh.rank <= 10""")
+def search_explain(t: Tables) -> DataFrame:
+    """Hits with their rank and weight in each channel that gave them, the fused score, the prior and the reranker's score."""
+    w = search.adaptive_weight(_terms(t), _index(t), t.memories.count())
+    hits = _found(t, _current(t), 10).join(w, "query", "left")
+    weight = lambda c, v: F.when(F.col(f"r_{c}").isNotNull(), v).alias(f"w_{c}")
+    return hits.select("query", "id", "rank", "r_vector", "r_text", "r_graph", "fused", "prior", "rerank", weight("vector", F.lit(1.0)), weight("text", F.col("w_text")), weight("graph", F.lit(W_GRAPH)))
+
+
+@plan.add(_ALL + f""", {_RR}, {_WHOLE}, tc AS (SELECT id, count(*) AS hits FROM wh WHERE rank <= 5 GROUP BY id)
+SELECT id, access_count + coalesce(hits, 0) AS access_count, CASE WHEN hits > 0 THEN TIMESTAMP '{NOW}' ELSE last_accessed END AS last_accessed FROM memories LEFT JOIN tc USING (id)""")
+def search_touch(t: Tables) -> DataFrame:
+    """Memories after a batch of searches has counted its hits."""
+    return search.touched(t.memories, _found(t, _current(t)), NOW)
+
+
+@plan.add(_ALL + f""", {_RR}, {_WHOLE}, rg AS (SELECT wh.query, wh.id, wh.rank, m.content AS c, m.domain, m.observed_at FROM wh JOIN memories m ON m.id = wh.id JOIN memories q ON q.id = wh.query
+ WHERE wh.rank <= 6 AND score >= 0.2 AND NOT (m.importance >= 0.7 AND (m.relation IS NOT NULL OR m.domain = 'identity')) AND len(regexp_extract_all(q.content, '\\S+')) >= 3)
+SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY rank) AS INTEGER) AS pos,
+ '- ' || CASE WHEN length(c) <= 500 THEN c ELSE regexp_replace(substr(c, 1, 500), ' [^ ]*$', '') || ' …' END || ' (' || domain || ', ' || strftime(observed_at, '%Y-%m-%d') || ')' AS line FROM rg QUALIFY pos <= 3""")
+def recall_gate(t: Tables) -> DataFrame:
+    """At most three lines for each prompt of three words or more: hits of sufficient score that the profile doesn't show anyway.
+
+    0.2 is the least score of the stand-in reranker; prompts are read up to 2000 characters (``_queries``).
+    """
+    long_enough = _queries(t).where(F.size(F.regexp_extract_all("content", F.lit(r"\S+"), F.lit(0))) >= 3).select(F.col("id").alias("query"))
+    return search.recalled(_found(t, _current(t), 6).join(long_enough, "query", "left_semi"), t.memories, 0.2)
 
 
 @plan.add(f"""WITH {_CUR}, q AS MATERIALIZED (SELECT id AS query, embedding::DOUBLE[] AS v, list_distinct({SQL_TOKENS.format('content')}) AS t FROM memories WHERE id % 100 = 0 AND relation IS NULL AND {_USABLE}),

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent / "tools"))
 from compare import plain  # noqa: E402
 
 CORE = {n: s for p in entry._PLANS if ".llm." not in p.__name__ for n, s in p.SQL.items()}
-HEAVY = {"rrf_fusion", "recency_prior", "rerank_blend", "hybrid_search", "recall_gate"}  # parts of search_explain
+HEAVY = {"rrf_fusion", "recency_prior", "rerank_blend", "hybrid_search"}  # parts of search_explain
 
 
 @pytest.mark.parametrize("name", sorted(set(CORE) - HEAVY))

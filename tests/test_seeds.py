@@ -16,6 +16,6 @@ def test_queries_without_names_start_from_the_best_by_words(spark):
 
 def test_no_query_is_left_without_seeds_where_words_meet(spark):
     q = entry.queries()
-    named, whole = q["entity_seeds"](spark, SF), q["entity_seeds_or_best"](spark, SF)
+    named, whole = q["entity_seeds_named"](spark, SF), q["entity_seeds"](spark, SF)
     assert named.exceptAll(whole).isEmpty() and set(whole.select("weight").distinct().toPandas().weight) <= {1.0, 0.5}
     assert whole.groupBy("id").count().join(named.select("id").distinct(), "id", "left_anti").where("count > 3").isEmpty()
