@@ -97,22 +97,24 @@ def soft_delete(memories: DataFrame, ids: DataFrame, now: str) -> DataFrame:
 
 
 def resolve_reviews(reviews: DataFrame, memories: DataFrame, approved: Column, now: str) -> DataFrame:
-    """What the open reviews of memories do: review, memory_id (new side), new_status, other_id (old side), old_status, old_valid_to.
+    """What the open reviews of memories do: review, memory_id (new side), new_status, new_relation, other_id (old side), old_status, old_valid_to, old_superseded_by.
 
-    supersede: approval ends the old fact where the new begins and makes the new active, rejection makes the new active.
-    conflict: approval ends the old one, rejection makes it active again if it is pending. merge: approval ends the old
-    one now, rejection changes nothing. What isn't changed is shown as it is.
+    supersede: approval ends the old fact where the new begins and makes the new active under the old one's relation,
+    rejection makes the new active as it is. conflict: approval ends the old one, rejection makes it active again if it
+    is pending. merge: approval ends the old one now, rejection changes nothing. What isn't changed is shown as it is.
+    Reviews of aliases are resolved by ``entities.absorb`` and ``entities.repoint``.
     """
-    m = memories.select("id", "status", "valid_from", "valid_to")
-    new = m.toDF("memory_id", "new_was", "new_from", "new_to")
-    old = m.toDF("other_id", "old_was", "old_from", "old_to")
+    m = memories.select("id", "status", "valid_from", "valid_to", "relation", "superseded_by")
+    new = m.toDF("memory_id", "new_was", "new_from", "new_to", "new_rel", "new_by")
+    old = m.toDF("other_id", "old_was", "old_from", "old_to", "old_rel", "old_by")
     r = reviews.where("status = 'open' AND kind IN ('supersede', 'conflict', 'merge')").withColumn("yes", approved).join(new, "memory_id").join(old, "other_id")
     ends = F.col("yes")
     end = F.when(F.col("kind") == "merge", F.lit(now).cast("timestamp_ntz")).otherwise(F.col("new_from"))
     return r.select(
         F.col("id").alias("review"), "memory_id", F.when(F.col("kind") == "supersede", "active").otherwise(F.col("new_was")).alias("new_status"), "other_id",
+        F.when((F.col("kind") == "supersede") & F.col("yes"), F.col("old_rel")).otherwise(F.col("new_rel")).alias("new_relation"),
         F.when(ends, "superseded").when((F.col("kind") == "conflict") & (F.col("old_was") == "pending"), "active").otherwise(F.col("old_was")).alias("old_status"),
-        F.when(ends, end).otherwise(F.col("old_to")).alias("old_valid_to"))
+        F.when(ends, end).otherwise(F.col("old_to")).alias("old_valid_to"), F.when(ends, F.col("memory_id")).otherwise(F.col("old_by")).alias("old_superseded_by"))
 
 
 def skill_versions(saved: DataFrame) -> DataFrame:

@@ -12,6 +12,16 @@ DOMAINS = ("identity", "projects", "code", "general", "diary")
 KNOWN = ("active", "superseded", "archived")
 
 
+#: Default and largest number of rows of each listing (fixed values).
+LIMITS = {"search": (5, 50), "list": (100, 500), "events": (100, 1000), "reviews": (20, 100), "related": (6, 6), "skills": (3, 50)}
+
+
+def clamped(listing: str, limit: int | None = None) -> int:
+    """The limit that a listing is given, or its default, between 1 and its largest."""
+    default, most = LIMITS[listing]
+    return max(1, min(default if limit is None else limit, most))
+
+
 def current_view(memories: DataFrame, now: str) -> DataFrame:
     """Active rows that haven't expired at ``now``."""
     return memories.where((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))))

@@ -73,9 +73,9 @@ def soft_delete(t: Tables) -> DataFrame:
     return ledger.soft_delete(t.memories, gone, NOW)
 
 
-@plan.add(f"""SELECT r.id AS review, r.memory_id, CASE WHEN kind = 'supersede' THEN 'active' ELSE n.status END AS new_status, r.other_id,
+@plan.add(f"""SELECT r.id AS review, r.memory_id, CASE WHEN kind = 'supersede' THEN 'active' ELSE n.status END AS new_status, CASE WHEN kind = 'supersede' AND r.confidence >= 0.5 THEN o.relation ELSE n.relation END AS new_relation, r.other_id,
  CASE WHEN r.confidence >= 0.5 THEN 'superseded' WHEN kind = 'conflict' AND o.status = 'pending' THEN 'active' ELSE o.status END AS old_status,
- CASE WHEN r.confidence >= 0.5 THEN CASE WHEN kind = 'merge' THEN TIMESTAMP '{NOW}' ELSE n.valid_from END ELSE o.valid_to END AS old_valid_to
+ CASE WHEN r.confidence >= 0.5 THEN CASE WHEN kind = 'merge' THEN TIMESTAMP '{NOW}' ELSE n.valid_from END ELSE o.valid_to END AS old_valid_to, CASE WHEN r.confidence >= 0.5 THEN n.id ELSE o.superseded_by END AS old_superseded_by
 FROM reviews r JOIN memories n ON n.id = r.memory_id JOIN memories o ON o.id = r.other_id WHERE r.status = 'open' AND kind IN ('supersede', 'conflict', 'merge')""")
 def resolve_reviews(t: Tables) -> DataFrame:
     return ledger.resolve_reviews(t.reviews, t.memories, F.col("confidence") >= 0.5, NOW)
