@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from mnemora.operators.components import connected_components
 from mnemora.sources import cut
@@ -23,18 +24,26 @@ SHORT_WORDS = {
     "co": "company", "corp": "corporation", "coop": "cooperative", "dept": "department", "auth": "authority", "assn": "association",
     "assoc": "association", "inst": "institute", "fdn": "foundation", "found": "foundation", "ltd": "limited", "inc": "incorporated", "univ": "university",
 }
+# Usual English short forms of given names that aren't beginnings of them; those are found by rule (``short_form``).
 SHORT_NAMES = """
-abigail: abby abbie gail | alexander: alex sasha sandy xander al lex | anneliese: anni annie liese anne | bartholomew: bart barty bat | benjamin: ben benny benji
-christopher: chris kit topher | cormac: mac cory | dorothea: dora thea dot dottie | edward: ed eddie ned ted teddy | elizabeth: liz lizzie beth betty eliza lisa liza libby elsie
-frederick: fred freddie freddy rick | gabriella: gabi gabby ella bella | hamish: hame | helena: lena nell ellie helen | ingrid: inga | isabella: bella izzy isa belle
-jonathan: jon jonny nathan | josephine: jo josie posy | katherine: kate kathy katie kat kitty kath | leila: lee | leonard: leo len lenny | margaret: maggie meg peggy greta rita marge daisy
-matthew: matt matty | maximilian: max maxi | michael: mike mick mickey micky | milos: mile | nathaniel: nate nathan nat | nicholas: nick nicky nico klaus | olivia: liv livvy ollie
-patricia: pat patty tricia trish | quentin: quin | rebecca: becky becca | richard: rich rick dick richie ricky | robert: rob bob bobby robbie bert | rosalind: ros rosa roz rosie
-samantha: sam sammy | samuel: sam sammy | sebastian: seb bastian basti | stephen: steve | sunniva: sunny | theodore: ted theo teddy | thomas: tom tommy | tomasz: tomek tom
-valentina: val tina | victoria: vicky tori vic vicki | vesna: ves | wanda: wan | william: will bill billy liam willy | ximena: mena xime | yusuf: joe | zachary: zach zack zak
+abigail: gail abby abbie | adelaide: heidi | agnes: nessie | albert: al bert bertie | alexander: al sandy sasha xander lex | alexandra: sandra sandy sasha lexi | alfred: al fred freddie | andrew: drew | angela: angie | ann: nan nancy
+anna: nan nancy | anthony: tony | antonia: toni | archibald: baldie | arthur: art | augustus: gus | barbara: babs | bartholomew: bat | beatrice: trixie bea | belinda: lindy | bernard: bernie | bridget: biddy
+caroline: carrie lina | catherine: kate kathy katie kitty cat | cecilia: cissy celia | charles: chuck chas | charlotte: lottie lotte | christine: kit tina | christopher: kit topher kester | clementine: clemmie tina | constance: connie | cornelius: neil
+deborah: debbie | derek: rick del | dominic: nick nicky | dorothea: dora thea dot dottie dolly | dorothy: dot dottie dolly dora | edmund: ed ned ted eddie | edward: ed ned ted teddy eddie | edwin: ed ned ted | eleanor: nell nellie nora ellie | elizabeth: bess beth betsy betty libby lisa liza lizzie liz eliza elsie lily
+emily: millie | emmanuel: manny | eugene: gene | euphemia: effie | evelyn: lynn | florence: flossie | frances: fanny frankie | francis: frank frankie | francesca: fran cesca | franklin: frank | frederick: fritz rick | frederica: ricki
+gabriella: ella bella | george: dod | georgina: gina | geraldine: dina | gertrude: trudy gert | gregory: greg | harold: hal | harriet: hattie | helen: nell nellie lena ellie | helena: nell lena ellie | henrietta: etta hetty hettie | henry: hal hank harry
+isabella: bella ella izzy izzie tibby | isabel: bel izzy tibby | jacob: jake | james: jim jimmy jamie | jane: jenny | janet: nettie | jean: jennie | jennifer: jenny | jeremiah: jerry | jessica: jessie | joan: jo | john: jack johnny | jonathan: nathan | joseph: jo | josephine: josie posy fifi | judith: judy
+katherine: kate kathy katie kitty kay | kathleen: kate kay kitty | laurence: larry lorne | leonard: len lenny | leonora: nora | leopold: poldi | letitia: lettie | louisa: lulu | louise: lulu | lucinda: cindy | madeleine: maddy | magdalena: lena | margaret: maggie meg peggy peg greta rita daisy madge
+maria: ria molly | martha: patty mattie | mary: molly polly | matilda: tilly tilda | maximilian: milian | michael: mick micky mike mickey | mildred: millie | millicent: millie | montgomery: monty | nathaniel: nat nate | nicholas: nick nicky klaus colin nico
+olivia: liv livvy | oliver: noll | pamela: pam | patricia: patsy tricia trish patty | patrick: paddy | penelope: penny | philippa: pippa | philip: pip | priscilla: cilla | prudence: prue | rebecca: becca becky | richard: dick rick ricky dickie | robert: bob bobby rob bert
+roberta: bobbie | roderick: rick | ronald: ronnie | rosalind: ros roz lindy | rosemary: romy | rudolf: rolf dolf | samantha: mantha | samuel: sammy | sarah: sally sadie | sebastian: bastian basti | sophia: fia | stanley: stan | stephen: steve | susan: sukie | susanna: sanna
+theodora: dora thea | theodore: ted teddy | theresa: tess tessa terry | thomas: tom tommy | timothy: tim | ursula: ulla | valentina: tina | veronica: ronnie vera nica | victor: vic | victoria: vicky tori toria | vincent: vince | virginia: ginny gina | walter: wally wat | wilhelmina: mina minnie
+william: bill billy willy liam | winifred: freda winnie | yvonne: vonnie | zachary: zack zach zak | zoe: zo
 """
-#: Letters beyond which a token is compared as a whole: an index of its deletions would grow with the square.
+#: Letters beyond which a token is indexed by its two ends, of which one edit leaves one as it is; an index of its deletions would grow with the square.
 LONGEST = 64
+#: Endings of short forms that are the beginning of a given name.
+_ENDINGS = ("", "y", "ie", "i", "e", "a", "o")
 _ID = T.StructType([T.StructField("form", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))])
 
 
@@ -54,11 +63,27 @@ def roots(token: str) -> frozenset[str]:
     return _roots().get(token, frozenset()) | {token}
 
 
+def short_form(a: str, b: str) -> bool:
+    """Whether one of two given names is a short form of the other by rule: its first three letters or more, and a usual ending."""
+    a, b = sorted((a, b), key=len)
+    if len(a) < 3 or len(a) >= len(b) or a[:3] != b[:3]:
+        return False
+    for ending in _ENDINGS:
+        stem = a.removesuffix(ending)
+        if a.endswith(ending) and len(stem) >= 3 and (b.startswith(stem) or (len(stem) > 3 and stem[-1] == stem[-2] and b.startswith(stem[:-1]))):
+            return True
+    return False
+
+
 def deletes(token: str) -> set[str]:
-    """The token and what is left of it after any one character is deleted; only the token if it has more than ``LONGEST``."""
-    if len(token) > LONGEST:
-        return {token}
-    return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))}
+    """Keys of which two tokens one edit apart share one: the token and what any one deletion leaves of it; a long token's two ends."""
+    keys = {token}
+    if len(token) >= LONGEST:
+        half = LONGEST // 2
+        keys |= {f"^{token[:half]}", f"{token[-half:]}$"}
+    if len(token) <= LONGEST:
+        keys |= {token[:i] + token[i + 1 :] for i in range(len(token))}
+    return keys
 
 
 def within_one(a: str, b: str) -> bool:
@@ -123,7 +148,7 @@ def _token_cost(a: str, b: str, person: bool) -> float | None:
     if len(a) == 1 or len(b) == 1:
         letters = {r[0] for r in roots(b if len(a) == 1 else a)} if person else {(b if len(a) == 1 else a)[0]}
         return 3.0 if (a if len(a) == 1 else b) in letters else None
-    if person and roots(a) & roots(b):
+    if person and (roots(a) & roots(b) or short_form(a, b)):
         return 0.2
     if not person and (shortens(a, b) or shortens(b, a)):
         return 0.2
@@ -207,19 +232,11 @@ def _least(a: list[str], b: list[str], person: bool) -> float | None:
     return None if total >= never else round(total, 9)
 
 
-def _second_keys(form: str, rest: list[str]) -> list[str]:
-    """Keys of which two names that fit share at least one."""
+def _rest_key(form: str, rest: list[str]) -> str:
+    """A key that the rest of a word or of an organisation's name shares with those of names that fit."""
     if form == "m":
-        return ["m"]
-    if form == "o":
-        return ["o" + ("".join(sorted(rest[0])) if len(rest) == 1 and len(rest[0]) <= 3 else "".join(sorted(t[0] for t in rest)))]
-    if not rest:
-        return []
-    g = rest[0]
-    if len(g) == 1:
-        return ["n" + g, "i" + g]
-    keys = {"f" + d for r in roots(g) for d in deletes(r)} | {"n" + r[0] for r in roots(g)}
-    return sorted(keys)
+        return "m"
+    return "".join(sorted(rest[0])) if len(rest) == 1 and len(rest[0]) <= 3 else "".join(sorted(t[0] for t in rest))
 
 
 @F.pandas_udf(_ID)
@@ -238,9 +255,14 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
+@F.pandas_udf(T.StringType())
+def _key_of_rest(form: pd.Series, rest: pd.Series) -> pd.Series:
+    return pd.Series([None if f == "p" else _rest_key(f, list(r)) for f, r in zip(form, rest)], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _keys(form: pd.Series, rest: pd.Series) -> pd.Series:
-    return pd.Series([_second_keys(f, list(r)) for f, r in zip(form, rest)])
+def _roots_of(token: pd.Series) -> pd.Series:
+    return token.map(lambda t: sorted(roots(t)))
 
 
 @F.pandas_udf(T.StringType())
@@ -249,14 +271,73 @@ def _fit(form: pd.Series, anchor_a: pd.Series, rest_a: pd.Series, anchor_b: pd.S
         align(f, list(x), list(y)) if alike(p, q) else None for f, p, x, q, y in zip(form, anchor_a, rest_a, anchor_b, rest_b)], dtype=object)
 
 
+def _token_keys(names: DataFrame) -> DataFrame:
+    """Each token with its rarity and block keys: token, weight, keys, given (keys as a given name), initials.
+
+    The keys of a token are its own and one for each pair with a token one edit apart, so tokens that may be one share a
+    key, and no chain of edits ties others to them. A key of the index has at most a token for each letter and place.
+    """
+    vocabulary = cut(names.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    full = names.sparkSession.createDataFrame([(n,) for n in sorted(set().union(*_roots().values()))], "token string")
+    known = cut(vocabulary.unionAll(full.withColumn("df", F.lit(0).cast("long"))).groupBy("token").agg(F.sum("df").alias("df")))
+    index = known.where(F.length("token") >= 3).select("token", F.explode(_deletes("token")).alias("key"))
+    x, y = index.withColumnRenamed("token", "a"), index.withColumnRenamed("token", "b")
+    near = x.join(y, "key").where("a < b").select("a", "b").distinct().where(_alike("a", "b"))
+    sides = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    around = sides.join(known.select(F.col("token").alias("b"), "df"), "b").groupBy(F.col("a").alias("token")).agg(
+        F.sum("df").alias("more"), F.collect_list(F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("pairs"))
+    own = F.array(F.xxhash64("token"))
+    tokens = cut(known.join(around, "token", "left").select("token", (F.col("df") + F.coalesce("more", F.lit(0))).alias("weight"), F.coalesce(F.concat(own, "pairs"), own).alias("keys")))
+    # a token of the list of short forms has the keys of all names it may stand for
+    listed = known.where(F.col("token").isin(sorted(_roots()))).select("token", F.explode(_roots_of("token")).alias("root"))
+    given = listed.join(tokens.select(F.col("token").alias("root"), "keys"), "root").groupBy("token").agg(
+        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("given"), F.collect_set(F.substring("root", 1, 1)).alias("initials"))
+    return cut(tokens.join(given, "token", "left").select("token", "weight", "keys", F.coalesce("given", "keys").alias("given"), F.coalesce("initials", F.array(F.substring("token", 1, 1))).alias("initials")))
+
+
+def candidates(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of names (name, form, tokens) that may fit, and the weak ones: (form, a, anchor_a, rest_a, weak_a, and so for b), (name).
+
+    A name is blocked by anchor tokens and by keys of the rest: a person's by the first, the last and the rarest token
+    and the given name, an organisation's by its two rarest words and the initials of the others. Weak names, of which
+    only an initial or an acronym is known beside the anchor, meet the others by initials, and never each other.
+    """
+    tokens = _token_keys(names)
+    n = F.size("tokens")
+    at = names.select("name", "form", n.alias("n"), F.posexplode("tokens").alias("pos", "token")).where("form <> 'p' OR length(token) > 1").join(tokens.select("token", "weight", "keys"), "token")
+    # a known given name or a short form is the main anchor only where there is no other token, however rare its spelling
+    order = [(F.length("token") < 3), (F.col("token").isin(sorted(_roots())) | (F.length("token") < 5)) & (F.col("form") == "p"), F.col("weight"), F.negative(F.length("token")), F.col("token"), F.col("pos")]
+    place = F.row_number().over(Window.partitionBy("name").orderBy(*order))
+    anchors = at.withColumn("place", place).where("place = 1 OR (form = 'o' AND place = 2) OR (form = 'p' AND (pos = 0 OR pos = n - 1))")
+    anchors = anchors.select("name", "pos", F.col("token").alias("anchor"), "keys", F.expr("pos = n - 1").alias("last"), F.expr("place > 1 AND pos < n - 1 AND form = 'p'").alias("extra"))
+    blocked = names.join(anchors, "name").select("name", "form", n.alias("n"), "anchor", "keys", "last", "extra", F.filter("tokens", lambda t, i: i != F.col("pos")).alias("rest"), F.col("tokens")[0].alias("first"), F.size(F.filter("tokens", lambda t: F.length(t) == 1)).alias("singles"))
+    blocked = blocked.withColumn("weak", F.expr("form = 'p' AND (length(first) = 1 OR singles = n - 1) OR form = 'o' AND size(rest) = 1 AND length(rest[0]) <= 3"))
+    # a name is weak as a whole, whichever its anchor
+    blocked = blocked.withColumn("weak", F.max("weak").over(Window.partitionBy("name"))).withColumn("g", F.get("rest", F.lit(0)))
+    blocked = blocked.join(tokens.select(F.col("token").alias("g"), "given", "initials"), "g", "left").withColumn("other", _key_of_rest("form", "rest"))
+    person = F.col("form") == "p"
+    none = F.array().cast("array<bigint>")
+    by_name = F.concat(F.coalesce("given", none), F.when(F.length("g") >= 3, F.array(F.xxhash64(F.lit("h"), F.substring("g", 1, 3)))).otherwise(none))
+    by_initial = F.transform(F.coalesce("initials", F.array().cast("array<string>")), lambda x: F.xxhash64(F.lit("i"), x))
+    second = F.when(person, F.when(F.col("role") == "weak", by_initial).otherwise(by_name)).otherwise(F.array(F.xxhash64("other")))
+    roles = F.explode(F.when(F.col("weak"), F.array(F.lit("weak"))).otherwise(F.array(F.lit("weak"), F.lit("full")))).alias("role")
+    keyed = blocked.select("*", roles).withColumn("second", second).select("form", "role", "weak", "name", "anchor", "rest", "last", "extra", "keys", F.explode("second").alias("s"))
+    keyed = cut(keyed.select("form", "role", "weak", "name", "anchor", "rest", "last", "extra", "s", F.explode("keys").alias("k")).withColumn("block", F.xxhash64("role", "form", "k", "s")).drop("s", "k"))
+    side = lambda where, end: keyed.where(where).select("block", "form", *[F.col(c).alias(c + end) for c in ("name", "anchor", "rest", "weak", "last", "extra")])
+    full = side("role = 'full'", "_a").join(side("role = 'full'", "_b").drop("form"), "block").where("name_a < name_b")
+    half = side("role = 'weak' AND weak", "_a").join(side("role = 'weak' AND NOT weak", "_b").drop("form"), "block")
+    pairs = full.unionByName(half).where("NOT (extra_a AND NOT last_b) AND NOT (extra_b AND NOT last_a)")
+    pairs = pairs.select("form", F.col("name_a").alias("a"), "anchor_a", "rest_a", "weak_a", F.col("name_b").alias("b"), "anchor_b", "rest_b", "weak_b").distinct()
+    return pairs, blocked.where("weak").select("name").distinct()
+
+
 def link_names(rows: DataFrame, row_id: Column, name: Column, aliases: Column, kind: Column) -> DataFrame:
     """The entity of every row: id, class_id (the least id of the rows that name it).
 
     Names of a row are its name and its aliases; null, blank and repeated ones don't matter, null ids are left out,
     rows without a usable name are entities of their own. Names are taken apart into plain tokens (case, accents,
     titles and punctuation don't matter). A symmetric-delete index over the distinct tokens finds those one edit
-    apart; each name is blocked by its rarest token, persons by their first and last token too, and
-    by keys of the rest, so no common token makes a block. Tokens
+    apart; names are blocked by rare tokens and keys of the rest (``candidates``), so no common token makes a block. Tokens
     of candidates are aligned at the least cost. Names that fit in full are joined; one that has only an initial or an
     acronym is joined where exactly one entity fits. Links are transitive.
     """
@@ -264,38 +345,9 @@ def link_names(rows: DataFrame, row_id: Column, name: Column, aliases: Column, k
     raw = base.select("id", "kind", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("raw")).where("raw IS NOT NULL")
     named = raw.select("id", _parsed("raw", "kind").alias("n")).where("n.form IS NOT NULL").select("id", "n.form", "n.tokens").withColumn("name", F.xxhash64("form", "tokens").bitwiseOR(F.lit(1)))
     named = cut(named.distinct())
-    names = named.select("name", "form", "tokens").distinct()
-
-    # classes of tokens one edit apart, over distinct tokens only
-    vocabulary = cut(names.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
-    index = vocabulary.where(F.length("token") >= 3).select("token", F.explode(_deletes("token")).alias("key"))
-    x, y = index.withColumnRenamed("token", "a"), index.withColumnRenamed("token", "b")
-    near = x.join(y, "key").where("a < b").select("a", "b").distinct().where(_alike("a", "b"))
-    classes = connected_components(near).select(F.col("node").alias("token"), F.col("component").alias("class"))
-    tokens = vocabulary.join(classes, "token", "left").withColumn("class", F.coalesce("class", "token"))
-    weight = tokens.groupBy("class").agg(F.sum("df").alias("class_df"))
-    tokens = cut(tokens.join(weight, "class").select("token", "class", "class_df"))
-
-    n = F.size("tokens")
-    at = names.select("name", "form", n.alias("n"), F.posexplode("tokens").alias("pos", "token")).where("form <> 'p' OR length(token) > 1").join(tokens, "token")
-    # a known given name or a short form is the main anchor only where there is no other token, however rare its spelling
-    order = F.struct((F.length("token") < 3).alias("tiny"), (F.col("token").isin(sorted(_roots())) | (F.length("token") < 5)).alias("given"), "class_df", F.negative(F.length("token")).alias("l"), "token", "pos")
-    main = at.groupBy("name").agg(F.min(order)["pos"].alias("main"))
-    # persons are blocked by their first and last token too, as either may be the surname
-    anchors = at.join(main, "name").where("pos = main OR (form = 'p' AND (pos = 0 OR pos = n - 1))").select("name", "pos", "token", "class", F.expr("pos = n - 1").alias("last"), F.expr("pos <> main AND pos < n - 1").alias("extra"))
-    blocked = names.join(anchors, "name").select("name", "form", "tokens", F.col("token").alias("anchor"), "class", "last", "extra", F.filter("tokens", lambda t, i: i != F.col("pos")).alias("rest"))
-    blocked = cut(blocked.withColumn("keys", _keys("form", "rest")))
-    initials = F.size(F.filter("tokens", lambda t: F.length(t) == 1))
-    weak = blocked.where(((F.col("form") == "p") & ((F.length(F.col("tokens")[0]) == 1) | (initials == n - 1))) | F.expr("form = 'o' AND size(rest) = 1 AND length(rest[0]) <= 3"))
-    weak = weak.select("name").distinct().withColumn("weak", F.lit(True))
-    blocked = cut(blocked.join(weak, "name", "left").withColumn("weak", F.coalesce("weak", F.lit(False))))
-
-    keyed = blocked.select("form", "class", F.explode("keys").alias("key"), "name", "anchor", "rest", "weak", "last", "extra")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, ["form", "class", "key"]).where(
-        "a.name < b.name AND NOT (a.weak AND b.weak) AND (substr(key, 1, 1) <> 'n' OR a.weak OR b.weak) AND NOT (a.extra AND NOT b.last) AND NOT (b.extra AND NOT a.last)")
-    fits = pairs.select("form", *[F.col(f"{s}.{c}").alias(t) for s, end in (("a", "_a"), ("b", "_b")) for c, t in (("name", s), ("anchor", "anchor" + end), ("rest", "rest" + end), ("weak", "weak" + end))]).distinct()
-    fits = cut(fits.withColumn("fit", _fit("form", "anchor_a", "rest_a", "anchor_b", "rest_b")).where("fit IS NOT NULL").select("a", "b", "weak_a", "weak_b").distinct())
+    pairs, weak = candidates(named.select("name", "form", "tokens").distinct())
+    weak = cut(weak.withColumn("weak", F.lit(True)))
+    fits = cut(pairs.withColumn("fit", _fit("form", "anchor_a", "rest_a", "anchor_b", "rest_b")).where("fit IS NOT NULL").select("a", "b", "weak_a", "weak_b").distinct())
 
     strong = fits.where("NOT weak_a AND NOT weak_b").select("a", "b")
     own = named.join(weak, "name", "left_anti").select((F.col("id") * 2).alias("a"), F.col("name").alias("b"))

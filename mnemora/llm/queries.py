@@ -201,11 +201,9 @@ QUERIES |= {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that may name a person or an organisation: of such a kind, or without a known kind and not named like a machine or project."""
+    """Rows of persons and organisations: all but those whose kind says that they are something else."""
     kind = F.lower(F.trim(F.col("kind")))
-    machine = F.lower(F.col("name")).rlike(r"^(host|svc)-|^project |^\S*[a-z][0-9]+$")
-    return read_table(spark, sf_dir, "entities").where(
-        F.when(kind.isin("host", "service", "tool", "project"), False).otherwise(kind.startswith("person") | kind.startswith("org") | ~F.coalesce(machine, F.lit(False))))
+    return read_table(spark, sf_dir, "entities").where(~F.coalesce(kind.isin("host", "service", "tool", "project"), F.lit(False)))
 
 
 def _same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
