@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Edges with a null end are left out; direction, repeats and self-loops don't matter (a node with only a self-loop
     is its own component); no edges give no rows. Each round links every node's larger neighbours to its least
     neighbour and then its smaller ones, which keeps the number of edges and ends in O(log^2 n) rounds. A hub is
-    only grouped with map-side minimum and joined by key, so no task holds its neighbours.
+    grouped with map-side minimum; the join of its edges with its minimum is divided by the adaptive skew join.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = cut(both.select("u").unionAll(both.select("v")).distinct())

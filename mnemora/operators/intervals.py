@@ -65,14 +65,14 @@ def periods_and_gaps(rows: DataFrame, keys: dict[str, Column], start_us: Column,
     a summary per partition (its largest end, its last island); the summaries, one row for each partition, are
     combined in order on the driver; a second pass rescans each partition with the state carried into it.
     """
-    spark = rows.sparkSession
     # the key as one string: JSON keeps the columns apart and comparable
     flat = rows.select(*[c.alias(n) for n, c in keys.items()], start_us.cast("long").alias("__s"), end_us.cast("long").alias("__e"))
     types = {f.name: f.dataType for f in flat.schema.fields if f.name in keys}
     flat = flat.where(" AND ".join(f"`{n}` IS NOT NULL" for n in keys)).where("__s IS NOT NULL AND (__e IS NULL OR __e > __s)")
     flat = flat.select(F.to_json(F.struct(*keys)).alias("k"), F.col("__s").alias("s"), F.coalesce("__e", F.lit(OPEN)).alias("e"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(flat.repartitionByRange(n, "k", "s").sortWithinPartitions("k", "s"))
+    # without a number the adaptive planner sizes the partitions
+    ranged = flat.repartitionByRange(partitions, "k", "s") if partitions else flat.repartitionByRange("k", "s")
+    ordered = cut(ranged.sortWithinPartitions("k", "s"))
 
     carry: dict[int, tuple | None] = {}
     state = None

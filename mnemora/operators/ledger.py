@@ -52,8 +52,7 @@ def fold(said: DataFrame) -> DataFrame:
     key begins; one superseded at its own beginning is empty. Equal values are compared in normalised form.
     """
     keyed = said.withColumn("key", F.to_json(F.struct(*KEY)))
-    n = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.select("key", "seq", "value", "text", "obs").repartition(n, "key").sortWithinPartitions("key", "seq")
+    ordered = keyed.select("key", "seq", "value", "text", "obs").repartition("key").sortWithinPartitions("key", "seq")
     told = cut(ordered.mapInPandas(_decide, "key string, seq long, text string, obs long, outcome string"))
     kept, dropped = told.where("outcome <> 'restate'"), told.where("outcome = 'restate'")
     by_time = Window.partitionBy("key").orderBy("obs")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemora.sources import cut
+
 DAY_US = 86_400_000_000
 
 
@@ -68,14 +70,15 @@ def sessions(
     sums = ["n", *[f"c_{n}" for n in names]]
     ranked = marked.select(
         "entity", "slice", "t", "is_start", "is_end", *sums, F.sum("is_start").over(so_far).alias("starts"), F.sum("is_end").over(so_far).alias("ends"),
-        *[F.sum(s).over(so_far).alias(f"sum_{s}") for s in sums],
-    ).where("is_start = 1 OR is_end = 1")
-    totals = marked.groupBy("entity", "slice").agg(
-        F.sum("is_start").alias("starts"), F.sum("is_end").alias("ends"), *[F.sum(s).alias(f"sum_{s}") for s in sums])
+        *[F.sum(s).over(so_far).alias(f"sum_{s}") for s in sums], F.lead("t").over(line).isNull().alias("is_last"),
+    )
+    # written once and read three times: as many rows as sessions begin and end, and one for each slice
+    ranked = cut(ranked.where("is_start = 1 OR is_end = 1 OR is_last"))
+    totals = ranked.where("is_last").select("entity", "slice", "starts", "ends", *[f"sum_{s}" for s in sums])
     earlier = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("entity", "slice", *[
         F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in ("starts", "ends", *[f"sum_{s}" for s in sums])])
-    edges = ranked.join(before, ["entity", "slice"])
+    edges = ranked.where("is_start = 1 OR is_end = 1").join(before, ["entity", "slice"])
     starts = edges.where("is_start = 1").select(
         "entity", (F.col("starts") + F.col("b_starts")).alias("rank"), F.col("t").alias("start_us"),
         *[(F.col(f"b_sum_{s}") + F.col(f"sum_{s}") - F.col(s)).alias(f"from_{s}") for s in sums])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from mnemora.functions.text import has_tag
 
 DOMAINS = ("identity", "projects", "code", "general", "diary")
+#: Levels of the tree of days of an as-of join.
+LEVELS = 16
 #: Statuses that were true at some time.
 KNOWN = ("active", "superseded", "archived")
 
@@ -48,9 +50,25 @@ def matching(memories: DataFrame, domain: str | None = None, kind: str | None =
 
 
 def as_of_join(probes: DataFrame, facts: DataFrame, keys: list[str], moment: str = "moment") -> DataFrame:
-    """Each probe (keys and a moment) with the facts valid at its moment, joined by key so that only a key's intervals meet."""
-    f = history(facts)
-    return probes.join(f, keys).where(f"valid_from <= {moment} AND (valid_to IS NULL OR valid_to > {moment})")
+    """Each probe (keys and a moment) with the facts valid at its moment.
+
+    Time is divided into days, and days into a binary tree. A fact stands at the few nodes that make up its days, a probe
+    looks at the nodes above its own; so a probe meets the facts of its time only, and a key with many facts is divided
+    over the nodes. Times beyond the tree's 2**16 days count to its ends, where, as everywhere, the times are compared.
+    """
+    last = (1 << LEVELS) - 1
+    day = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), F.unix_date(F.to_date(c))))
+    # at a level, the days a..b leave at most one node on each side that no node above holds
+    low = lambda n: F.shiftright(F.col("__a") + F.expr(f"(1 << {n}) - 1"), n)
+    high = lambda n: F.shiftright(F.col("__b") + 1, n) - 1
+    nodes = F.array_compact(F.array_distinct(F.concat(*[F.array(
+        F.when((low(n) <= high(n)) & ((low(n) % 2 == 1) | (F.lit(n) == LEVELS)), F.struct(F.lit(n).alias("level"), low(n).alias("node"))),
+        F.when((low(n) <= high(n)) & (high(n) % 2 == 0), F.struct(F.lit(n).alias("level"), high(n).alias("node")))) for n in range(LEVELS + 1)])))
+    f = history(facts).where("valid_from IS NOT NULL").withColumn("__a", day(F.col("valid_from"))).withColumn("__b", F.greatest("__a", F.coalesce(day(F.col("valid_to")), F.lit(last))))
+    f = f.withColumn("__e", F.explode(nodes)).select("*", F.col("__e.level").alias("__level"), F.col("__e.node").alias("__node")).drop("__a", "__b", "__e")
+    p = probes.withColumn("__e", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(day(F.col(moment)), n).alias("node")) for n in range(LEVELS + 1)])))
+    p = p.select("*", F.col("__e.level").alias("__level"), F.col("__e.node").alias("__node")).drop("__e")
+    return p.join(f, [*keys, "__level", "__node"]).where(f"valid_from <= {moment} AND (valid_to IS NULL OR valid_to > {moment})").drop("__level", "__node")
 
 
 def errors(statements: DataFrame) -> Column:

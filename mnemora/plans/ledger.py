@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.functions.text import query_tokens
 from mnemora.operators import ledger, search
-from mnemora.operators.entities import unreviewed
+from mnemora.operators.entities import alias_reviewed, judged, unreviewed
 from mnemora.operators.profile import core_profile as profile_lines
-from mnemora.plans.memory import KNOWN, SQL_CLIP, SQL_NORM
+from mnemora.plans.memory import KNOWN, SQL_CLIP, SQL_NORM, SQL_TOKENS
 from mnemora.plans.registry import NOW, Plan, Tables
 
 plan = Plan()
@@ -164,20 +165,26 @@ def near_duplicate_pairs(t: Tables) -> DataFrame:
 
 
 @plan.add(f"""WITH {_pairs_sql(_usable(_NOTES), 3, 0.92)}, q AS (SELECT least(memory_id, other_id) AS a, greatest(memory_id, other_id) AS b FROM reviews WHERE kind = 'merge')
-SELECT CASE WHEN y.recorded_at > x.recorded_at THEN y.id ELSE x.id END AS newer, CASE WHEN y.recorded_at > x.recorded_at THEN x.id ELSE y.id END AS older, round(similarity, 4) AS confidence
-FROM p JOIN memories x ON x.id = p.query JOIN memories y ON y.id = p.id WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.a = p.query AND q.b = p.id)""")
+SELECT CASE WHEN y.recorded_at > x.recorded_at THEN y.id ELSE x.id END AS newer, CASE WHEN y.recorded_at > x.recorded_at THEN x.id ELSE y.id END AS older, round(coalesce(j, similarity), 4) AS confidence
+FROM (SELECT p.*, CASE WHEN p.query % 2 = 0 THEN round(len(list_intersect(list_distinct({SQL_TOKENS.format('x.content')}), {SQL_TOKENS.format('y.content')})) / greatest(1, len(list_distinct({SQL_TOKENS.format('x.content')}))), 6) END AS j
+ FROM p JOIN memories x ON x.id = p.query JOIN memories y ON y.id = p.id) p JOIN memories x ON x.id = p.query JOIN memories y ON y.id = p.id WHERE coalesce(j, 1) >= 0.5 AND NOT EXISTS (SELECT 1 FROM q WHERE q.a = p.query AND q.b = p.id)""")
 def merge_proposals(t: Tables) -> DataFrame:
+    """Pairs to merge that no merge review has seen and a judge doesn't refuse; a stand-in answers for every second note."""
     pairs = near_duplicate_pairs(t).select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity")
     at = t.memories.select("id", "recorded_at")
-    p = unreviewed(pairs, t.reviews).join(at.toDF("src", "src_at"), "src").join(at.toDF("dst", "dst_at"), "dst")
+    words = t.memories.select("id", query_tokens(F.col("content")).alias("w"))
+    asked = pairs.where("src % 2 = 0").join(words.toDF("src", "q"), "src").join(words.toDF("dst", "w"), "dst").select("src", "dst", search.token_overlap(F.col("q"), F.col("w")).alias("p"))
+    p = judged(unreviewed(pairs, t.reviews), asked).join(at.toDF("src", "src_at"), "src").join(at.toDF("dst", "dst_at"), "dst")
     later = F.col("dst_at") > F.col("src_at")
-    return p.select(F.when(later, F.col("dst")).otherwise(F.col("src")).alias("newer"), F.when(later, F.col("src")).otherwise(F.col("dst")).alias("older"), F.round("similarity", 4).alias("confidence"))
+    return p.select(F.when(later, F.col("dst")).otherwise(F.col("src")).alias("newer"), F.when(later, F.col("src")).otherwise(F.col("dst")).alias("older"), F.round("confidence", 4).alias("confidence"))
 
 
-@plan.add(f"WITH {_pairs_sql(_usable('true', 'entities'), 3, 0.88)} SELECT query AS keep, id AS \"drop\", similarity FROM p")
+@plan.add(f"""WITH {_pairs_sql(_usable('true', 'entities'), 3, 0.88)} SELECT query AS keep, id AS "drop", similarity FROM p WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.kind = 'alias'
+ AND least(CAST(r.detail ->> 'keep' AS BIGINT), CAST(r.detail ->> 'drop' AS BIGINT)) = query AND greatest(CAST(r.detail ->> 'keep' AS BIGINT), CAST(r.detail ->> 'drop' AS BIGINT)) = id)""")
 def alias_proposals(t: Tables) -> DataFrame:
     e = _vectors(t.entities)
-    return search.vector_topk(e, e, DIM, 3, side="later", least=0.88).select(F.col("query").alias("keep"), F.col("id").alias("drop"), "similarity")
+    near = search.vector_topk(e, e, DIM, 3, side="later", least=0.88).select(F.col("query").alias("src"), F.col("id").alias("dst"), "similarity")
+    return near.join(alias_reviewed(t.reviews), ["src", "dst"], "left_anti").select(F.col("src").alias("keep"), F.col("dst").alias("drop"), "similarity")
 
 
 _LIVE = "status IN ('active', 'pending')"

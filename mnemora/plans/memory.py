@@ -165,6 +165,13 @@ def events_list(t: Tables) -> DataFrame:
     return t.usage_log.where("op = 'store'").select("id", "ts", "op", "agent", "memory_id").join(m, "memory_id", "left").drop("memory_id")
 
 
+@plan.add("""SELECT id, ts, op, agent, memory_id FROM (SELECT DISTINCT id, ts, op, agent, memory_id FROM usage_log WHERE op = 'tool_call') ORDER BY id DESC LIMIT 1000""")
+def events_page(t: Tables) -> DataFrame:
+    """The newest events of an operation, at most a thousand; redelivered rows once."""
+    rows = t.usage_log.where("op = 'tool_call'").select("id", "ts", "op", "agent", "memory_id").distinct()
+    return rows.orderBy(F.desc("id")).limit(views.clamped("events", 5000))
+
+
 @plan.add("""SELECT src, dst FROM links l WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.memory_id IS NOT NULL AND r.other_id IS NOT NULL AND r.kind = 'merge'
  AND least(r.memory_id, r.other_id) = l.src AND greatest(r.memory_id, r.other_id) = l.dst)""")
 def unreviewed_pairs(t: Tables) -> DataFrame:

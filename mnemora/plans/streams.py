@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemora.operators import ledger
 from mnemora.plans.ledger import _FOLD
-from mnemora.sources import read_table
+from mnemora.sources import read_table, shared_folder
 from mnemora.streaming.ledger import decide, run_available
 
 
@@ -22,8 +21,7 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = spark.readStream.schema(schema)
     source = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "memories.parquet").parquet(sf_dir)
     said = ledger.statements(source).withColumn("key", F.to_json(F.struct(*ledger.KEY))).select("key", "seq", "value", "text", "obs")
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "mnemora-checkpoints")
-    out = run_available(spark, decide(said), f"{base}/stream-{uuid.uuid4().hex}")
+    out = run_available(spark, decide(said), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return out.select(F.from_json("key", "domain string, subject_id long, relation string").alias("k"), "seq", "outcome").select("k.*", "seq", "outcome")
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +17,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is used. The copy survives the loss of executors.
+    The copy survives the loss of executors. Sessions started with ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    remove it when it is no longer referred to.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "mnemora-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; on one machine, where that is unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "mnemora-checkpoints")
+
+
+def write_version(df: DataFrame, table: str) -> str:
+    """Write ``df`` as the next version of a table folder, whole or not at all: its folder's path.
+
+    A version is written beside the others; only then a pointer file is replaced, in one rename. Readers see the old
+    version until that moment, and a job that fails leaves it as it was. Writers must not overlap.
+    """
+    spark = df.sparkSession
+    fs, path = _files(spark, table)
+    n = max([0, *(int(s.getPath().getName()[1:]) for s in fs.listStatus(path(table)) if s.getPath().getName().startswith("v"))]) + 1 if fs.exists(path(table)) else 1
+    name = f"v{n:08d}"
+    df.write.mode("error").parquet(f"{table}/{name}")
+    made = fs.create(path(f"{table}/_current.new"), True)
+    made.writeBytes(name)
+    made.close()
+    jvm = spark.sparkContext._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(table).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(path(f"{table}/_current.new"), path(f"{table}/_current"), how)
+    return f"{table}/{name}"
+
+
+def read_version(spark: SparkSession, table: str) -> DataFrame:
+    """The version of a table that ``write_version`` has written last."""
+    fs, path = _files(spark, table)
+    f = fs.open(path(f"{table}/_current"))
+    name = f.readLine()
+    f.close()
+    return spark.read.parquet(f"{table}/{name}")
+
+
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Append rows of the event log (with ts), one folder for each day."""
+    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def _files(spark: SparkSession, table: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+

@@ -14,7 +14,8 @@ _OUT = "key string, seq long, text string, obs long, outcome string"
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     value, since = state.get if state.exists else (None, None)
     begun = state.exists
-    rows = pd.concat(list(frames)).sort_values("seq")
+    # only what the decision needs is held; a key's micro-batch is bounded by the trigger (maxFilesPerTrigger and the like)
+    rows = pd.concat([f[["key", "seq", "value", "text", "obs"]] for f in frames]).sort_values("seq")
     out = []
     for v, o in zip(rows["value"], rows["obs"]):
         if not begun:
