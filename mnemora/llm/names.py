@@ -274,8 +274,9 @@ def _fit(form: pd.Series, anchor_a: pd.Series, rest_a: pd.Series, anchor_b: pd.S
 def _token_keys(names: DataFrame) -> DataFrame:
     """Each token with its rarity and block keys: token, weight, keys, given (keys as a given name), initials.
 
-    The keys of a token are its own and one for each pair with a token one edit apart, so tokens that may be one share a
-    key, and no chain of edits ties others to them. A key of the index has at most a token for each letter and place.
+    The keys of a token are its own and those of the commoner tokens one edit apart. So of two tokens that may be one, one
+    has the other's key, a token with many misspellings has no more keys than a rare one, and no chain of edits ties others
+    to them. A key of the index has at most a token for each letter and place.
     """
     vocabulary = cut(names.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
     full = names.sparkSession.createDataFrame([(n,) for n in sorted(set().union(*_roots().values()))], "token string")
@@ -284,10 +285,12 @@ def _token_keys(names: DataFrame) -> DataFrame:
     x, y = index.withColumnRenamed("token", "a"), index.withColumnRenamed("token", "b")
     near = x.join(y, "key").where("a < b").select("a", "b").distinct().where(_alike("a", "b"))
     sides = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-    around = sides.join(known.select(F.col("token").alias("b"), "df"), "b").groupBy(F.col("a").alias("token")).agg(
-        F.sum("df").alias("more"), F.collect_list(F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("pairs"))
+    df = lambda c: known.select(F.col("token").alias(c), F.col("df").alias(f"df_{c}"))
+    sides = sides.join(df("a"), "a").join(df("b"), "b")
+    around = sides.groupBy(F.col("a").alias("token")).agg(
+        F.sum("df_b").alias("more"), F.collect_list(F.when(F.struct("df_b", "b") > F.struct("df_a", "a"), F.xxhash64("b"))).alias("commoner"))
     own = F.array(F.xxhash64("token"))
-    tokens = cut(known.join(around, "token", "left").select("token", (F.col("df") + F.coalesce("more", F.lit(0))).alias("weight"), F.coalesce(F.concat(own, "pairs"), own).alias("keys")))
+    tokens = cut(known.join(around, "token", "left").select("token", (F.col("df") + F.coalesce("more", F.lit(0))).alias("weight"), F.coalesce(F.concat(own, "commoner"), own).alias("keys")))
     # a token of the list of short forms has the keys of all names it may stand for
     listed = known.where(F.col("token").isin(sorted(_roots()))).select("token", F.explode(_roots_of("token")).alias("root"))
     given = listed.join(tokens.select(F.col("token").alias("root"), "keys"), "root").groupBy("token").agg(
@@ -327,6 +330,10 @@ def candidates(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = side("role = 'full'", "_a").join(side("role = 'full'", "_b").drop("form"), "block").where("name_a < name_b")
     half = side("role = 'weak' AND weak", "_a").join(side("role = 'weak' AND NOT weak", "_b").drop("form"), "block")
     pairs = full.unionByName(half).where("NOT (extra_a AND NOT last_b) AND NOT (extra_b AND NOT last_a)")
+    # a block also holds the misspellings of one token, two edits apart; a swap is two edits to this distance
+    far = F.levenshtein("anchor_a", "anchor_b", 2)
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    pairs = pairs.where(F.when(F.col("anchor_a") == F.col("anchor_b"), True).when(far < 0, False).when(far < 2, True).otherwise(letters("anchor_a") == letters("anchor_b")))
     pairs = pairs.select("form", F.col("name_a").alias("a"), "anchor_a", "rest_a", "weak_a", F.col("name_b").alias("b"), "anchor_b", "rest_b", "weak_b").distinct()
     return pairs, blocked.where("weak").select("name").distinct()
 
