@@ -14,7 +14,9 @@ AS_OF = "2024-06-01 00:00:00"
 
 
 class Tables:
-    """The tables of a directory, by attribute."""
+    """The tables of a directory, by attribute; ``asked`` may hold queries of one's own for the searches."""
+
+    asked: DataFrame | None = None
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir

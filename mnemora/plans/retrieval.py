@@ -5,12 +5,14 @@ Queries are the memories whose id is divisible by 100, each searched against all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions.stemming import stemmed_tokens
 from mnemora.functions.text import query_tokens
-from mnemora.operators import analytics, entities, graph, search, views
+from mnemora.operators import analytics, entities, evaluate, graph, models, search, views
 from mnemora.plans.memory import SQL_NORM, SQL_TOKENS
 from mnemora.plans.registry import AS_OF, NOW, Plan, Tables
 from mnemora.sources import cut
@@ -88,6 +90,8 @@ _ALL = f"WITH {_CUR}, {_VEC}, {_POST}, {_BM}, {_AW}, {_GR}, {_FUSE}, {_PRIOR}, {
 
 def _queries(t: Tables) -> DataFrame:
     """The queries; a prompt is read up to 2000 characters."""
+    if t.asked is not None:
+        return t.asked
     return t.memories.where("id % 100 = 0").select("id", F.substring("content", 1, 2000).alias("content"), F.col("embedding").alias("v"))
 
 
@@ -168,12 +172,14 @@ def entity_seeds(t: Tables) -> DataFrame:
     return entities.seeds(_queries(t), t.entities)
 
 
-def _fused(t: Tables, allowed: DataFrame) -> DataFrame:
+def _fused(t: Tables, allowed: DataFrame, w_graph: float = W_GRAPH, adaptive: bool = True) -> DataFrame:
     index, asked = _index(t), _terms(t)
     best = search.bm25_topk(asked.select("query", "term"), index, search.POOL, allowed=allowed)
-    text = best.join(search.adaptive_weight(asked, index, t.memories.count()), "query", "left").withColumn("weight", F.coalesce("w_text", F.lit(1.0)))
+    if adaptive:
+        best = best.join(search.adaptive_weight(asked, index, t.memories.count()), "query", "left").withColumn("weight", F.coalesce("w_text", F.lit(1.0)))
+    text = best if adaptive else best.withColumn("weight", F.lit(1.0))
     return search.fuse({
-        "vector": _vector(t, allowed).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t, allowed).withColumn("weight", F.lit(W_GRAPH))})
+        "vector": _vector(t, allowed).withColumn("weight", F.lit(1.0)), "text": text, "graph": _graph(t, allowed).withColumn("weight", F.lit(w_graph))})
 
 
 @plan.add(f"WITH {_CUR}, {_VEC}, {_POST}, {_BM}, {_AW}, {_GR}, {_FUSE} SELECT query, id, fused, r_vector, r_text, r_graph FROM fu")
@@ -186,9 +192,9 @@ def recency_prior(t: Tables) -> DataFrame:
     return search.prior(_fused(t, _current(t)), t.memories, NOW).select("query", "id", "fused", "prior")
 
 
-def _ordered(t: Tables, allowed: DataFrame) -> DataFrame:
+def _ordered(t: Tables, allowed: DataFrame, w_graph: float = W_GRAPH, adaptive: bool = True) -> DataFrame:
     """All candidates in fused order; every row that one of three channels of POOL rows gives."""
-    p = search.prior(_fused(t, allowed), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
+    p = search.prior(_fused(t, allowed, w_graph, adaptive), t.memories, NOW).withColumn("score", F.round(F.col("fused") + F.col("prior"), 9))
     # read twice by the reranking queries
     return cut(search.ranked(p, "query", [F.desc("score"), F.col("id")], 3 * search.POOL).withColumnRenamed("rank", "fused_rank"))
 
@@ -201,8 +207,8 @@ def _scores(t: Tables, ordered: DataFrame) -> DataFrame:
     return pool.select("query", "id", search.token_overlap(F.col("q"), F.col("w")).alias("rerank"))
 
 
-def _found(t: Tables, allowed: DataFrame, limit: int = 5, rerank: str = "blend") -> DataFrame:
-    ordered = _ordered(t, allowed)
+def _found(t: Tables, allowed: DataFrame, limit: int = 5, rerank: str = "blend", w_graph: float = W_GRAPH, adaptive: bool = True) -> DataFrame:
+    ordered = _ordered(t, allowed, w_graph, adaptive)
     return search.reordered(ordered, None if rerank == "off" else _scores(t, ordered), rerank).where(F.col("rank") <= max(1, limit))
 
 
@@ -303,6 +309,35 @@ def conflict_gate(t: Tables) -> DataFrame:
     return both.groupBy("query").agg(F.max_by("id", F.struct("p", -F.col("rank"))).alias("id"), F.max("p").alias("p")).withColumn("pending", F.col("p") >= 0.8)
 
 
+# quality of answers: a seeded set of statements and questions through the write path and the search
+
+
+class _Set:
+    """The tables that a search needs, of a set of statements, and its questions."""
+
+    def __init__(self, spark: SparkSession, said: list[tuple], asked: list[tuple], keyed: bool) -> None:
+        self.memories, self.entities = evaluate.loaded(spark, said, keyed)
+        self.links = spark.createDataFrame([], "src long, dst long, weight double")
+        self.questions = cut(spark.createDataFrame(asked, evaluate.QUESTIONS))
+        self.asked = cut(self.questions.select("id", "content", models.embedded(evaluate.bag_of_words)(F.col("content")).alias("v")))
+
+
+@plan.add()
+def eval_quality(t: Tables) -> DataFrame:
+    """Shares of right, stale and missing answers by system: vectors alone, hybrid search over notes and over the ledger, and ablations.
+
+    The embedding and the reranker are stand-ins, so the figures tell about the ledger and the fusion, not about models.
+    """
+    said, asked = evaluate.dataset()
+    notes, facts = (_Set(t.spark, said, asked, keyed) for keyed in (False, True))
+    systems = [
+        ("vectors alone, notes", notes, _vector(notes, _current(notes))), ("hybrid, notes", notes, _found(notes, _current(notes))), ("hybrid, ledger", facts, _found(facts, _current(facts))),
+        ("ledger, reranker alone orders", facts, _found(facts, _current(facts), rerank="sort")), ("ledger, no reranker", facts, _found(facts, _current(facts), rerank="off")),
+        ("ledger, graph without weight", facts, _found(facts, _current(facts), w_graph=0.0)), ("ledger, fixed weights", facts, _found(facts, _current(facts), adaptive=False))]
+    rows = [evaluate.scored(hits.select("query", "id", "rank"), s.questions, s.memories).select(F.lit(name).alias("system"), "*") for name, s, hits in systems]
+    return reduce(DataFrame.unionAll, rows)
+
+
 # graph views
 
 
