@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -27,17 +28,19 @@ MODEL = Path(__file__).with_name("pii_model.json")
 _PLACEHOLDER = {k: f"[{k.upper()}]" for k in LABELS[1:]}
 
 # The ways addresses and forms of address are written in English, German, French and Spanish.
-_TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Sir|Dame|Herrn?|Frau|Mme|Mlle|M|se[ñn]or(?:a|ita)?|Sra?|don|do[ñn]a)\.?"
+_TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Sir|Dame|Herrn?|Frau|Mme|Mlle|[Ss]e[ñn]or(?:a|ita)?|Sra?|[Dd]on|[Dd]o[ñn]a)\.?"
 _CAP = r"\p{Lu}[\p{L}\p{M}\p{Nd}'’]+"
 _SUR = rf"{_CAP}(?:-{_CAP})?"
-_INITIAL = r"\p{Lu}\."
-_TOWN_AFTER = rf"(?:,\s+{_CAP}(?:\s+\d{{4,5}}\b)?)?"
+_LINK = r"(?:van|von|der|den|de|la|del|di|da|dos|du|le|ten|ter|zu)"
+_TOWN_AFTER = rf"(?:,\s+{_CAP}(?:\s+(?:\d{{4,5}}\b|\p{{Lu}}{{1,2}}\d[\p{{Lu}}\d]?\s+\d\p{{Lu}}{{2}}\b))?)?"
 _TOWN_BEFORE = rf"(?:,\s+\d{{4,5}}\s+{_CAP})?"
-_EN = rf"(?:(?:Flat|Unit|Apartment|Apt\.?|Suite)\s+\w+,\s+)?\d+[a-z]?\s+{_CAP}\s+(?:Street|St\.|St\b|Road|Rd\.(?=,|\s+\p{{Ll}})|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Crescent|Drive|Court|Place|Square|Gardens|Way)(?!\w){_TOWN_AFTER}"
-_FR = rf"\d+[a-z]?(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|impasse|boulevard|place|chemin|allée|quai)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?{_CAP}{_TOWN_BEFORE}"
+_MORE = rf"(?:(?:[\s-]{_CAP}){{1,4}}"
+_EN = rf"(?:(?:Flat|Unit|Apartment|Apt\.?|Suite)\s+\w+,\s+)?\d+[A-Za-z]?\s+(?:{_CAP}\s+){{1,4}}?(?:Street|St\.|St\b|Road|Rd\.(?=,|\s+\p{{Ll}})|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Crescent|Drive|Court|Place|Square|Gardens|Way)(?!\w){_TOWN_AFTER}"
+_FR = rf"\d+[A-Za-z]?(?:\s+(?:bis|ter))?,?\s+(?:[Rr]ue|[Aa]venue|[Ii]mpasse|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée|[Qq]uai)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?{_CAP}{_MORE}(?=,\s+\d{{4,5}}))?{_TOWN_BEFORE}"
 _DE = rf"\p{{Lu}}[\p{{L}}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer)\s+\d+[a-z]?\b{_TOWN_BEFORE}"
-_ES = rf"(?:calle|C/|avenida|avda\.|plaza|paseo)\s+(?:de\s+la\s+|del\s+|de\s+)?{_CAP},?\s+\d+[a-z]?\b{_TOWN_BEFORE}"
-_STREET_SIGNS = r"Street|St\.|St\b|Road|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Crescent|Drive|Court|Place|Square|Gardens|Way|rue|avenue|impasse|boulevard|place|chemin|allée|quai|stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|ufer|calle|C/|avenida|avda|plaza|paseo"
+_ES = rf"(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo)\s+(?:de\s+la\s+|del\s+|de\s+)?{_CAP}{_MORE}(?=,?\s+\d))?,?\s+\d+[a-z]?\b{_TOWN_BEFORE}"
+_STREETS = ("Street", "St.", "St ", "Road", "Rd", "Lane", "Ln", "Avenue", "Ave", "Close", "Terrace", "Crescent", "Drive", "Court", "Place", "Square", "Gardens", "Way", "Rue", "rue ", "avenue", "impasse", "Impasse", "oulevard", "place ", "hemin", "llée", "quai ", "Quai", "alle ", "C/", "venida", "vda.", "laza ", "aseo ")
+_NUMBERED = re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer)\s+\d")
 _DOT = r"(?:\.|\s*[\(\[]\s*dot\s*[\)\]]\s*|\s+dot\s+)"
 _EMAIL = rf"(?<![\p{{L}}\p{{Nd}}._%+\-])[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._%+\-]*(?:@|\s*[\(\[]\s*at\s*[\)\]]\s*|\s+at\s+(?=[\w\-]+\s+dot\s))[\p{{L}}\p{{Nd}}\-]+(?:{_DOT}[\p{{L}}\p{{Nd}}\-]+)+"
 _NUMBER = r"(?<![\p{L}\p{Nd},.\-/])(?:\p{Lu}{2}[\s\-]?(?=\d[\d\s.\-]{5})|\p{Ll}{2}(?=\d{4}))?(?:\+\s?|\()?\d+(?:(?:\s*\(\d+\)\s*|\)\s*|\s+|[.\-/])\d+)*(?:\s?\p{Lu}(?![\p{L}\p{Nd}]))?(?![\p{L}\p{Nd}])"
@@ -48,25 +51,49 @@ mr mrs ms miss dr prof sir dame madam madame president commissioner minister wit
 le la les un une des du de et ou mais si quand lorsque comme après avant il elle nous vous ils elles je ce cette ces son sa ses notre votre leur qui que où non oui dans sur par pour avec sans est sont
 der die das den dem ein eine einen und oder aber wenn als nach vor seit weil heute gestern hier da dies diese dieser er sie wir ihr es ich sein unser wer was wo nicht nein ja in auf bei von zu für mit ohne ist sind
 el los las una unos y o pero cuando como después antes ella nosotros ellos yo este esta estos su sus nuestro quien donde no sí en con sin es son hoy ayer""".split())
-_WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+|[^\s\p{L}\p{M}\p{Nd}]")
-
-
-_NAME_WORD = regex.compile(rf"(?<![\p{{L}}\p{{Nd}}\-]){_SUR}(?![\p{{L}}\p{{Nd}}])")
-
-
-def name_parts(s: str, given: frozenset[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Given names and surnames of a name: by the listed given names if it has one, else by place."""
-    tokens = regex.findall(_CAP, s)
-    givens = tuple(t for t in tokens if t in given)
-    if givens:
-        return givens, tuple(t for t in tokens if t not in given) or tuple(tokens)
+_WORD = re.compile(r"\w+|[^\w\s]")
+_NAME_WORD = regex.compile(_SUR)
+# what a name may be made of: titles, initials and capitalised words; "M." before a capital is the French title
+_PARTS = regex.compile(rf"(?<![\p{{L}}\p{{Nd}}\-])(?:(?P<t>{_TITLE}(?=\s)|M\.(?=\s+\p{{Lu}}[\p{{L}}]))|(?P<w>{_SUR})(?![\p{{L}}\p{{Nd}}])|(?P<i>\p{{Lu}}\.))")
+_JOINED = re.compile(rf"(?=\s)[^\S\n]*(?:\n[^\S\n]*)?(?:{_LINK}\s+)*\Z")  # a blank line parts
+_TURN = re.compile(r",\s+\Z")
+_LINKED = re.compile(r"\s+(?:von|van)\s")
+_AT_SIGN = re.compile(r"[(\[]\s*at\s*[)\]]")
+_EMAILS = regex.compile(_EMAIL)
+_ADDRESSES = regex.compile(rf"(?<![\p{{L}}\p{{Nd}}])(?:{_EN}|{_FR}|{_DE}|{_ES})")
+_NUMBERS = regex.compile(_NUMBER)
+#: Digits with what may stand between them; a number lies within one.
+_DIGITS = re.compile(r"\d[\d\s().\-/+]{4,}\d")
+
+
+def _fixed(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Spans of e-mail addresses, addresses and numbers; each pattern is tried only where a cheap sign of its kind stands."""
+    if "@" in text or "dot" in text or _AT_SIGN.search(text):
+        for m in _EMAILS.finditer(text):
+            yield *m.span(), 0, "e"
+    if any(w in text for w in _STREETS) or _NUMBERED.search(text):
+        for m in _ADDRESSES.finditer(text):
+            yield *m.span(), 1, "a"
+    end = 0
+    for zone in _DIGITS.finditer(text):
+        if sum(map(str.isdigit, zone[0])) < 6:
+            continue
+        at = max(end, zone.start() - 6)  # a sign or two letters may stand before it
+        while at < zone.end() and (m := _NUMBERS.search(text, at)) and m.start() < zone.end():
+            at = end = m.end()
+            if sum(map(str.isdigit, m[0])) >= 6:
+                yield *m.span(), 2, "n"
+
+
+@lru_cache(1 << 16)
+def name_parts(s: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Given names and surnames of a name by their place: the last word is the surname, or what stands before a comma; initials are neither."""
     turned = s.split(",")
-    words = regex.findall(_SUR, s)
-    if len(words) < 2:
-        return (), tuple(tokens)
-    own = turned[0] if len(turned) > 1 else words[-1]
-    surnames = tuple(regex.findall(_CAP, own))
-    return tuple(t for t in tokens if t not in surnames), surnames
+    words = _NAME_WORD.findall(s)
+    if len(words) < 2 and len(turned) < 2:
+        return (), tuple(words)
+    own = _NAME_WORD.findall(turned[0]) if len(turned) > 1 else words[-1:]
+    return tuple(w for w in words if w not in own), tuple(own)
 
 
 class Segment:
@@ -81,11 +108,10 @@ class Segment:
 class PublicPeople:
     """Surnames and given names of people whose mention is no personal information."""
 
-    def __init__(self, people: Iterable[tuple[str, str]], given: Iterable[str] = ()) -> None:
+    def __init__(self, people: Iterable[tuple[str, str]]) -> None:
         pairs = [(str(g), str(s)) for g, s in people if g and s]
         if len(pairs) > MOST_PUBLIC:
             raise ValueError(f"more than {MOST_PUBLIC} public people")
-        self.given = frozenset({g for g, _ in pairs}) | frozenset(given)
         self.by_surname: dict[str, set[str]] = {}
         self.index: dict[str, set[str]] = {}
         for g, s in pairs:
@@ -93,82 +119,6 @@ class PublicPeople:
             for d in deletes(s.lower()):
                 self.index.setdefault(d, set()).add(s.lower())
         self.near = lru_cache(100_000)(self._near)
-        given = "|".join(map(regex.escape, sorted(self.given))) or r"\p{Lu}\p{Ll}+"
-        first = rf"(?:{given})"
-        begin = r"(?<![\p{L}\p{Nd}])"
-        # each kind has its own pattern, tried only where a cheap sign of it stands in the text
-        self.patterns = (
-            ("e", regex.compile(r"@|[(\[]\s*at\s*[)\]]|\sdot\s"), regex.compile(_EMAIL)),
-            ("a", regex.compile(rf"(?:{_STREET_SIGNS})"), regex.compile(rf"{begin}(?:{_EN}|{_FR}|{_DE}|{_ES})")),
-            ("p", None, regex.compile(
-                rf"{begin}(?:{_TITLE}\s+(?!{first}\s)(?P<own>{_SUR})|(?P<own>{first}\s+(?:{_INITIAL}\s+)?{_SUR}|{_SUR},\s+(?:{first}(?!\s+(?:{_INITIAL}\s+)?\p{{Lu}})(?![\p{{L}}\p{{Nd}}])|(?:{_INITIAL})(?!\s+\p{{Lu}}))|(?!M\.){_INITIAL}\s+(?:{_INITIAL}\s+)?{_SUR}))")),
-            ("n", None, regex.compile(_NUMBER)))
-        # full names by their form alone, whatever the given name
-        link = r"(?:(?:van|von|der|den|de|la|del|di|da|dos|du|le|ten|ter|zu)\s+)*"
-        self.run = regex.compile(rf"{begin}{_SUR}(?:\s+(?:{_INITIAL}\s+)*{link}{_SUR})+(?![\p{{L}}\p{{Nd}}])")
-        self.turned = regex.compile(rf"{begin}{_SUR},\s+{_SUR}(?!\s+(?:{_INITIAL}\s+)?\p{{Lu}})(?![\p{{L}}\p{{Nd}}])")
-
-    def candidates(self, text: str) -> list[tuple[str, int, int]]:
-        """Proposed segments (kind, start, end) in order; where two overlap the earlier one stands, then the kind's order."""
-        found = []
-        for rank, (kind, sign, pattern) in enumerate(self.patterns):
-            if sign is None or sign.search(text):
-                found += [(m.span("own") if kind == "p" else m.span(), rank, kind) for m in pattern.finditer(text)]
-        out, last = [], -1
-        for (start, end), _, kind in sorted(found):
-            if start >= last and (kind != "n" or sum(c.isdigit() for c in text[start:end]) >= 6):
-                out.append((kind, start, end))
-                last = end
-        return self._open(text, out)
-
-    def _open(self, text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """The segments found and, where none of them stands, names of unlisted given names and bare repeats of a surname of the text."""
-        taken = bytearray(len(text))
-        for _, start, end in found:
-            taken[start:end] = b"1" * (end - start)
-        out = {start: (kind, start, end) for kind, start, end in found}
-
-        def place(start: int, end: int) -> None:
-            if not any(taken[start:end]):
-                out[start] = ("p", start, end)
-                taken[start:end] = b"1" * (end - start)
-
-        for m in self.run.finditer(text):
-            words = list(_NAME_WORD.finditer(text, *m.span()))
-            while len(words) > 1 and words[0][0].lower() in _NO_NAME:
-                words = words[1:]
-            # "Brief von Anna Berg": a full name follows
-            if len(words) > 2 and regex.search(r"\s(?:von|van)\s", text[words[0].end() : words[1].start() + 1]):
-                words = words[1:]
-            if len(words) < 2:
-                continue
-            start, end = words[0].start(), m.end()
-            inner = next((o for o in out.values() if o[0] == "p" and start < o[1] and o[2] == end and regex.match(_INITIAL, text[o[1] : end])), None)
-            if inner and len(words) == 2:
-                del out[inner[1]]
-                taken[inner[1] : end] = bytes(end - inner[1])
-            titled = out.get(start)
-            # a title before an unlisted given name took it for the surname
-            if titled and titled[0] == "p" and titled[2] < end and not any(w in self.given for w in _NAME_WORD.findall(text, start, titled[2])):
-                taken[start : titled[2]] = bytes(titled[2] - start)
-                if any(taken[start:end]):
-                    taken[start : titled[2]] = b"1" * (titled[2] - start)
-                    continue
-                del out[start]
-            place(start, end)
-        turned = [m.span() for m in self.turned.finditer(text) if _NAME_WORD.match(text, m.start())[0].lower() not in _NO_NAME]
-        # surnames known from other forms tell a turned name from two words beside a comma, and turned names add theirs
-        for last in (False, True):
-            surnames = {s for kind, start, end in out.values() if kind == "p" for s in name_parts(text[start:end], self.given)[1][-1:]}
-            for start, end in turned:
-                if last or name_parts(text[start:end], self.given)[1][-1] in surnames:
-                    place(start, end)
-            if last:
-                surnames = {s for kind, start, end in out.values() if kind == "p" for s in name_parts(text[start:end], self.given)[1][-1:]}
-            for m in _NAME_WORD.finditer(text) if surnames else ():
-                if m[0] in surnames:
-                    place(*m.span())
-        return sorted(out.values(), key=lambda x: x[1])
 
     def _near(self, surname: str) -> str:
         """'same', 'edit' or 'far': how near a surname is to a public one."""
@@ -178,44 +128,147 @@ class PublicPeople:
         return "edit" if any(within_one(s, x) for d in deletes(s) for x in self.index.get(d, ())) else "far"
 
 
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    """Proposed segments (kind, start, end) in order of their place.
+
+    E-mail addresses, numbers of six digits or more and addresses come from their patterns. People come from runs of
+    capitalised words and initials: runs of two or more, single words after a title, names turned by a comma, and bare
+    repeats of a surname of the text, also with one edit. No given name or surname need be known. Where it isn't sure
+    whether the first word of a sentence belongs to the name, the run is proposed with and without it, and the random
+    field decides.
+    """
+    out: list[tuple[str, int, int]] = []
+    taken = [0]  # borders of taken spans in order: a place is taken where an even number of them stand up to it
+    for start, end, _, kind in sorted(_fixed(text)):
+        if start >= taken[-1]:
+            out.append((kind, start, end))
+            taken += [start, end]
+    inside = lambda at: bisect(taken, at) % 2 == 0
+    people: list[tuple[str, int, int]] = []
+    singles: list[tuple[str, int, int]] = []
+    run: list[tuple[str, int, int]] = []
+    turnable: list[tuple[list, list]] = []
+    last: list[tuple[str, int, int]] = []
+
+    def close() -> None:
+        nonlocal last, run
+        if run:
+            if len(run) == 1:
+                if run[0][0] == "w":
+                    singles.append(("p", run[0][1], run[0][2]))
+            else:
+                _propose(text, run, people, singles)
+            if last and text[last[-1][2]] == "," and _TURN.match(text, last[-1][2], run[0][1]):
+                turnable.append((last, run))
+            last, run = run, []
+
+    end, some = -1, len(taken) > 1
+    for m in _PARTS.finditer(text):
+        at, to = m.span()
+        if some and inside(at):
+            close()
+            end = -1
+            continue
+        kind = m.lastgroup
+        if kind == "t" and run and run[-1][0] == "w" and text.startswith("M.", at) and _JOINED.match(text, end, at):
+            kind = "i"
+        if run and (kind == "t" or not _JOINED.match(text, end, at)):
+            close()
+        run.append((kind, at, to))
+        end = to
+    close()
+    surnames = {w.lower() for _, a, b in people for w in name_parts(text[a:b])[1]}
+    free = {a for _, a, _ in singles if turnable}
+    for before, after in turnable:
+        # one word, a comma, and one word or initial that no other capital follows
+        if len(before) == 1 and len(after) <= 2 and before[0][0] == "w" and after[0][0] != "t" and before[0][1] in free and (after[0][1] in free or after[0][0] == "i") and (len(after) == 1 or after[1][0] == "i"):
+            if text[before[0][1] : before[0][2]].lower() not in _NO_NAME:
+                people.append(("p", before[0][1], after[-1][2]))
+                free -= {before[0][1], after[0][1]}
+                surnames.add(text[before[0][1] : before[0][2]].lower())
+    if surnames:
+        index = {d for w in surnames if len(w) >= 5 for d in _cut(w)}
+        for kind, a, b in singles:
+            w = text[a:b].lower()
+            if (not turnable or a in free) and w not in _NO_NAME and (w in surnames or (len(w) >= 5 and not index.isdisjoint(_cut(w)) and any(within_one(w, x) for x in surnames))):
+                people.append((kind, a, b))
+    return sorted(out + people, key=lambda x: (x[1], -x[2]))
+
+
+_cut = lru_cache(1 << 16)(deletes)
+_BEGINS = re.compile(r"(?:\A|[.!?:;\n\"'»“(–-])\s*\Z")
+
+
+def _propose(text: str, run: list[tuple[str, int, int]], people: list[tuple[str, int, int]], singles: list[tuple[str, int, int]]) -> None:
+    """From a run of parts that stand side by side: the names it may be, or its single word."""
+    parts, titled = (run[1:], True) if run[0][0] == "t" else (run, False)
+    while len(parts) > 1 and parts[0][0] == "w" and text[parts[0][1] : parts[0][2]].lower() in _NO_NAME:
+        parts = parts[1:]
+    while parts and parts[-1][0] != "w":
+        parts = parts[:-1]
+    if not parts:
+        return
+    # "Brief von Anna Berg": a full name follows
+    if not titled and len(parts) > 2 and _LINKED.match(text, parts[0][2], parts[1][1] + 1):
+        parts = parts[1:]
+    start, end = parts[0][1], parts[-1][2]
+    if not titled and len(parts) == 1:
+        singles.append(("p", start, end))
+        return
+    people.append(("p", start, end))
+    if not titled and len(parts) > 2 and parts[1][0] == "w" and _BEGINS.search(text, max(0, start - 3), start):
+        people.append(("p", parts[1][1], end))
+
+
+@lru_cache(1 << 16)
 def _shape(s: str) -> str:
     return re.sub(r"A+", "A", re.sub(r"a{2,}", "aa", re.sub(r"\s+", " ", re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", s)))))
 
 
-def _hash(feature: str) -> int:
+@lru_cache(1 << 18)
+def _hashed(feature: str) -> int:
     return zlib.crc32(feature.encode()) % WIDTH
 
 
-_hashed = lru_cache(1 << 18)(_hash)
+@lru_cache(1 << 15)
+def _around(kind: str, before: tuple[str, ...], after: tuple[str, ...]) -> tuple[int, ...]:
+    """Features of the words around a segment, the nearest first."""
+    before, after = tuple(map(str.lower, before)), tuple(map(str.lower, after))
+    f = [f"k:{kind}"]
+    f += [f"b{i}:{kind}:{w}" for i, w in enumerate(before)] + [f"a{i}:{kind}:{w}" for i, w in enumerate(after)]
+    f += [f"bb:{kind}:{w}" for w in before] + [f"b2:{kind}:{' '.join(before[:2])}", f"a2:{kind}:{' '.join(after[:2])}"]
+    return tuple(map(_hashed, f))
 
 
 def segments(text: str, public: PublicPeople) -> list[Segment]:
     """The candidate segments of a text, in order, with their features."""
     out = []
-    for kind, start, end in public.candidates(text):
+    for kind, start, end in candidates(text):
         s = text[start:end]
         seg = Segment(kind, start, end)
-        before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])][-4:]
-        after = [w.lower() for w in _WORD.findall(text[end : end + 40])][:3]
-        f = [f"k:{kind}"]
-        f += [f"b{i}:{w}" for i, w in enumerate(reversed(before))] + [f"a{i}:{w}" for i, w in enumerate(after)]
-        f += [f"bb:{kind}:{w}" for w in before] + [f"b2:{kind}:{' '.join(before[-2:])}", f"a2:{kind}:{' '.join(after[:2])}"]
+        # numbers beside a segment are one word
+        before = ["9" if w[-1].isdigit() else w for w in _WORD.findall(text, max(0, start - 40), start)[:-4:-1]]
+        after = ["9" if w[-1].isdigit() else w for w in _WORD.findall(text, end, end + 25)[:2]]
         if kind == "n":
             shape = _shape(s)
-            digits = sum(c.isdigit() for c in s)
-            f += [f"s:{shape}", f"d:{digits}", f"s4:{shape[:4]}", f"s6:{shape[:6]}", f"e:{shape[-3:]}", f"lead:{s[:2]}", f"sep:{''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', s))))}", f"letters:{any(c.isalpha() for c in s)}"]
+            digits = sum(map(str.isdigit, s))
+            f = (f"s:{shape}", f"d:{digits}", f"s4:{shape[:4]}", f"s6:{shape[:6]}", f"e:{shape[-3:]}", f"lead:{s[:2]}", f"sep:{''.join(sorted(set(shape) - {'9', 'A', 'a'}))}", f"letters:{'A' in shape or 'a' in shape}")
             seg.tokens = (re.sub(r"\W", "", s).lower(),)
         elif kind == "p":
-            tokens = regex.findall(_CAP, s)
-            givens, surnames = name_parts(s, public.given)
+            givens, surnames = name_parts(s)
             nears = [public.near(t) for t in surnames]
             near = "far" if "far" in nears else "edit" if "edit" in nears else "same"
-            known = {g for t in surnames for g in public.by_surname.get(t.lower(), ())}
+            known = {g for t in surnames for g in public.by_surname.get(t.lower(), ())} if near == "same" else ()
             seg.tokens = tuple(t.lower() for t in surnames)
-            f += [f"near:{near}", f"near:{near}:{bool(givens)}", f"form:{_shape(regex.sub(r'\p{Lu}[\p{L}\p{Nd}]+', 'Aa', s))}", f"upper:{tokens[-1].isupper()}", f"own:{near}:{any(g.lower() in known for g in givens)}", f"parts:{len(surnames)}"]
+            form = f"{len(givens)}{len(surnames)}{',' in s}{'.' in s}"
+            word = next((w for w in before if w[0].isalpha()), "")
+            shouted = len(word) > 1 and word.isupper()
+            begins = before[:1] in ([], ["."], ["!"], ["?"], [":"], [")"])
+            f = (f"near:{near}:{bool(givens)}", f"form:{form}", f"form:{form}:{near}", f"upper:{s.split()[-1].isupper()}:{shouted}", f"shouted:{shouted}:{form}", f"own:{near}:{any(g.lower() in known for g in givens)}", f"begins:{begins}:{form}",
+                 f"w1:{givens[0].lower()}" if begins and givens else "w1", f"tail:{surnames[-1][-3:].lower()}" if surnames else "tail")
         else:
-            f += [f"s:{kind}:{_shape(s)[:12]}", f"digits:{kind}:{any(c.isdigit() for c in s)}", f"comma:{kind}:{s.count(',')}"]
-        seg.feats = [_hashed(x) for x in f]
+            f = (f"s:{kind}:{_shape(s)[:12]}", f"digits:{kind}:{any(map(str.isdigit, s))}", f"comma:{kind}:{s.count(',')}")
+        seg.feats = [*_around(kind, tuple(before), tuple(after)), *map(_hashed, f)]
         out.append(seg)
     return out
 
@@ -230,14 +283,21 @@ def _mask(kind: str) -> np.ndarray:
 
 
 _MASKS = {k: _mask(k) for k in _ALLOWED}
+#: Potential of two segments that overlap: not both of them are anything.
+_ONE_OF = np.where(np.arange(len(LABELS))[:, None] * np.arange(len(LABELS))[None, :] > 0, -30.0, 0.0)
+
+
+def overlaps(segs: list[Segment]) -> list[tuple[int, int]]:
+    """Neighbours that overlap, of which at most one is anything."""
+    return [(i, i + 1) for i in range(len(segs) - 1) if segs[i].end > segs[i + 1].start]
 
 
 def edges(segs: list[Segment]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours, and skip edges: each repeated or similar token's mentions, one to the next.
+    """Chain edges between neighbours that don't overlap, and skip edges: each repeated or similar token's mentions, one to the next.
 
     Mentions that share a token, or name tokens one edit apart, are linked in order of place to the last mention before.
     """
-    chain = [(i, i + 1) for i in range(len(segs) - 1)]
+    chain = [(i, i + 1) for i in range(len(segs) - 1) if segs[i].end <= segs[i + 1].start]
     last: dict[tuple[str, str], int] = {}
     near: dict[str, dict[str, int]] = {}
     skip = set()
@@ -248,7 +308,7 @@ def edges(segs: list[Segment]) -> tuple[list[tuple[int, int]], list[tuple[int, i
                 skip.add((last[key], i))
             last[key] = i
             if s.kind == "p" and len(t) >= 4:
-                cut = deletes(t)
+                cut = _cut(t)
                 like = [j for d in cut for x, j in near.get(d, {}).items() if x != t and j != i and within_one(t, x)]
                 if like:
                     skip.add((max(like), i))
@@ -258,10 +318,10 @@ def edges(segs: list[Segment]) -> tuple[list[tuple[int, int]], list[tuple[int, i
 
 
 class Model:
-    """Weights: features x labels, chain labels x labels, skip labels x labels; given names met in training."""
+    """Weights: features x labels, chain labels x labels, skip labels x labels. No words of names are kept but those that begin sentences and the last letters of surnames, hashed."""
 
-    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray, given: Iterable[str] = ()) -> None:
-        self.node, self.chain, self.skip, self.given = node, chain, skip, sorted(given)
+    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
+        self.node, self.chain, self.skip = node, chain, skip
 
     @staticmethod
     def load(path: Path | str = MODEL) -> Model:
@@ -269,12 +329,12 @@ class Model:
         node = np.zeros((WIDTH, len(LABELS)))
         for i, row in zip(d["features"], d["weights"]):
             node[i] = row
-        return Model(node, np.array(d["chain"]), np.array(d["skip"]), d["given"])
+        return Model(node, np.array(d["chain"]), np.array(d["skip"]))
 
     def save(self, path: Path | str = MODEL) -> None:
         used = np.flatnonzero(np.abs(self.node).max(axis=1) > 0.02)
         Path(path).write_text(json.dumps({
-            "given": self.given, "features": used.tolist(), "weights": np.round(self.node[used], 2).tolist(), "chain": np.round(self.chain, 3).tolist(), "skip": np.round(self.skip, 3).tolist()}))
+            "features": used.tolist(), "weights": np.round(self.node[used], 2).tolist(), "chain": np.round(self.chain, 3).tolist(), "skip": np.round(self.skip, 3).tolist()}))
 
     def infer(self, docs: list[list[Segment]], rounds: int = 8) -> list[np.ndarray]:
         """Labels of the segments of many documents at once, by loopy sum-product message passing."""
@@ -287,7 +347,7 @@ class Model:
         local = np.add.reduceat(self.node[np.concatenate([s.feats for s in flat])], np.r_[0, np.cumsum(lengths)[:-1]], axis=0) + np.stack([_MASKS[s.kind] for s in flat])
         src, dst, kind, at = [], [], [], 0
         for d in docs:
-            for which, pairs in enumerate(edges(d)):
+            for which, pairs in enumerate((*edges(d), overlaps(d))):
                 for i, j in pairs:
                     src += [at + i, at + j]
                     dst += [at + j, at + i]
@@ -296,7 +356,7 @@ class Model:
         belief = local
         if src:
             src, dst, kind = np.array(src), np.array(dst), np.array(kind)
-            table = np.stack([self.chain, self.chain.T, self.skip, self.skip.T])[kind]
+            table = np.stack([self.chain, self.chain.T, self.skip, self.skip.T, _ONE_OF, _ONE_OF])[kind]
             back = np.arange(len(src)) ^ 1
             message = np.zeros((len(src), k))
             for _ in range(rounds):
@@ -350,7 +410,12 @@ def fit(docs: list[list[Segment]], gold: list[np.ndarray], epochs: int = 12, rat
 def _spans(texts: list[str], public: PublicPeople, model: Model) -> Iterator[list[tuple[str, int, int]]]:
     docs = [segments(t or "", public) for t in texts]
     for segs, y in zip(docs, model.infer(docs)):
-        yield [(LABELS[k], s.start, s.end) for s, k in zip(segs, y) if k]
+        at, out = 0, []
+        for s, k in zip(segs, y):
+            if k and s.start >= at:
+                out.append((LABELS[k], s.start, s.end))
+                at = s.end
+        yield out
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("pii_text", T.StringType())]))
@@ -358,10 +423,10 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 
 def _udf(public_people: Iterable[tuple[str, str]], model_path: str, returns: T.DataType, build):  # noqa: ANN001, ANN202
     people = list(public_people)
+    model = Model.load(model_path)  # sent along, as a path of the driver may not be there on executors
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Model.load(model_path)
-        public = PublicPeople(people, model.given)
+        public = PublicPeople(people)
         for texts in batches:
             out = []
             for s in range(0, len(texts), 500):

@@ -9,14 +9,11 @@ after the words for bills, dockets, votes and pages are neither. The last fifth
 from __future__ import annotations
 
 import sys
-from collections import Counter
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 import regex
 
-from mnemora.llm.pii import LABELS, Model, PublicPeople, Segment, fit, segments
+from mnemora.llm.pii import LABELS, Model, PublicPeople, Segment, fit, overlaps, segments
 
 #: At most so many documents are used, in the order of their id.
 SAMPLE = 6000
@@ -46,21 +43,17 @@ def weak_labels(text: str, segs: list[Segment], public: PublicPeople) -> np.ndar
     for i, s in enumerate(segs):
         if s.kind == "p" and any(t in private for t in s.tokens):
             y[i] = 5
+    # of two segments that overlap, the one after a cue is the name, else the longer one
+    for i, j in overlaps(segs):
+        if y[i] and y[j]:
+            y[i if PERSON.search(text[max(0, segs[j].start - 40) : segs[j].start]) else j] = 0
     return y
 
 
-def given_names(texts: Iterable[str]) -> set[str]:
-    """First words of full names after a cue, met at least twice."""
-    name = regex.compile(PERSON.pattern.removesuffix("$") + r"(\p{Lu}\p{Ll}+)\s+(?:\p{Lu}\.\s+)?\p{Lu}[\p{L}\-]+")
-    seen = Counter(g for t in texts for g in name.findall(t))
-    return {g for g, n in seen.items() if n > 1}
-
-
 def main(documents: str, members: str) -> None:
     d = pd.read_parquet(documents).sort_values("doc_id").head(SAMPLE)
     m = pd.read_parquet(members)
-    given = given_names(d.text.dropna())
-    public = PublicPeople(zip(m.given_name, m.surname), given)
+    public = PublicPeople(zip(m.given_name, m.surname))
     docs, gold = [], []
     for t in d.text.dropna():
         segs = segments(t, public)
@@ -70,7 +63,6 @@ def main(documents: str, members: str) -> None:
     # documents without any label teach little: a quarter of them is enough
     kept = [i for i in range(n) if gold[i].any() or i % 4 == 0]
     fitted = fit([docs[i] for i in kept], [gold[i] for i in kept])
-    fitted.given = sorted(given)
     fitted.save()
     model = Model.load()
     told = model.infer(docs[n:])
