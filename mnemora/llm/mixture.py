@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import cache
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -18,23 +18,32 @@ DIGIT = 12
 _LEVELS = 5
 
 
-@cache
-def _encoding(path: str, pattern: str):  # noqa: ANN202
+_ENCODINGS: dict[tuple[str, str, int], object] = {}
+
+
+def _encoding(path: str, pattern: str, content: bytes):  # noqa: ANN202
+    """The encoding of a vocabulary, made once in a process."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    key = (path, pattern, len(content))
+    if key not in _ENCODINGS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+        _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
 
 
 def token_count(text: Column, path: str, pattern: str) -> Column:
-    """Tokens of a text under the byte-level vocabulary file at ``path`` (token and rank on each line); null has 0."""
+    """Tokens of a text under the byte-level vocabulary file at ``path`` (token and rank on each line); null has 0.
+
+    The driver reads the file (a vocabulary of some megabytes) and sends its content, so executors need no such path.
+    """
+    content = SparkSession.active().sparkContext.broadcast(Path(path).read_bytes())
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        e = _encoding(path, pattern)
+        e = _encoding(path, pattern, content.value)
         return texts.map(lambda t: 0 if t is None else len(e.encode_ordinary(t))).astype("int64")
 
     return count(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemora.llm.contamination import leaked_passages
 from mnemora.llm.mixture import mix_to_targets, plain_source, token_count
@@ -12,6 +13,7 @@ from mnemora.llm.names import link_names
 from mnemora.llm.neighbours import nearest
 from mnemora.llm.percentiles import digit_histogram, histogram_percentiles, merge_histograms, percentiles
 from mnemora.llm.pii import find_pii, redact
+from mnemora.operators.search import vector_topk
 from mnemora.plans.general import agent_key
 from mnemora.sources import cut, read_table
 
@@ -82,7 +84,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionAll(out[1]).distinct()
 
 
-QUERIES["p1_found"] = p1_found
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every hundredth row, the number of its exact nearest rows, and whether the index finds nine in ten of them at least."""
+    out = []
+    for name in ("memories", "entities"):
+        rows = read_table(spark, sf_dir, name).select("id", F.col("embedding").alias("v"))
+        exact = vector_topk(rows.where("id % 100 = 0"), rows, DIM, 5, least=0.70).select(F.col("query").alias("id"), F.col("id").alias("neighbour"))
+        found = _nearest(spark, sf_dir, name).select("id", "neighbour", F.lit(1).alias("hit"))
+        both = exact.join(found, ["id", "neighbour"], "left")
+        out.append(both.agg(F.count("*").alias("n"), F.count("hit").alias("hits")).select(F.lit(name).alias("collection"), "n", (F.col("hits") >= 0.9 * F.col("n")).alias("enough")))
+    return out[0].unionAll(out[1])
+
+
+QUERIES |= {"p1_found": p1_found, "p1_recall": p1_recall}
+
+_EXACT = """(WITH v AS (SELECT id, embedding::DOUBLE[] AS v FROM {t} WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id, round(list_cosine_similarity(a.v, b.v), 6) AS c, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) AS k FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0)
+SELECT '{t}' AS collection, count(*) AS n, true AS enough FROM s WHERE k <= 5 AND c >= 0.70)"""
+SQL["p1_recall"] = _EXACT.format(t="memories") + " UNION ALL " + _EXACT.format(t="entities")
 
 
 # 5: near-duplicate notes
@@ -194,7 +213,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES |= {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p8_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with sizes in words: what each source has, and whether its size is short of its share of the largest possible total by less than a document."""
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in read_table(spark, sf_dir, "mix_targets").collect()]
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", plain_source(F.col("source")).alias("source"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
+    report = mix_to_targets(docs, F.col("doc_id"), F.col("source"), F.col("n"), targets)[1]
+    total = F.min(F.when(F.col("available") > 0, F.col("available") * F.col("max_copies") / F.col("target_share"))).over(Window.partitionBy(F.lit(0)))
+    budget = F.when(F.col("available") > 0, F.col("target_share") * total).otherwise(0.0)
+    largest = docs.groupBy("source").agg(F.max("n").alias("largest"))
+    out = report.withColumn("budget", budget).join(largest, "source", "left")
+    return out.select("source", "target_share", "max_copies", "available", ((F.col("size") <= F.col("budget") + 1) & (F.col("size") >= F.col("budget") - 1 - F.coalesce("largest", F.lit(0)))).alias("reached"))
+
+
+QUERIES |= {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_words": p8_words}
+
+SQL["p8_words"] = """
+WITH d AS (SELECT nullif(regexp_replace(regexp_replace(lower(source), '[\\s_-]+', '_', 'g'), '^_+|_+$', '', 'g'), '') AS source, len(regexp_extract_all(text, '\\S+')) AS n FROM documents),
+s AS (SELECT source, sum(n)::BIGINT AS n FROM d WHERE n > 0 GROUP BY source)
+SELECT t.source, target_share, CAST(max_repeats AS INTEGER) AS max_copies, coalesce(n, 0) AS available, true AS reached FROM mix_targets t LEFT JOIN s USING (source)"""
 
 
 # 6: variant spellings of names
