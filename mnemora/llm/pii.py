@@ -8,14 +8,13 @@ import zlib
 from bisect import bisect
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mnemora.llm.names import deletes, within_one
 
@@ -283,6 +282,8 @@ def _mask(kind: str) -> np.ndarray:
 
 
 _MASKS = {k: _mask(k) for k in _ALLOWED}
+_KINDS = {k: i for i, k in enumerate(_MASKS)}
+_MASK_ROWS = np.stack(list(_MASKS.values()))
 #: Potential of two segments that overlap: not both of them are anything.
 _ONE_OF = np.where(np.arange(len(LABELS))[:, None] * np.arange(len(LABELS))[None, :] > 0, -30.0, 0.0)
 
@@ -297,7 +298,7 @@ def edges(segs: list[Segment]) -> tuple[list[tuple[int, int]], list[tuple[int, i
 
     Mentions that share a token, or name tokens one edit apart, are linked in order of place to the last mention before.
     """
-    chain = [(i, i + 1) for i in range(len(segs) - 1) if segs[i].end <= segs[i + 1].start]
+    line = [(i, i + 1) for i in range(len(segs) - 1) if segs[i].end <= segs[i + 1].start]
     last: dict[tuple[str, str], int] = {}
     near: dict[str, dict[str, int]] = {}
     skip = set()
@@ -314,7 +315,7 @@ def edges(segs: list[Segment]) -> tuple[list[tuple[int, int]], list[tuple[int, i
                     skip.add((max(like), i))
                 for d in cut:
                     near.setdefault(d, {})[t] = i
-    return chain, sorted(skip)
+    return line, sorted(skip)
 
 
 class Model:
@@ -343,8 +344,9 @@ class Model:
         if not n:
             return [np.zeros(0, int) for _ in docs]
         flat = [s for d in docs for s in d]
-        lengths = np.array([len(s.feats) for s in flat])
-        local = np.add.reduceat(self.node[np.concatenate([s.feats for s in flat])], np.r_[0, np.cumsum(lengths)[:-1]], axis=0) + np.stack([_MASKS[s.kind] for s in flat])
+        lengths = np.fromiter((len(s.feats) for s in flat), np.int64, n)
+        feats = np.fromiter(chain.from_iterable(s.feats for s in flat), np.int64, int(lengths.sum()))
+        local = np.add.reduceat(self.node[feats], np.r_[0, np.cumsum(lengths)[:-1]], axis=0) + _MASK_ROWS[np.fromiter((_KINDS[s.kind] for s in flat), np.int64, n)]
         src, dst, kind, at = [], [], [], 0
         for d in docs:
             for which, pairs in enumerate((*edges(d), overlaps(d))):
@@ -366,7 +368,10 @@ class Model:
                 top = out.max(axis=1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
                 new -= new.max(axis=1, keepdims=True)
-                message = 0.5 * message + 0.5 * new
+                step = 0.5 * (new - message)
+                message = message + step
+                if np.abs(step).max() < 1e-3:
+                    break
             belief = local.copy()
             np.add.at(belief, dst, message)
         return np.split(belief.argmax(axis=1), np.cumsum(sizes)[:-1])
@@ -418,24 +423,22 @@ def _spans(texts: list[str], public: PublicPeople, model: Model) -> Iterator[lis
         yield out
 
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("pii_text", T.StringType())]))
-
-
-def _udf(public_people: Iterable[tuple[str, str]], model_path: str, returns: T.DataType, build):  # noqa: ANN001, ANN202
+def _each(public_people: Iterable[tuple[str, str]], model_path: str):  # noqa: ANN202
+    """A function from a text column to its texts and the spans found in each, a part at a time."""
     people = list(public_people)
     model = Model.load(model_path)  # sent along, as a path of the driver may not be there on executors
+    # one of each in a process: their caches outlive a batch
+    made: list[PublicPeople] = []
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        public = PublicPeople(people)
-        for texts in batches:
-            out = []
-            for s in range(0, len(texts), 500):
-                part = texts.iloc[s : s + 500].tolist()
-                out += [None if t is None else build(t, spans) for t, spans in zip(part, _spans(part, public, model))]
-            yield pd.Series(out, dtype=object)
+    def run(texts: pa.Array) -> Iterator[tuple[int, str | None, list[tuple[str, int, int]]]]:
+        if not made:
+            made.append(PublicPeople(people))
+        for s in range(0, len(texts), 500):
+            part = texts.slice(s, 500).to_pylist()
+            for i, (t, spans) in enumerate(zip(part, _spans(part, made[0], model))):
+                yield s + i, t, spans
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, returns)
+    return run
 
 
 def find_pii(docs: DataFrame, doc_id: Column, text: Column, public_people: Iterable[tuple[str, str]], model_path: str = str(MODEL)) -> DataFrame:
@@ -446,19 +449,37 @@ def find_pii(docs: DataFrame, doc_id: Column, text: Column, public_people: Itera
     name, surname; a bounded list) are no personal information. Null and empty texts give no rows; texts are taken
     whole. Rows with one id are taken together.
     """
-    build = lambda t, spans: [{"kind": k, "pii_text": re.sub(r"\s+", " ", t[a:b])} for k, a, b in spans]
-    found = docs.select(doc_id.alias("doc_id"), F.explode(_udf(public_people, model_path, _FOUND, build)(text)).alias("f"))
-    return found.select("doc_id", "f.kind", "f.pii_text").distinct()
+    rows = docs.select(doc_id.alias("doc_id"), text.cast("string").alias("text")).where("text IS NOT NULL")
+    each = _each(public_people, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, kinds, found = [], [], []
+            for i, t, spans in each(b.column(1)):
+                for k, start, end in dict.fromkeys(spans):
+                    at.append(i)
+                    kinds.append(k)
+                    found.append(" ".join(t[start:end].split()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(kinds, pa.string()), pa.array(found, pa.string())], ["doc_id", "kind", "pii_text"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, kind string, pii_text string").distinct()
 
 
 def redact(docs: DataFrame, doc_id: Column, text: Column, public_people: Iterable[tuple[str, str]], model_path: str = str(MODEL)) -> DataFrame:
     """Each document with its personal information replaced by typed placeholders: doc_id, text. Null stays null."""
 
-    def build(t: str, spans: list[tuple[str, int, int]]) -> str:
-        out, at = [], 0
-        for k, a, b in spans:
-            out += [t[at:a], _PLACEHOLDER[k]]
-            at = b
-        return "".join([*out, t[at:]])
-
-    return docs.select(doc_id.alias("doc_id"), _udf(public_people, model_path, T.StringType(), build)(text).alias("text"))
+    rows = docs.select(doc_id.alias("doc_id"), text.cast("string").alias("text"))
+    each = _each(public_people, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[str | None] = []
+            for _, t, spans in each(b.column(1)):
+                parts, at = [], 0
+                for k, start, end in spans:
+                    parts += [t[at:start], _PLACEHOLDER[k]]
+                    at = end
+                out.append(None if t is None else "".join([*parts, t[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
