@@ -278,17 +278,14 @@ def _token_keys(names: DataFrame) -> DataFrame:
     has the other's key, a token with many misspellings has no more keys than a rare one, and no chain of edits ties others
     to them. A key of the index has at most a token for each letter and place.
     """
-    vocabulary = cut(names.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
-    full = names.sparkSession.createDataFrame([(n,) for n in sorted(set().union(*_roots().values()))], "token string")
-    known = cut(vocabulary.unionAll(full.withColumn("df", F.lit(0).cast("long"))).groupBy("token").agg(F.sum("df").alias("df")))
-    index = known.where(F.length("token") >= 3).select("token", F.explode(_deletes("token")).alias("key"))
-    x, y = index.withColumnRenamed("token", "a"), index.withColumnRenamed("token", "b")
-    near = x.join(y, "key").where("a < b").select("a", "b").distinct().where(_alike("a", "b"))
-    sides = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-    df = lambda c: known.select(F.col("token").alias(c), F.col("df").alias(f"df_{c}"))
-    sides = sides.join(df("a"), "a").join(df("b"), "b")
-    around = sides.groupBy(F.col("a").alias("token")).agg(
-        F.sum("df_b").alias("more"), F.collect_list(F.when(F.struct("df_b", "b") > F.struct("df_a", "a"), F.xxhash64("b"))).alias("commoner"))
+    # the full forms of the list of short names take part, whether they occur or not
+    full = names.sparkSession.createDataFrame([(n, 0) for n in sorted(set().union(*_roots().values()))], "token string, n long")
+    known = cut(names.select(F.explode("tokens").alias("token"), F.lit(1).cast("long").alias("n")).unionAll(full).groupBy("token").agg(F.sum("n").alias("df")))
+    index = known.where(F.length("token") >= 3).select("token", "df", F.explode(_deletes("token")).alias("key"))
+    x, y = index.select("key", F.struct("df", "token").alias("x")), index.select("key", F.struct("df", "token").alias("y"))
+    near = x.join(y, "key").where("x.token < y.token").select("x", "y").distinct().where(_alike("x.token", "y.token"))
+    sides = near.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.*")
+    around = sides.groupBy(F.col("x.token").alias("token")).agg(F.sum("y.df").alias("more"), F.collect_list(F.when(F.col("y") > F.col("x"), F.xxhash64("y.token"))).alias("commoner"))
     own = F.array(F.xxhash64("token"))
     tokens = cut(known.join(around, "token", "left").select("token", (F.col("df") + F.coalesce("more", F.lit(0))).alias("weight"), F.coalesce(F.concat(own, "commoner"), own).alias("keys")))
     # a token of the list of short forms has the keys of all names it may stand for
@@ -307,18 +304,18 @@ def candidates(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     tokens = _token_keys(names)
     n = F.size("tokens")
-    at = names.select("name", "form", n.alias("n"), F.posexplode("tokens").alias("pos", "token")).where("form <> 'p' OR length(token) > 1").join(tokens.select("token", "weight", "keys"), "token")
+    person = F.col("form") == "p"
+    few = lambda t: F.length(t) <= 3
+    weak = F.when(person, (F.length(F.col("tokens")[0]) == 1) | (F.size(F.filter("tokens", lambda t: F.length(t) == 1)) == n - 1)).otherwise((F.col("form") == "o") & (n == 2) & F.exists("tokens", few))
+    names = names.withColumn("weak", weak)
+    at = names.select("name", "form", "weak", "tokens", n.alias("n"), F.posexplode("tokens").alias("pos", "token")).where("form <> 'p' OR length(token) > 1").join(tokens.select("token", "weight", "keys"), "token")
     # a known given name or a short form is the main anchor only where there is no other token, however rare its spelling
-    order = [(F.length("token") < 3), (F.col("token").isin(sorted(_roots())) | (F.length("token") < 5)) & (F.col("form") == "p"), F.col("weight"), F.negative(F.length("token")), F.col("token"), F.col("pos")]
-    place = F.row_number().over(Window.partitionBy("name").orderBy(*order))
-    anchors = at.withColumn("place", place).where("place = 1 OR (form = 'o' AND place = 2) OR (form = 'p' AND (pos = 0 OR pos = n - 1))")
-    anchors = anchors.select("name", "pos", F.col("token").alias("anchor"), "keys", F.expr("pos = n - 1").alias("last"), F.expr("place > 1 AND pos < n - 1 AND form = 'p'").alias("extra"))
-    blocked = names.join(anchors, "name").select("name", "form", n.alias("n"), "anchor", "keys", "last", "extra", F.filter("tokens", lambda t, i: i != F.col("pos")).alias("rest"), F.col("tokens")[0].alias("first"), F.size(F.filter("tokens", lambda t: F.length(t) == 1)).alias("singles"))
-    blocked = blocked.withColumn("weak", F.expr("form = 'p' AND (length(first) = 1 OR singles = n - 1) OR form = 'o' AND size(rest) = 1 AND length(rest[0]) <= 3"))
-    # a name is weak as a whole, whichever its anchor
-    blocked = blocked.withColumn("weak", F.max("weak").over(Window.partitionBy("name"))).withColumn("g", F.get("rest", F.lit(0)))
+    order = [(F.length("token") < 3), (F.col("token").isin(sorted(_roots())) | (F.length("token") < 5)) & person, F.col("weight"), F.negative(F.length("token")), F.col("token"), F.col("pos")]
+    anchors = at.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where("place = 1 OR (form = 'o' AND place = 2) OR (form = 'p' AND (pos = 0 OR pos = n - 1))")
+    blocked = anchors.select(
+        "name", "form", "weak", F.col("token").alias("anchor"), "keys", F.expr("pos = n - 1").alias("last"), F.expr("place > 1 AND pos < n - 1 AND form = 'p'").alias("extra"), F.filter("tokens", lambda t, i: i != F.col("pos")).alias("rest"))
+    blocked = blocked.withColumn("g", F.get("rest", F.lit(0)))
     blocked = blocked.join(tokens.select(F.col("token").alias("g"), "given", "initials"), "g", "left").withColumn("other", _key_of_rest("form", "rest"))
-    person = F.col("form") == "p"
     none = F.array().cast("array<bigint>")
     by_name = F.concat(F.coalesce("given", none), F.when(F.length("g") >= 3, F.array(F.xxhash64(F.lit("h"), F.substring("g", 1, 3)))).otherwise(none))
     by_initial = F.transform(F.coalesce("initials", F.array().cast("array<string>")), lambda x: F.xxhash64(F.lit("i"), x))
@@ -335,7 +332,7 @@ def candidates(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     letters = lambda c: F.array_sort(F.split(c, ""))
     pairs = pairs.where(F.when(F.col("anchor_a") == F.col("anchor_b"), True).when(far < 0, False).when(far < 2, True).otherwise(letters("anchor_a") == letters("anchor_b")))
     pairs = pairs.select("form", F.col("name_a").alias("a"), "anchor_a", "rest_a", "weak_a", F.col("name_b").alias("b"), "anchor_b", "rest_b", "weak_b").distinct()
-    return pairs, blocked.where("weak").select("name").distinct()
+    return pairs, names.where("weak").select("name")
 
 
 def link_names(rows: DataFrame, row_id: Column, name: Column, aliases: Column, kind: Column) -> DataFrame:
