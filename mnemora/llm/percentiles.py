@@ -18,6 +18,10 @@ DIGIT = 16
 _NAN = int(np.array([np.nan]).view(np.int64)[0]) - 2**63
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_SIGN = -(2**63)
+
+
 @F.pandas_udf(T.LongType())
 def ordered_bits(value: pd.Series) -> pd.Series:
     """The bits of a double as a long whose unsigned order is the numeric order; both zeros are one, NaN is last."""
@@ -51,7 +55,7 @@ def _targets(totals: DataFrame, percents: Sequence[float]) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, groups: dict[str, Column], value: Column, percents: Sequence[float], at_least: int = 1) -> DataFrame:
-    """Exact percentiles per group: the group columns, pct, value, n.
+    """Exact percentiles per group: the group columns, pct, value (a double, or a long of whole numbers), n.
 
     The percentile is the smallest value with at least that share of the group's rows at or below it. Null values are
     left out, a null group column is a group of its own, NaN counts as larger than all numbers; groups of fewer than
@@ -62,37 +66,51 @@ def percentiles(rows: DataFrame, groups: dict[str, Column], value: Column, perce
     search early. Counts are summed on the map side first, so a hot group costs no more than its histogram.
     """
     names = list(groups)
-    base = cut(
-        rows.select(*[c.alias(f"g{i}") for i, c in enumerate(groups.values())], value.cast("double").alias("v")).where("v IS NOT NULL")
-        .withColumn("u", ordered_bits("v")).drop("v"))
+    v = rows.select(*[c.alias(f"g{i}") for i, c in enumerate(groups.values())], value.alias("v")).where("v IS NOT NULL")
+    whole = isinstance(v.schema["v"].dataType, _WHOLE)
+    # of a whole number the sign bit is turned, so none is rounded, and it never leaves the JVM
+    base = cut(v.withColumn("u", F.col("v").cast("long").bitwiseXOR(F.lit(_SIGN)) if whole else ordered_bits(F.col("v").cast("double"))).drop("v"))
     g = [f"g{i}" for i in range(len(names))]
+    # leading bits that all values share tell nothing
+    ends = base.agg(*[f(F.col("u").bitwiseXOR(F.lit(_SIGN))) for f in (F.min, F.max)]).first()
+    ends = (0, 0) if ends[0] is None else tuple(ends)
+    top = max(1, ((ends[0] ^ ends[1]) & (2**64 - 1)).bit_length())
+    above = lambda bits: F.shiftrightunsigned("u", bits) if bits < 64 else F.lit(0).cast("long")
     open_targets, done = None, []
-    for step in range(64 // DIGIT):
-        shift = 64 - DIGIT * (step + 1)
-        now = base.withColumn("prefix", F.shiftrightunsigned("u", shift + DIGIT) if step else F.lit(0).cast("long"))
+    while True:
+        width = min(DIGIT, top)
+        shift = top - width
+        now = base.withColumn("prefix", above(top))
         if open_targets is not None:
             wanted = open_targets.select(*g, "prefix").distinct()
             now = now.alias("a").join(wanted.alias("b"), _all([F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*g, "prefix"]]), "left_semi")
-        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long"))
+        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
         hist = now.groupBy(*g, "prefix", digit.alias("digit")).agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"))
         line = Window.partitionBy(*g, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("upto", F.sum("n").over(line))
         if open_targets is None:
             hist = cut(hist)
-            open_targets = _targets(hist.groupBy(*g).agg(F.sum("n").alias("__n")).where(F.col("__n") >= at_least), percents).withColumn("prefix", F.lit(0).cast("long"))
+            open_targets = _targets(hist.groupBy(*g).agg(F.sum("n").alias("__n")).where(F.col("__n") >= at_least), percents)
+            open_targets = open_targets.withColumn("prefix", F.lit(0).cast("long") if top >= 64 else F.lit(_prefix(ends[0], top)).cast("long"))
         t, h = open_targets.alias("t"), hist.alias("h")
         hit = t.join(h, _all([F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*g, "prefix"]]) & (F.col("t.__rank") <= F.col("h.upto")) & (F.col("t.__rank") > F.col("h.upto") - F.col("h.n")))
         hit = cut(hit.select(
             *[F.col(f"t.{c}") for c in g], "t.__p", "t.__n", (F.col("t.__rank") - F.col("h.upto") + F.col("h.n")).alias("__rank"),
-            (F.col("h.prefix") * (1 << DIGIT) + F.col("h.digit")).alias("prefix"), "h.lo", "h.hi"))
+            F.shiftleft("h.prefix", width).bitwiseOR(F.col("h.digit")).alias("prefix"), "h.lo", "h.hi"))
         done.append(hit.where("lo = hi").select(*g, "__p", "__n", "lo"))
         open_targets = hit.where("lo <> hi").drop("lo", "hi")
-        if open_targets.isEmpty():
+        top = shift
+        if not top or open_targets.isEmpty():
             break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*[F.col(c).alias(n) for c, n in zip(g, names)], (F.col("__p") / 1000).alias("pct"), bits_value("lo").alias("value"), F.col("__n").alias("n"))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(g, names)], (F.col("__p") / 1000).alias("pct"), (F.col("lo").bitwiseXOR(F.lit(_SIGN)) if whole else bits_value("lo")).alias("value"), F.col("__n").alias("n"))
+
+
+def _prefix(signed: int, bits: int) -> int:
+    """What stands above the lowest ``bits`` bits of the unsigned form of a value."""
+    return ((signed ^ _SIGN) & (2**64 - 1)) >> bits
 
 
 def _all(conditions: list[Column]) -> Column:

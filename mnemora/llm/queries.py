@@ -37,7 +37,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact percentiles of every agent and tool."""
     out = percentiles(_calls(spark, sf_dir), {"agent": F.col("agent"), "tool": F.col("tool")}, F.col("latency_ms"), [50, 90, 95, 99])
-    return out.withColumn("pct", F.col("pct").cast("int"))
+    return out.withColumn("pct", F.col("pct").cast("int")).withColumn("value", F.col("value").cast("double"))
 
 
 def p4_daily_merged(spark: SparkSession, sf_dir: str) -> DataFrame:

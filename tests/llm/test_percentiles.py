@@ -46,3 +46,15 @@ def test_days_combine_within_the_bound(spark):
     for x in histogram_percentiles(merge_histograms(whole, ["g"]), ["g"], [50, 95]).collect():
         want = brute([v for g, v, *_ in rows if g == x.g], x.pct)
         assert x.low <= want <= x.high and x.high - x.low <= want * 2**-11
+
+
+def test_whole_numbers_stay_whole(spark):
+    r = random.Random(5)
+    values = [r.choice([r.randrange(-(2**63), 2**63), 2**53 + r.randrange(9), r.randrange(-5, 5)]) for _ in range(2000)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 2**63 - 1), ("c", 7), ("c", 7), (None, -3)], "g string, v long")
+    got = {(x.g, x.pct): x.value for x in percentiles(df, {"g": F.col("g")}, F.col("v"), [1, 25, 50, 75, 99]).collect()}
+    s = sorted(values)
+    assert all(got["a", float(p)] == s[max(0, -(-p * len(s) // 100) - 1)] for p in (1, 25, 50, 75, 99))
+    assert got["b", 50.0] == 2**63 - 1 and got["c", 99.0] == 7 and got[None, 1.0] == -3
+    one = percentiles(df.where("g = 'c'"), {"g": F.col("g")}, F.col("v"), [50]).first()
+    assert (one.value, one.n) == (7, 2)
