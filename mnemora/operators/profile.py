@@ -9,6 +9,22 @@ from pyspark.sql.window import Window
 from mnemora.functions.text import clip
 
 
+class Profiles:
+    """Profile texts by the version of the ledger they were made from: made anew only when it has changed."""
+
+    def __init__(self) -> None:
+        self._version: object = None
+        self._text = ""
+        self.made = 0
+
+    def text(self, version: object, memories: DataFrame, entities: DataFrame, today: str) -> str:
+        """The profile as one text; its date, too, is that of the last change."""
+        if not self.made or version != self._version:
+            self._text = "\n".join(r["line"] for r in core_profile(memories, entities, today).orderBy("pos").collect())  # at most 3200 characters
+            self._version, self.made = version, self.made + 1
+        return self._text
+
+
 def core_profile(memories: DataFrame, entities: DataFrame, today: str, least: float = 0.7, most: int = 3200) -> DataFrame:
     """Lines of the profile in order: pos, line. It ends with a mark where the next line would exceed ``most`` characters.
 

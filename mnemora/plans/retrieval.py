@@ -129,10 +129,32 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 @plan.add()
 def bm25_stemmed(t: Tables) -> DataFrame:
-    """BM25 as a stemming full-text index ranks: English stems, no accents, content and tags."""
+    """BM25 as a stemming full-text index ranks: English stems, no accents, content and tags; a token of several words is a phrase."""
     whole = F.concat_ws(" ", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
-    index = cut(search.postings(t.memories.where("content IS NOT NULL"), stemmed_tokens(whole)))
-    terms = _queries(t).select(F.col("id").alias("query"), F.explode(stemmed_tokens(F.array_join(query_tokens(F.col("content")), " "))).alias("term"))
+    rows = cut(t.memories.where("content IS NOT NULL").select("id", stemmed_tokens(whole).alias("w")))
+    asked = _queries(t).select(F.col("id").alias("query"), F.explode(F.array_distinct(query_tokens(F.col("content")))).alias("t"))
+    terms = cut(asked.select("query", F.array_join(stemmed_tokens(F.col("t")), " ").alias("term")).where("term <> ''"))
+    index = cut(search.postings(rows, F.col("w")).unionByName(search.phrase_postings(rows, F.col("w"), terms)))
+    return search.bm25_topk(terms, index, search.POOL, allowed=_current(t))
+
+
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+@plan.add(f"""WITH {_CUR}, pw AS MATERIALIZED (SELECT id, {_WORDS.format("content")} AS w FROM memories WHERE content IS NOT NULL), ql AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM pw WHERE len(w) > 0),
+qt AS (SELECT DISTINCT id AS query, array_to_string({_WORDS.format('x')}, ' ') AS term FROM (SELECT id, unnest({SQL_TOKENS.format('content')}) AS x FROM memories WHERE id % 100 = 0)),
+ph AS (SELECT DISTINCT term, string_split(term, ' ') AS p FROM qt WHERE term <> ''),
+hit AS MATERIALIZED (SELECT id, term, len(w) AS len, len(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) AS tf FROM pw JOIN ph ON list_has_all(w, p)),
+df AS (SELECT term, count(*) AS df FROM hit WHERE tf > 0 GROUP BY term), idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, ql),
+bs AS (SELECT query, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM qt JOIN hit USING (term) JOIN idf USING (term), ql WHERE tf > 0 AND id IN (SELECT id FROM cur) GROUP BY query, id)
+SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM bs QUALIFY rank <= 30""")
+def bm25_phrases(t: Tables) -> DataFrame:
+    """BM25 in which a token of several words, as ``svc-9.1``, stands for its words side by side."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = cut(t.memories.where("content IS NOT NULL").select("id", words(F.col("content")).alias("w")))
+    asked = _queries(t).select(F.col("id").alias("query"), F.explode(F.array_distinct(query_tokens(F.col("content")))).alias("t"))
+    terms = cut(asked.select("query", F.array_join(words(F.col("t")), " ").alias("term")).where("term <> ''"))
+    index = cut(search.postings(rows, F.col("w")).unionByName(search.phrase_postings(rows, F.col("w"), terms)))
     return search.bm25_topk(terms, index, search.POOL, allowed=_current(t))
 
 

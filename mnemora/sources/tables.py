@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +76,21 @@ def append_log(rows: DataFrame, folder: str) -> None:
     rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)
 
 
+@contextmanager
+def logged(spark: SparkSession, folder: str, tool: str, agent: str | None = None) -> Iterator[dict]:
+    """Log a tool call around a block: latency, what the block puts into the dictionary it gets, and an error if there is one (which goes on)."""
+    detail: dict = {}
+    began = time.time()
+    try:
+        yield detail
+    except Exception as e:
+        detail["error"] = f"{type(e).__name__}: {e}"[:200]
+        raise
+    finally:
+        row = (datetime.now(timezone.utc).replace(tzinfo=None), "tool_call", tool, agent, int((time.time() - began) * 1000), json.dumps(detail, sort_keys=True))
+        append_log(spark.createDataFrame([row], "ts timestamp_ntz, op string, tool string, agent string, latency_ms int, detail string"), folder)
+
+
 def _files(spark: SparkSession, table: str):  # noqa: ANN202
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path

@@ -61,3 +61,26 @@ def test_as_of_join_equals_brute_force(spark):
     p = spark.createDataFrame(probes, "probe long, k long, moment timestamp_ntz")
     got = sorted((x.probe, x.fact) for x in views.as_of_join(p, f, ["k"]).collect())
     assert got == sorted((i, j) for i, k, m in probes for j, kk, s, a, b in facts if k == kk and s == "active" and a is not None and a <= m and (b is None or b > m))
+
+
+def test_calls_are_logged_with_their_errors(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    with sources.logged(spark, folder, "search_memory", "a") as detail:
+        detail["n_results"] = 3
+    with pytest.raises(KeyError), sources.logged(spark, folder, "search_memory"):
+        raise KeyError("x")
+    rows = spark.read.parquet(folder).orderBy("ts").collect()
+    assert [(r.op, r.tool, r.agent) for r in rows] == [("tool_call", "search_memory", "a"), ("tool_call", "search_memory", None)]
+    assert rows[0].detail == '{"n_results": 3}' and "KeyError" in rows[1].detail and all(r.latency_ms >= 0 for r in rows)
+
+
+def test_a_profile_is_made_once_for_a_version(spark):
+    from mnemora.operators.profile import Profiles
+    from tests.conftest import SF
+
+    memories, entities = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("memories", "entities"))
+    p = Profiles()
+    first = p.text(7, memories, entities, "2025-05-02")
+    assert first.startswith("# Core memory (as of 2025-05-02)") and len(first) < 3400
+    assert p.text(7, memories, entities, "2025-06-01") == first and p.made == 1
+    assert p.text(8, memories, entities, "2025-06-01") != first and p.made == 2

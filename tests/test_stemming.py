@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.functions.stemming import plain_words, stem, stemmed_tokens
-from mnemora.operators.search import bm25_topk, postings
+from mnemora.operators.search import bm25_topk, phrase_postings, postings
 
 
 def index(texts):
@@ -42,3 +42,17 @@ def test_scores_equal_the_index(spark):
     got = {x.id: x.score for x in bm25_topk(terms, postings(df, stemmed_tokens(F.col("t"))), 1000).collect()}
     want = {i: -s for i, s in c.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (" OR ".join(f'"{w}"' for w in ask),))}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+def test_phrases_equal_the_index(spark):
+    r = random.Random(1)
+    words = ["svc", "9", "1", "alpha", "running", "ports"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 25))) for _ in range(150)] + ["svc-9.1 is down", "9 1 svc", "1 1 1 1"]
+    c = index(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", stemmed_tokens(F.col("t")).alias("w"))
+    ask = ["svc-9.1", "running ports", "1 1", "alpha"]
+    terms = spark.createDataFrame([(1, " ".join(stem(x) for x in plain_words(w))) for w in ask], "query long, term string")
+    both = postings(df, F.col("w")).unionByName(phrase_postings(df, F.col("w"), terms))
+    got = {x.id: x.score for x in bm25_topk(terms, both, 1000).collect()}
+    want = {i: -s for i, s in c.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (" OR ".join(f'"{w}"' for w in ask),))}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
