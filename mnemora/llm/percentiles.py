@@ -15,6 +15,8 @@ from mnemora.sources import cut
 
 #: Bits of a radix digit: a group has at most 2**DIGIT histogram rows for each prefix followed.
 DIGIT = 16
+#: Of whole numbers, whose leading bits are finer than those of a double; the first digit has what is left over.
+DIGIT_WHOLE = 12
 _NAN = int(np.array([np.nan]).view(np.int64)[0]) - 2**63
 
 
@@ -61,7 +63,7 @@ def percentiles(rows: DataFrame, groups: dict[str, Column], value: Column, perce
     left out, a null group column is a group of its own, NaN counts as larger than all numbers; groups of fewer than
     ``at_least`` values and empty inputs give no rows. Ties and repeated rows count as often as they occur.
 
-    Values become order-preserving integers. Each pass counts the next 16 bits of those values that share the
+    Values become order-preserving integers. Each pass counts the next 16 bits (12 of whole numbers) of those values that share the
     followed prefix, and follows the digit that holds the target rank; a digit that holds one distinct value ends the
     search early. Counts are summed on the map side first, so a hot group costs no more than its histogram.
     """
@@ -78,7 +80,7 @@ def percentiles(rows: DataFrame, groups: dict[str, Column], value: Column, perce
     above = lambda bits: F.shiftrightunsigned("u", bits) if bits < 64 else F.lit(0).cast("long")
     open_targets, done = None, []
     while True:
-        width = min(DIGIT, top)
+        width = (top - 1) % DIGIT_WHOLE + 1 if whole else min(DIGIT, top)
         shift = top - width
         now = base.withColumn("prefix", above(top))
         if open_targets is not None:
