@@ -188,6 +188,14 @@ def referred(memories: DataFrame, refs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found).distinct()
 
 
+def without(rows: DataFrame, refs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that no reference (ref) names by one of the columns; null references and values name nothing."""
+    r = refs.select("ref").where("ref IS NOT NULL").distinct()
+    for c in columns:
+        rows = rows.join(r.withColumnRenamed("ref", c), c, "left_anti")
+    return rows
+
+
 def picked_first(hits: DataFrame, picks: DataFrame) -> DataFrame:
     """Hits (query, id, rank, ...) with a judge's pick (query, id, p) moved to the front and its p beside it; a pick that isn't among the hits changes nothing."""
     out = hits.join(picks.select("query", "id", "p"), ["query", "id"], "left")

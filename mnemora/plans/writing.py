@@ -173,6 +173,20 @@ def find_skill_picked(t: Tables) -> DataFrame:
     return writing.picked_first(hits, hits.where("rank = 3").select("query", "id", F.lit(0.9).alias("p")))
 
 
+@plan.add("""WITH s AS (SELECT p_name AS name, 'skill-' || min(p_partkey) AS uid, CASE WHEN min(p_partkey) % 2 = 0 THEN 'ext-' || min(p_partkey) END AS external_id, count(*) AS saves FROM part GROUP BY p_name),
+r AS (SELECT uid AS ref FROM s WHERE uid LIKE '%1' UNION SELECT external_id FROM s WHERE uid LIKE '%2' UNION SELECT name FROM s WHERE uid LIKE '%3')
+SELECT name, uid, external_id, saves FROM s WHERE name NOT IN (SELECT ref FROM r WHERE ref IS NOT NULL) AND uid NOT IN (SELECT ref FROM r WHERE ref IS NOT NULL)
+AND (external_id IS NULL OR external_id NOT IN (SELECT ref FROM r WHERE ref IS NOT NULL))""")
+def skill_delete_by_reference(t: Tables) -> DataFrame:
+    """Skills left after some are deleted by uid, external id or name; the parts of the star schema stand for their saves."""
+    first = F.min("p_partkey").cast("string")
+    s = t.part.groupBy(F.col("p_name").alias("name")).agg(
+        F.concat(F.lit("skill-"), first).alias("uid"), F.when(F.min("p_partkey") % 2 == 0, F.concat(F.lit("ext-"), first)).alias("external_id"), F.count("*").alias("saves"))
+    by = lambda c, end: s.where(F.col("uid").endswith(end)).select(F.col(c).alias("ref"))
+    refs = by("uid", "1").unionAll(by("external_id", "2")).unionAll(by("name", "3"))
+    return writing.without(s, refs, ["uid", "external_id", "name"]).select("name", "uid", "external_id", "saves")
+
+
 # models as plain Python functions over batches, here with stand-ins
 
 
