@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions.text import query_tokens
 from mnemora.operators import ledger, search
 from mnemora.operators.entities import alias_reviewed, judged, unreviewed
+from mnemora.operators.near import near_later
 from mnemora.operators.profile import core_profile as profile_lines
 from mnemora.plans.memory import KNOWN, SQL_CLIP, SQL_NORM, SQL_TOKENS
 from mnemora.plans.registry import NOW, Plan, Tables
@@ -161,7 +162,7 @@ def _vectors(df: DataFrame) -> DataFrame:
 @plan.add(f"WITH {_pairs_sql(_usable(_NOTES), 3, 0.92)} SELECT query AS a, id AS b, similarity FROM p")
 def near_duplicate_pairs(t: Tables) -> DataFrame:
     n = _vectors(t.memories.where(_NOTES))
-    return search.vector_topk(n, n, DIM, 3, side="later", least=0.92).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
+    return near_later(n, DIM, 3, 0.92).select(F.col("query").alias("a"), F.col("id").alias("b"), "similarity")
 
 
 @plan.add(f"""WITH {_pairs_sql(_usable(_NOTES), 3, 0.92)}, q AS (SELECT least(memory_id, other_id) AS a, greatest(memory_id, other_id) AS b FROM reviews WHERE kind = 'merge')
@@ -183,7 +184,7 @@ def merge_proposals(t: Tables) -> DataFrame:
  AND least(CAST(r.detail ->> 'keep' AS BIGINT), CAST(r.detail ->> 'drop' AS BIGINT)) = query AND greatest(CAST(r.detail ->> 'keep' AS BIGINT), CAST(r.detail ->> 'drop' AS BIGINT)) = id)""")
 def alias_proposals(t: Tables) -> DataFrame:
     e = _vectors(t.entities)
-    near = search.vector_topk(e, e, DIM, 3, side="later", least=0.88).select(F.col("query").alias("src"), F.col("id").alias("dst"), "similarity")
+    near = near_later(e, DIM, 3, 0.88).select(F.col("query").alias("src"), F.col("id").alias("dst"), "similarity")
     return near.join(alias_reviewed(t.reviews), ["src", "dst"], "left_anti").select(F.col("src").alias("keep"), F.col("dst").alias("drop"), "similarity")
 
 
