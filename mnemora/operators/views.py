@@ -49,26 +49,36 @@ def matching(memories: DataFrame, domain: str | None = None, kind: str | None =
     return out
 
 
-def as_of_join(probes: DataFrame, facts: DataFrame, keys: list[str], moment: str = "moment") -> DataFrame:
+def as_of_join(probes: DataFrame, facts: DataFrame, keys: list[str], moment: str = "moment", many: int = 64) -> DataFrame:
     """Each probe (keys and a moment) with the facts valid at its moment.
 
-    Time is divided into days, and days into a binary tree. A fact stands at the few nodes that make up its days, a probe
-    looks at the nodes above its own; so a probe meets the facts of its time only, and a key with many facts is divided
-    over the nodes. Times beyond the tree's 2**16 days count to its ends, where, as everywhere, the times are compared.
+    Probes of a key meet its facts, up to ``many`` of them. Beyond that the key's time is divided into days, and days
+    into a binary tree: a fact stands at the few nodes that make up its days, a probe looks at the nodes above its own,
+    and so meets the facts of its time only; the key is divided over the nodes. Times beyond the tree's 2**16 days count
+    to its ends, where, as everywhere, the times are compared. Rows with a null key or no time meet nothing.
     """
     last = (1 << LEVELS) - 1
     day = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), F.unix_date(F.to_date(c))))
-    # at a level, the days a..b leave at most one node on each side that no node above holds
-    low = lambda n: F.shiftright(F.col("__a") + F.expr(f"(1 << {n}) - 1"), n)
-    high = lambda n: F.shiftright(F.col("__b") + 1, n) - 1
-    nodes = F.array_compact(F.array_distinct(F.concat(*[F.array(
-        F.when((low(n) <= high(n)) & ((low(n) % 2 == 1) | (F.lit(n) == LEVELS)), F.struct(F.lit(n).alias("level"), low(n).alias("node"))),
-        F.when((low(n) <= high(n)) & (high(n) % 2 == 0), F.struct(F.lit(n).alias("level"), high(n).alias("node")))) for n in range(LEVELS + 1)])))
+    node = lambda level, at: F.struct(level.cast("int").alias("level"), at.cast("int").alias("node"))
+    whole, levels = F.array(node(F.lit(-1), F.lit(0))), F.sequence(F.lit(0), F.lit(LEVELS))
+
+    def sides(n: Column) -> Column:
+        """At a level, the days a..b leave at most one node on each side that no node above holds."""
+        size = F.pow(F.lit(2.0), n).cast("int")
+        low, high = F.ceil(F.col("__a") / size), F.floor((F.col("__b") + 1) / size) - 1
+        return F.array(F.when((low <= high) & ((low % 2 == 1) | (n == LEVELS)), node(n, low)), F.when((low <= high) & (high % 2 == 0), node(n, high)))
+
     f = history(facts).where("valid_from IS NOT NULL").withColumn("__a", day(F.col("valid_from"))).withColumn("__b", F.greatest("__a", F.coalesce(day(F.col("valid_to")), F.lit(last))))
-    f = f.withColumn("__e", F.explode(nodes)).select("*", F.col("__e.level").alias("__level"), F.col("__e.node").alias("__node")).drop("__a", "__b", "__e")
-    p = probes.withColumn("__e", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(day(F.col(moment)), n).alias("node")) for n in range(LEVELS + 1)])))
-    p = p.select("*", F.col("__e.level").alias("__level"), F.col("__e.node").alias("__node")).drop("__e")
-    return p.join(f, [*keys, "__level", "__node"]).where(f"valid_from <= {moment} AND (valid_to IS NULL OR valid_to > {moment})").drop("__level", "__node")
+    hot = f.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > many).select(*keys, F.lit(True).alias("__hot"))
+    stands = F.when(F.col("__hot"), F.array_compact(F.array_distinct(F.flatten(F.transform(levels, sides))))).otherwise(whole)
+    looks = F.when(F.col("__hot"), F.transform(levels, lambda n: node(n, F.floor(day(F.col(moment)) / F.pow(F.lit(2.0), n))))).otherwise(whole)
+
+    def spread(rows: DataFrame, at: Column) -> DataFrame:
+        out = rows.join(hot, keys, "left").withColumn("__e", F.explode(at))
+        return out.withColumn("__level", F.col("__e.level")).withColumn("__node", F.col("__e.node")).drop("__a", "__b", "__hot", "__e")
+
+    met = spread(probes, looks).join(spread(f, stands), [*keys, "__level", "__node"])
+    return met.where(f"valid_from <= {moment} AND (valid_to IS NULL OR valid_to > {moment})").drop("__level", "__node")
 
 
 def errors(statements: DataFrame) -> Column:

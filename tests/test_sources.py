@@ -59,8 +59,9 @@ def test_as_of_join_equals_brute_force(spark):
     probes = [(i, r.randrange(2), at(r.choice([-600_000, 1_400_000, *(r.randrange(-100, 25_000) for _ in range(9))]))) for i in range(120)]
     f = spark.createDataFrame(facts, "fact long, k long, status string, valid_from timestamp_ntz, valid_to timestamp_ntz")
     p = spark.createDataFrame(probes, "probe long, k long, moment timestamp_ntz")
-    got = sorted((x.probe, x.fact) for x in views.as_of_join(p, f, ["k"]).collect())
-    assert got == sorted((i, j) for i, k, m in probes for j, kk, s, a, b in facts if k == kk and s == "active" and a is not None and a <= m and (b is None or b > m))
+    for many in (64, 0, 10_000):
+        got = sorted((x.probe, x.fact) for x in views.as_of_join(p, f, ["k"], many=many).collect())
+        assert got == sorted((i, j) for i, k, m in probes for j, kk, s, a, b in facts if k == kk and s == "active" and a is not None and a <= m and (b is None or b > m))
 
 
 def test_calls_are_logged_with_their_errors(spark, tmp_path):
