@@ -34,12 +34,12 @@ def _encoding(path: str, pattern: str, content: bytes):  # noqa: ANN202
     return _ENCODINGS[key]
 
 
-def token_count(text: Column, path: str, pattern: str) -> Column:
+def token_count(spark: SparkSession, text: Column, path: str, pattern: str) -> Column:
     """Tokens of a text under the byte-level vocabulary file at ``path`` (token and rank on each line); null has 0.
 
     The driver reads the file (a vocabulary of some megabytes) and sends its content, so executors need no such path.
     """
-    content = SparkSession.active().sparkContext.broadcast(Path(path).read_bytes())
+    content = spark.sparkContext.broadcast(Path(path).read_bytes())
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:

@@ -199,7 +199,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     import public_tokenizers
 
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in read_table(spark, sf_dir, "mix_targets").collect()]
-    tokens = token_count(F.col("text"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    tokens = token_count(spark, F.col("text"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     return mix_to_targets(read_table(spark, sf_dir, "documents"), F.col("doc_id"), plain_source(F.col("source")), tokens, targets)
 
 

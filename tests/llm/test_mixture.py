@@ -49,6 +49,6 @@ def test_null_zero_unknown_and_empty(spark):
 def test_tokens_and_sources(spark):
     P = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(1, "Written-Answers ", None, "", ""), (2, None, 1, "", "")], SCHEMA)
-    n = token_count(F.col("source"), str(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    n = token_count(spark, F.col("source"), str(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
     got = df.select(plain_source(F.col("source")).alias("s"), n.alias("n")).collect()
     assert got[0].s == "written_answers" and got[0].n > 0 and got[1].s is None and got[1].n == 0
