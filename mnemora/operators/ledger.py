@@ -47,13 +47,19 @@ def fold(said: DataFrame) -> DataFrame:
     before the active one began goes into the history; any other supersedes it. Columns: the key, seq, text, obs,
     outcome (first, restate, late, supersede), status, valid_to and superseded_by (both null for restatements).
 
-    Only the decision is sequential. It streams over rows sorted by key and arrival with one value of state, so a key
-    of any size needs no memory. Intervals follow from the kept rows alone: a row ends where the next later one of its
+    Only the decision is sequential, and only for keys with a statement older than the one before it; the others are decided
+    by windows. It streams over rows sorted by key and arrival with one value of state, so a key of any size needs no memory. Intervals follow from the kept rows alone: a row ends where the next later one of its
     key begins; one superseded at its own beginning is empty. Equal values are compared in normalised form.
     """
     keyed = said.withColumn("key", F.to_json(F.struct(*KEY)))
-    ordered = keyed.select("key", "seq", "value", "text", "obs").repartition("key").sortWithinPartitions("key", "seq")
-    told = cut(ordered.mapInPandas(_decide, "key string, seq long, text string, obs long, outcome string"))
+    arrival = Window.partitionBy("key").orderBy("seq")
+    seen = keyed.select("key", "seq", "value", "text", "obs", F.lag("value").over(arrival).alias("before"), F.lag("obs").over(arrival).alias("since"), F.row_number().over(arrival).alias("n"))
+    seen = cut(seen.withColumn("late", F.max(F.coalesce(F.col("obs") < F.col("since"), F.lit(False))).over(Window.partitionBy("key"))))
+    # a key whose statements come in order of time has no late ones, and the active value is the one before
+    outcome = F.when(F.col("n") == 1, "first").when(F.col("value").eqNullSafe(F.col("before")), "restate").otherwise("supersede")
+    calm = seen.where("NOT late").select("key", "seq", "text", "obs", outcome.alias("outcome"))
+    ordered = seen.where("late").select("key", "seq", "value", "text", "obs").repartition("key").sortWithinPartitions("key", "seq")
+    told = cut(calm.unionByName(ordered.mapInPandas(_decide, "key string, seq long, text string, obs long, outcome string")))
     kept, dropped = told.where("outcome <> 'restate'"), told.where("outcome = 'restate'")
     by_time = Window.partitionBy("key").orderBy("obs")
     after = F.min(F.struct("obs", "seq")).over(by_time.rangeBetween(1, Window.unboundedFollowing))
