@@ -38,18 +38,18 @@ _EN = rf"(?:(?:Flat|Unit|Apartment|Apt\.?|Suite)\s+\w+,\s+)?\d+[A-Za-z]?\s+(?:{_
 _FR = rf"\d+[A-Za-z]?(?:\s+(?:bis|ter))?,?\s+(?:[Rr]ue|[Aa]venue|[Ii]mpasse|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée|[Qq]uai)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?{_CAP}{_MORE}(?=,\s+\d{{4,5}}))?{_TOWN_BEFORE}"
 _DE = rf"\p{{Lu}}[\p{{L}}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer)\s+\d+[a-z]?\b{_TOWN_BEFORE}"
 _ES = rf"(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo)\s+(?:de\s+la\s+|del\s+|de\s+)?{_CAP}{_MORE}(?=,?\s+\d))?,?\s+\d+[a-z]?\b{_TOWN_BEFORE}"
-_STREETS = ("Street", "St.", "St ", "Road", "Rd", "Lane", "Ln", "Avenue", "Ave", "Close", "Terrace", "Crescent", "Drive", "Court", "Place", "Square", "Gardens", "Way", "Rue", "rue ", "avenue", "impasse", "Impasse", "oulevard", "place ", "hemin", "llée", "quai ", "Quai", "alle ", "C/", "venida", "vda.", "laza ", "aseo ")
+_STREETS = ("Street", "St.", "St ", "St\n", "Road", "Rd", "Lane", "Ln", "Avenue", "Ave", "Close", "Terrace", "Crescent", "Drive", "Court", "Place", "Square", "Gardens", "Way", "Rue", "rue ", "rue\n", "avenue", "impasse", "Impasse", "oulevard", "place ", "place\n", "hemin", "llée", "quai", "Quai", "alle ", "alle\n", "C/", "venida", "vda.", "laza ", "laza\n", "aseo ", "aseo\n")
 _NUMBERED = re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer)\s+\d")
 _DOT = r"(?:\.|\s*[\(\[]\s*dot\s*[\)\]]\s*|\s+dot\s+)"
 _EMAIL = rf"(?<![\p{{L}}\p{{Nd}}._%+\-])[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._%+\-]*(?:@|\s*[\(\[]\s*at\s*[\)\]]\s*|\s+at\s+(?=[\w\-]+\s+dot\s))[\p{{L}}\p{{Nd}}\-]+(?:{_DOT}[\p{{L}}\p{{Nd}}\-]+)+"
 _NUMBER = r"(?<![\p{L}\p{Nd},.\-/])(?:\p{Lu}{2}[\s\-]?(?=\d[\d\s.\-]{5})|\p{Ll}{2}(?=\d{4}))?(?:\+\s?|\()?\d+(?:(?:\s*\(\d+\)\s*|\)\s*|\s+|[.\-/])\d+)*(?:\s?\p{Lu}(?![\p{L}\p{Nd}]))?(?![\p{L}\p{Nd}])"
 #: Words that begin a sentence or stand before a name and are no part of it.
-_NO_NAME = frozenset("""the a an and or but if when while as after before since although because though so then thus now today yesterday tomorrow here there this that these those it he she we you they i
+_NO_NAME = frozenset("""the a an and or but if between among when while as after before since although because though so then thus now today yesterday tomorrow here there this that these those it he she we you they i
 his her its our your their my who what which where why how not no yes in on at by of to for from with without is are was were has have had do does did also only even both each every some many
 mr mrs ms miss dr prof sir dame madam madame president commissioner minister witness nurse constituent zeuge zeugin pfleger pflegerin brief herr herrn frau mme mlle señor señora señorita sr sra don doña
 le la les un une des du de et ou mais si quand lorsque comme après avant il elle nous vous ils elles je ce cette ces son sa ses notre votre leur qui que où non oui dans sur par pour avec sans est sont
-der die das den dem ein eine einen und oder aber wenn als nach vor seit weil heute gestern hier da dies diese dieser er sie wir ihr es ich sein unser wer was wo nicht nein ja in auf bei von zu für mit ohne ist sind
-el los las una unos y o pero cuando como después antes ella nosotros ellos yo este esta estos su sus nuestro quien donde no sí en con sin es son hoy ayer""".split())
+der die das den dem zwischen ein eine einen und oder aber wenn als nach vor seit weil heute gestern hier da dies diese dieser er sie wir ihr es ich sein unser wer was wo nicht nein ja in auf bei von zu für mit ohne ist sind
+el los las entre una unos y o pero cuando como después antes ella nosotros ellos yo este esta estos su sus nuestro quien donde no sí en con sin es son hoy ayer""".split())
 _WORD = re.compile(r"\w+|[^\w\s]")
 _NAME_WORD = regex.compile(_SUR)
 # what a name may be made of: titles, initials and capitalised words; "M." before a capital is the French title
@@ -179,12 +179,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     surnames = {w.lower() for _, a, b in people for w in name_parts(text[a:b])[1]}
     free = {a for _, a, _ in singles if turnable}
     for before, after in turnable:
-        # one word, a comma, and one word or initial that no other capital follows
-        if len(before) == 1 and len(after) <= 2 and before[0][0] == "w" and after[0][0] != "t" and before[0][1] in free and (after[0][1] in free or after[0][0] == "i") and (len(after) == 1 or after[1][0] == "i"):
-            if text[before[0][1] : before[0][2]].lower() not in _NO_NAME:
-                people.append(("p", before[0][1], after[-1][2]))
-                free -= {before[0][1], after[0][1]}
-                surnames.add(text[before[0][1] : before[0][2]].lower())
+        # a single word ("Brief von" and the like aside), a comma, and one word or initial that no other capital follows
+        _, at, to = before[-1]
+        if at in free and len(after) <= 2 and after[0][0] != "t" and (after[0][1] in free or after[0][0] == "i") and (len(after) == 1 or after[1][0] == "i"):
+            if text[at:to].lower() not in _NO_NAME:
+                people.append(("p", at, after[-1][2]))
+                free -= {at, after[0][1]}
+                surnames.add(text[at:to].lower())
     if surnames:
         index = {d for w in surnames if len(w) >= 5 for d in _cut(w)}
         for kind, a, b in singles:

@@ -26,6 +26,8 @@ def test_borders_of_unlisted_names():
     assert found("When Mr John Smith came, Ludwig van Beethoven and J. Brown left.")[0] == ["John Smith", "Ludwig van Beethoven", "J. Brown"]
     assert found("Ein Brief von Karl Berg und John Q. Smith.")[0] == ["Karl Berg", "John Q. Smith"]
     assert found("The witness, Brown, John, wept before Brown went.")[0] == ["Brown, John", "Brown"]
+    assert found("Ein Brief von Bergholm, Karl hat mich erreicht.")[0] == ["Bergholm, Karl"]
+    assert found("Ich danke der Pflegerin Bergholm, Anna. Frau Bergholm kam.")[0] == ["Bergholm, Anna", "Bergholm"]
 
 
 def test_skip_edges_join_tokens_one_edit_apart():
@@ -50,7 +52,7 @@ def test_street_forms():
     for text, want in (
         ("They live at 221B Baker Street, London today.", "221B Baker Street, London"), ("Son adresse est 14 Rue Victor Hugo, 75002 Paris depuis.", "14 Rue Victor Hugo, 75002 Paris"),
         ("Vive en Calle Mayor 5, 28013 Madrid desde entonces.", "Calle Mayor 5, 28013 Madrid"), ("Sie wohnt in der Lindenstraße 14, 10115 Berlin.", "Lindenstraße 14, 10115 Berlin"),
-        ("The shop at 7 Old Mill Lane, Exeter closed.", "7 Old Mill Lane, Exeter")):
+        ("The shop at 7 Old Mill Lane, Exeter closed.", "7 Old Mill Lane, Exeter"), ("Adresse : 145, rue\nde la Yarrer. La famille est là.", "145, rue\nde la Yarrer")):
         assert [text[a:b] for k, a, b in spans(text) if k == "address"] == [want], text
 
 
