@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector, by multiprobe p-stable hashing with exact reranking."""
+"""Most similar vectors for every vector, by multiprobe cross-polytope hashing with exact reranking."""
 
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ from mnemora.llm.grouped import groups
 from mnemora.sources import cut
 
 _I64 = pa.int64()
-#: Chance of two vectors of the least similarity to meet; the screen and the rest of the index leave 0.9 and more of it.
-RECALL = 0.95
+#: Chance of two vectors of the least similarity to meet; the screen leaves 0.93 and more of it.
+RECALL = 0.97
+#: Words of 64 sketch bits that a pair is looked at first.
+LOOK = 2
 #: Ids of copies up to which they are sent to every executor (8 bytes each).
 MOST_SENT = 1_000_000
 
@@ -28,16 +30,16 @@ MOST_SENT = 1_000_000
 class Probing:
     """Parameters of the index.
 
-    tables: hash tables; functions: Gaussian projections of a table's key; width: width of a projection's slots for
-    unit vectors; probes: perturbed buckets visited in each table besides a vector's own; slots: slot borders, nearest
-    first, among which perturbations are chosen; sketch: sign bits (a multiple of 64) that a candidate pair is screened
+    tables: hash tables; functions: Gaussian axes of a table's key, divided among ``polytopes``, of each of which the key
+    has the axis, with its sign, that a vector lies nearest to; probes: perturbed buckets visited in each table besides a
+    vector's own; slots: polytopes, nearest first, in which a perturbation may take the second axis; sketch: sign bits (a multiple of 64) that a candidate pair is screened
     with, at ``slack`` standard deviations beyond the expectation at the least similarity by all of them, after a first
-    look at 64 with 0.6 more; block: members beyond which a bucket is compared in tiles of this size, each a task's work of its own.
+    look at 128 with 0.6 more; block: members beyond which a bucket is compared in tiles of this size, each a task's work of its own.
     """
 
     tables: int = 10
     functions: int = 14
-    width: float = 3.6
+    polytopes: int = 2
     probes: int = 3
     slots: int = 8
     sketch: int = 256
@@ -51,13 +53,13 @@ class Probing:
         """The index in which two vectors of similarity ``least`` meet with probability ``recall``, whatever the number of rows.
 
         Functions are as many as keep the expected bucket of unrelated vectors to ``bucket`` of ``rows``, at least the
-        default's; the chance to meet in one table follows from a seeded simulation of pairs just at ``least``, and
-        tables are as many as the recall asks for. So more rows make more tables, never fewer links.
+        default's: m axes have 2m signed ones, which are equally likely. The chance to meet in one table follows from a
+        seeded simulation of pairs just at ``least``, and tables are as many as the recall asks for. So more rows make
+        more tables, never fewer links; near vectors share the nearest of many axes far more often than the slots of as
+        selective a set of projections, so tables grow slowly.
         """
         p = Probing()
-        c = p.width / math.sqrt(2)  # slots in units of the distance of unrelated, orthogonal unit vectors
-        apart = math.erf(c / math.sqrt(2)) - math.sqrt(2 / math.pi) / c * (1 - math.exp(-c * c / 2))
-        functions = max(p.functions, math.ceil(math.log(max(1.0, rows / bucket)) / -math.log(apart)))
+        functions = max(p.functions, p.polytopes * math.ceil((rows / bucket) ** (1 / p.polytopes) / 2))
         meet = _chance_to_meet(functions, p, least)
         return replace(p, functions=functions, tables=math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
@@ -67,23 +69,27 @@ def _chance_to_meet(functions: int, p: Probing, similarity: float, pairs: int =
     rng = np.random.default_rng(1)
     x = rng.standard_normal((pairs, functions))
     y = similarity * x + math.sqrt(1 - similarity**2) * rng.standard_normal((pairs, functions))
-    shift = rng.uniform(0, 1, (pairs, functions))  # as of many tables
-    crossed = perturbations(functions, p.probes, p.slots)
-    met = np.zeros(pairs, bool)
-    for a, b in ((x, y), (y, x)):
-        slot, other = np.floor(a / p.width + shift), np.floor(b / p.width + shift)
-        z = a / p.width + shift - slot
-        border = np.concatenate([z, 1 - z], axis=1)
-        nearest_ = np.argsort(border, axis=1)[:, : crossed.shape[0]]
-        step = other - slot
-        met |= (step == 0).all(axis=1)
-        for k in range(crossed.shape[1]):
-            moved = np.zeros_like(step)
-            for s in np.flatnonzero(crossed[:, k]):
-                at = nearest_[:, s]
-                moved[np.arange(pairs), at % functions] += np.where(at < functions, -1, 1)
-            met |= (step == moved).all(axis=1)
-    return float(met.mean())
+    numbers = rng.integers(-(2**62), 2**62, (p.polytopes, 2 * functions // p.polytopes))
+    (a, near_a), (b, near_b) = (_keys(z, numbers, perturbations(p.polytopes, p.probes, p.slots)) for z in (x, y))
+    return float(((a == b) | (near_a == b[:, None]).any(axis=1) | (near_b == a[:, None]).any(axis=1)).mean())
+
+
+def _keys(y: np.ndarray, numbers: np.ndarray, crossed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a table, own and perturbed ones, from projections on its axes; numbers: a random one for each signed axis of each polytope."""
+    n, polytopes = np.arange(len(y)), len(numbers)
+    own, moves, gaps = np.zeros(len(y), np.int64), [], []
+    for number, z in zip(numbers, np.split(y, polytopes, axis=1)):
+        size = np.abs(z)
+        first = size.argmax(axis=1)
+        most = size[n, first]
+        size[n, first] = -1
+        second = size.argmax(axis=1)
+        at, other = (number[2 * i + (z[n, i] > 0)] for i in (first, second))
+        own += at
+        moves.append(other - at)
+        gaps.append(most - size[n, second])
+    nearest_ = np.argsort(np.stack(gaps, axis=1), axis=1)[:, : crossed.shape[0]]
+    return own, own[:, None] + np.take_along_axis(np.stack(moves, axis=1), nearest_, axis=1) @ crossed
 
 
 def perturbations(functions: int, probes: int, slots: int) -> np.ndarray:
@@ -118,29 +124,20 @@ def _hasher(dim: int, p: Probing):  # noqa: ANN202
         rng = np.random.default_rng(p.seed)
         n_keys = p.tables * p.functions
         axes = rng.standard_normal((dim, n_keys + p.sketch)).astype(np.float32)
-        axes[:, :n_keys] /= p.width
-        shift = rng.uniform(0, 1, n_keys).astype(np.float32)
-        mix = rng.integers(-(2**62), 2**62, n_keys) * 2 + 1
-        crossed = perturbations(p.functions, p.probes, p.slots)
+        numbers = rng.integers(-(2**62), 2**62, (p.tables, p.polytopes, 2 * p.functions // p.polytopes))
+        crossed = perturbations(p.polytopes, p.probes, p.slots)
+        rows = max(1, min(4096, (1 << 23) // axes.shape[1]))
         weights = np.left_shift(np.int64(1), np.arange(64, dtype=np.int64))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 y = _unit(part.column(1)) @ axes
                 n = len(y)
                 bits = (y[:, n_keys:] > 0).astype(np.int64)
                 prints = [pa.array(bits[:, s : s + 64] @ weights) for s in range(0, p.sketch, 64)]
-                z = y[:, :n_keys] + shift
-                slot = np.floor(z)
-                z -= slot
-                slot = slot.astype(np.int64)
                 own, near = np.empty((n, p.tables), np.int64), np.empty((n, p.tables, crossed.shape[1]), np.int64)
                 for t in range(p.tables):
-                    s = slice(t * p.functions, (t + 1) * p.functions)
-                    own[:, t] = (slot[:, s] * mix[s]).sum(1) + t
-                    border = np.concatenate([z[:, s], 1 - z[:, s]], axis=1)
-                    nearest = np.argsort(border, axis=1)[:, : crossed.shape[0]]
-                    near[:, t] = own[:, t, None] + np.concatenate([-mix[s], mix[s]])[nearest] @ crossed
+                    own[:, t], near[:, t] = _keys(y[:, t * p.functions : (t + 1) * p.functions], numbers[t], crossed)
                 lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.size // n, dtype=np.int32)), pa.array(a.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), lists(own), lists(near), *prints], ["id", "own", "near", *_prints(p)])
@@ -153,35 +150,44 @@ def _prints(p: Probing) -> list[str]:
 
 
 def _limits(p: Probing, least: float) -> tuple[int, int]:
-    """Differing sketch bits up to which a pair passes: of the first 64, and of all."""
+    """Differing sketch bits up to which a pair passes: of the first ``LOOK`` words, and of all."""
     angle = math.acos(least) / math.pi
-    return tuple(math.floor(n * angle + slack * math.sqrt(n * angle * (1 - angle))) for n, slack in ((64, p.slack + 0.6), (p.sketch, p.slack)))  # type: ignore[return-value]
+    return tuple(math.floor(n * angle + slack * math.sqrt(n * angle * (1 - angle))) for n, slack in ((min(64 * LOOK, p.sketch), p.slack + 0.6), (p.sketch, p.slack)))  # type: ignore[return-value]
 
 
-def _screened(x: np.ndarray, y: np.ndarray, prints: list[np.ndarray], first: int, most: int) -> np.ndarray:
-    """Which of the pairs of rows x and y pass the whole sketch, of those that pass its first 64 bits."""
-    some = np.flatnonzero(np.bitwise_count(prints[0][x] ^ prints[0][y]) <= first)
-    far = np.zeros(len(some), np.int16)
+def _screened(x: np.ndarray, y: np.ndarray, prints: list[np.ndarray], most: int) -> np.ndarray:
+    """Which of the pairs of rows x and y differ in no more than ``most`` bits of the words given."""
+    far = np.zeros(len(x), np.int16)
     for s in prints:
-        far += np.bitwise_count(s[x[some]] ^ s[y[some]])
-    return some[far <= most]
+        far += np.bitwise_count(s[x] ^ s[y])
+    return np.flatnonzero(far <= most)
 
 
 def _crossed(rows: np.ndarray, cols: np.ndarray, prints: list[np.ndarray], first: int, most: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each of ``rows`` with each of ``cols`` that pass the sketch; with ``later`` (both the same) each pair once."""
+    """Pairs of each of ``rows`` with each of ``cols`` that pass the sketch; with ``later`` (both the same) each pair once.
+
+    The first look takes two words, so that few pairs are left to be listed; its tiles are written over and over, and stay in the cache.
+    """
     out = []
-    width = 1 << 11
-    for i in range(0, len(rows), 256):
-        r = rows[i : i + 256]
-        left = prints[0][r][:, None]
+    height, width = 64, 1 << 11
+    left, right = ([s[at] for s in prints[:LOOK]] for at in (rows, cols))
+    bits, count, far = (np.empty(height * width, kind) for kind in (np.uint64, np.uint8, np.uint8))
+    for i in range(0, len(rows), height):
+        r = rows[i : i + height]
         for j in range(i - i % width if later else 0, len(cols), width):
             c = cols[j : j + width]
-            u, v = np.nonzero(np.bitwise_count(left ^ prints[0][c][None, :]) <= first)
+            b, n, f = (t[: len(r) * len(c)].reshape(len(r), len(c)) for t in (bits, count, far))
+            for k, (u, v) in enumerate(zip(left, right)):
+                np.bitwise_xor(u[i : i + height, None], v[None, j : j + width], out=b)
+                np.bitwise_count(b, out=n if k else f)
+                if k:
+                    f += n
+            u, v = np.divmod(np.flatnonzero(f <= first), len(c))
             if later:
                 once = j + v > i + u
                 u, v = u[once], v[once]
             x, y = r[u], c[v]
-            ok = _screened(x, y, prints, 64, most)
+            ok = _screened(x, y, prints, most)
             out.append((x[ok], y[ok]))
     return tuple(np.concatenate(o) if out else np.empty(0, np.int64) for o in (zip(*out) if out else ((), ())))  # type: ignore[return-value]
 
@@ -256,7 +262,8 @@ def _bucket_pairs(first: int, most: int, block: int):  # noqa: ANN202
             i, d = np.flatnonzero((far == 0) & np.repeat(size <= 96, size)), 1
             while len(i):
                 i = i[i + d < last[i]]
-                near = _screened(i, i + d, prints, first, most)
+                near = _screened(i, i + d, prints[:LOOK], first)
+                near = near[_screened(i[near], i[near] + d, prints, most)]
                 a_out.append(ids[i[near]])
                 b_out.append(ids[i[near] + d])
                 d += 1
@@ -353,7 +360,7 @@ def nearest(rows: DataFrame, row_id: Column, vector: Column, dim: int, k: int =
     Ids must be unique; exact copies are held against the rest once and share the list of their class, so any number
     of copies costs linear work. Input columns are reached only through the given expressions.
 
-    Every vector is hashed into ``tables`` buckets by p-stable projections and also visits the ``probes`` perturbed
+    Every vector is hashed into ``tables`` buckets by the axes it lies nearest to and also visits the ``probes`` perturbed
     buckets of each table with the best estimated chance. Pairs that meet are screened by sign sketches, merged over
     the tables, and measured exactly where their vectors meet. A bucket of more than ``block`` members is screened
     tile by tile. Tables and functions are those by which two vectors of similarity ``least`` meet with probability

@@ -114,3 +114,8 @@ def test_buckets_are_cut_at_their_borders():
             assert not hot or len(set(k)) == 1
         whole = [set(k) for k, _, hot in parts if not hot]
         assert sum(map(len, whole)) == len(set().union(*whole)) and not set().union(*whole) & {k[0] for k, _, hot in parts if hot}
+
+
+def test_entries_hardly_grow_with_the_rows():
+    few, many = (Probing.reaching(RECALL, 0.7, n) for n in (1_000_000, 9_000_000))
+    assert few.tables * (1 + few.probes) <= 40 and many.tables * (1 + many.probes) <= 60
