@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from mnemora.operators import entities
 from tests.conftest import SF
 
 sys.path.insert(0, str(Path(__file__).parent.parent / "tools"))
@@ -37,10 +38,22 @@ def long_texts(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["bm25_phrases"])
+@pytest.mark.parametrize("name", ["bm25_phrases", "hybrid_search_history"])
 def test_whole_texts_are_searched_for(spark, long_texts, name):
     d, con = long_texts
     a, b = plain(entry.queries()[name](spark, d).toPandas()), plain(con.execute(entry.oracle_sql()[name]).df())
-    assert len(b) >= 30
+    assert len(b) >= 40
     assert list(a.columns) == list(b.columns)
     assert a.equals(b)
+
+
+@pytest.mark.parametrize("name", ["hybrid_search_history"])
+def test_all_terms_of_a_query_weigh(name):
+    assert "pos <" not in entry.oracle_sql()[name]
+
+
+def test_names_at_the_end_of_a_text_of_many_words(spark):
+    text = " ".join(f"w{i}" for i in range(100_000))
+    queries = spark.createDataFrame([(1, f"{text} Alpha of Centauri"), (2, "Alpha of"), (3, f"{text} rho"), (4, ""), (5, None)], "id long, content string")
+    known = spark.createDataFrame([(7, "alpha of centauri", []), (8, "Rho", ["alpha of"]), (9, "w99999 Alpha", None), (10, "of alpha", [])], "id long, name string, aliases array<string>")
+    assert sorted((r.id, r.entity_id) for r in entities.named_in(queries, known).collect()) == [(1, 7), (1, 8), (1, 9), (2, 8), (3, 8)]
