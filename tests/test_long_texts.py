@@ -38,7 +38,7 @@ def long_texts(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["bm25_phrases", "hybrid_search_history"])
+@pytest.mark.parametrize("name", ["bm25_phrases", "hybrid_search_history", "rrf_fusion"])
 def test_whole_texts_are_searched_for(spark, long_texts, name):
     d, con = long_texts
     a, b = plain(entry.queries()[name](spark, d).toPandas()), plain(con.execute(entry.oracle_sql()[name]).df())
@@ -47,7 +47,7 @@ def test_whole_texts_are_searched_for(spark, long_texts, name):
     assert a.equals(b)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search_history"])
+@pytest.mark.parametrize("name", ["hybrid_search_history", "rrf_fusion"])
 def test_all_terms_of_a_query_weigh(name):
     assert "pos <" not in entry.oracle_sql()[name]
 
